@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from spanframe.llm import simhash_dedup
+from spanframe.llm import simhash_dedup, token_counts
 
-MODULES = [simhash_dedup]
+MODULES = [token_counts, simhash_dedup]
 QUERIES = {k: f for m in MODULES for k, f in m.QUERIES.items()}
 ORACLES = {k: s for m in MODULES for k, s in m.ORACLES.items()}
