@@ -13,6 +13,8 @@ are each encoded; other columns, whatever their names, are carried along if aske
 from __future__ import annotations
 
 from array import array
+from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -23,12 +25,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanframe.llm.bpe import Vocabulary, default_vocabulary, pretokens
-from spanframe.llm.common import U64, fresh, mix, powers
+from spanframe.llm.common import fresh
 
 #: Bytes of text a bucket of the word shuffle stands for. More buckets come with more text, so none outgrows a task.
 BUCKET_BYTES = 8 << 20
 #: Bytes of text after which a task begins another block.
-BLOCK_BYTES = 48 << 20
+BLOCK_BYTES = 32 << 20
 
 
 def _pack(*arrays: np.ndarray) -> bytes:
@@ -60,13 +62,6 @@ class _Numbers(dict):
         return n
 
 
-def _hashes(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    up, down = powers(len(data) + 1)
-    total = np.zeros(len(data) + 1, U64)
-    np.cumsum((data.astype(U64) + U64(1)) * up[:len(data)], out=total[1:])
-    return mix((total[offsets[1:]] - total[offsets[:-1]]) * down[offsets[:-1]])
-
-
 class _Block:
     """Documents whose words are numbered together."""
 
@@ -98,12 +93,10 @@ class _Block:
         rank = np.empty(n, np.uint32)
         rank[order] = np.arange(n, dtype=np.uint32)
         words = [w.encode() for w in self.numbers]
+        self.numbers = _Numbers()
         words = [words[i] for i in order]
         sizes = np.fromiter(map(len, words), np.int64, n)
-        offsets = np.zeros(n + 1, np.int64)
-        np.cumsum(sizes, out=offsets[1:])
-        data = np.frombuffer(b"".join(words), np.uint8)
-        bucket = (_hashes(data, offsets) % U64(buckets)).astype(np.int64)
+        bucket = np.fromiter((xxhash.xxh64_intdigest(w) % buckets for w in words), np.int64, n)
         by = np.argsort(bucket, kind="stable")
         cuts = np.flatnonzero(np.diff(bucket[by], prepend=-1))
         sink = pa.BufferOutputStream()
@@ -162,19 +155,24 @@ def encode_decode(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = (
         from pyspark import TaskContext
 
         def out(rows):
+            while part := list(islice(rows, 64)):
+                yield one(part)
+
+        def one(rows):
             key, block, bucket, data = zip(*rows)
             return pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(block, pa.int64()), pa.array(bucket, pa.int64()), pa.array(data, pa.binary())], ["key", "block", "bucket", "data"])
 
         task, k, b = TaskContext.get().partitionId(), 0, _Block()
         for batch in batches:
-            texts, rest = batch.column(0), batch.select(names)
+            # Copied: a column as it comes would hold on to its whole batch, the texts with it.
+            texts, rest = batch.column(0), batch.select(names).take(pa.array(np.arange(len(batch))))
             for at in range(0, len(texts), 1024):
                 b.add(rest.slice(at, 1024), texts.slice(at, 1024).to_pylist())
                 if b.bytes >= BLOCK_BYTES:
-                    yield out(list(b.pieces(task, k, buckets)))
+                    yield from out(b.pieces(task, k, buckets))
                     k, b = k + 1, _Block()
         if b.sizes:
-            yield out(list(b.pieces(task, k, buckets)))
+            yield from out(b.pieces(task, k, buckets))
 
     def encode(t: pa.Table) -> pa.Table:
         rows = t.to_pydict()
@@ -186,8 +184,11 @@ def encode_decode(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = (
 
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in table.select(*names).schema.fields), "n_tokens int", "token_ids array<int>", "decoded string"])
 
-    def assemble(t: pa.Table) -> pa.Table:
-        bucket, data = t["bucket"].to_pylist(), t["data"].to_pylist()
+    def assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bucket, data = [], []
+        for batch in batches:
+            bucket += batch["bucket"].to_pylist()
+            data += batch["data"].to_pylist()
         (flow, sizes, parts), meta = _unpack(data[bucket.index(-1)], 3)
         if len(bucket) != parts[0] + 1:
             raise RuntimeError(f"a block has {len(bucket) - 1} of {parts[0]} word buckets: the input isn't the same on each run")
@@ -205,11 +206,11 @@ def encode_decode(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = (
         none = sizes == 0xFFFFFFFF
         count = np.where(none, 0, sizes).astype(np.int64)
         ends = np.cumsum(count)
-        flow = flow.astype(np.int64)
-        table, outs, row = sent.value.token_array(), [], 0
+        del data
+        table, row = sent.value.token_array(), 0
         while row < len(count):
             # Some documents at a time, so that only a share of the block's tokens is expanded at once.
-            to = max(row + 1, int(np.searchsorted(ends, (ends[row - 1] if row else 0) + 1_000_000, "right")))
+            to = max(row + 1, int(np.searchsorted(ends, (ends[row - 1] if row else 0) + 250_000, "right")))
             a, b = int(ends[row - 1]) if row else 0, int(ends[to - 1])
             n = length[flow[a:b]]
             tokens = _ragged(ids, start[flow[a:b]], n)
@@ -222,9 +223,8 @@ def encode_decode(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = (
             raw = pa.LargeStringArray.from_buffers(to - row, pa.py_buffer(where.astype(np.int64)), back.buffers()[2] or pa.py_buffer(b""))
             lists = pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(tokens, pa.int32()))
             part = rows.slice(row, to - row)
-            outs.append(pa.table([*part.columns, pc.if_else(mask, None, pa.array(np.diff(cuts), pa.int32())), pc.if_else(mask, None, lists), pc.if_else(mask, None, raw.cast(pa.string()))], names=[*names, "n_tokens", "token_ids", "decoded"]))
+            yield from pa.table([*part.columns, pc.if_else(mask, None, pa.array(np.diff(cuts), pa.int32())), pc.if_else(mask, None, lists), pc.if_else(mask, None, raw.cast(pa.string()))], names=[*names, "n_tokens", "token_ids", "decoded"]).combine_chunks().to_batches()
             row = to
-        return pa.concat_tables(outs)
 
     words = table.mapInArrow(blocks, "key bigint, block bigint, bucket bigint, data binary")
     ids = words.groupBy("key").applyInArrow(encode, "block bigint, bucket bigint, data binary")
