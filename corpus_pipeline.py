@@ -1,19 +1,49 @@
-"""A corpus pipeline of documents: each stage is written as Parquet and read again by the next."""
+"""A corpus pipeline of documents: each stage is written as Parquet and read again by the next.
+
+Stages, each over all that the one before kept: language ID (documents in which no language is found go), SimHash
+near-dedup (one document of each group stays), secret scans (the secrets' spans are replaced), mixing (documents are
+repeated or sampled to their source's weight), and byte-level BPE (token ids, and the text that they decode to).
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from spanframe.llm.bpe_codec import encode_decode
 from spanframe.llm.common import scratch
+from spanframe.llm.language_id import keep_identified
+from spanframe.llm.mixing import mix_sources
+from spanframe.llm.secret_scan import redact_secrets
 from spanframe.llm.simhash_dedup import drop_near_duplicates
 
 
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in which a language was identified."""
+    return keep_identified(docs)
+
+
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays."""
+    """One document of each group of near copies."""
     return drop_near_duplicates(docs)
 
 
-STAGES = [("simhash_dedup", near_dedup)]
+def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, without the secrets in their texts."""
+    return redact_secrets(docs)
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the equal weights of their sources say, within the size that the corpus has."""
+    return mix_sources(docs)
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, lang, source, n_chars, n_tokens, token_ids and the decoded text."""
+    return encode_decode(docs, keep=("doc_id", "lang", "source", "n_chars"))
+
+
+STAGES = [("language_id", language), ("simhash_dedup", near_dedup), ("secret_scan", secrets), ("source_mixing", mixing), ("bpe_codec", tokens)]
+# A trained classifier, fingerprints and token merges can't be put in SQL; tests/llm has brute-force versions.
 ORACLE_SQL = None
 
 
