@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from spanframe.llm import bpe_codec, language_id, mixing, secret_scan, simhash_dedup, token_counts
+from spanframe.llm import bpe_codec, language_id, mixing, pii, secret_scan, simhash_dedup, token_counts
 
-MODULES = [token_counts, bpe_codec, language_id, mixing, secret_scan, simhash_dedup]
+MODULES = [pii, token_counts, bpe_codec, language_id, mixing, secret_scan, simhash_dedup]
 QUERIES = {k: f for m in MODULES for k, f in m.QUERIES.items()}
 ORACLES = {k: s for m in MODULES for k, s in m.ORACLES.items()}
