@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanframe.llm.bpe import Vocabulary, default_vocabulary, pretokens
-from spanframe.llm.common import fresh
+from spanframe.llm.common import fresh, trim
 
 #: Bytes of text a bucket of the word shuffle stands for. More buckets come with more text, so none outgrows a task.
 BUCKET_BYTES = 8 << 20
@@ -171,8 +171,12 @@ def encode_decode(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = (
                 if b.bytes >= BLOCK_BYTES:
                     yield from out(b.pieces(task, k, buckets))
                     k, b = k + 1, _Block()
+            del batch, texts, rest
+            trim()
         if b.sizes:
             yield from out(b.pieces(task, k, buckets))
+        del b
+        trim()
 
     def encode(t: pa.Table) -> pa.Table:
         rows = t.to_pydict()
@@ -180,6 +184,7 @@ def encode_decode(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = (
         got = [(x, -1, d) for x, y, d in zip(rows["block"], rows["bucket"], rows["data"]) if y < 0]
         got += [(x, rows["key"][0], d) for x, d in _encode_bucket(sent.value, words)]
         block, bucket, data = zip(*got)
+        trim()
         return pa.table({"block": pa.array(block, pa.int64()), "bucket": pa.array(bucket, pa.int64()), "data": pa.array(data, pa.binary())})
 
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in table.select(*names).schema.fields), "n_tokens int", "token_ids array<int>", "decoded string"])
@@ -225,6 +230,8 @@ def encode_decode(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = (
             part = rows.slice(row, to - row)
             yield from pa.table([*part.columns, pc.if_else(mask, None, pa.array(np.diff(cuts), pa.int32())), pc.if_else(mask, None, lists), pc.if_else(mask, None, raw.cast(pa.string()))], names=[*names, "n_tokens", "token_ids", "decoded"]).combine_chunks().to_batches()
             row = to
+        del flow, ids, rows
+        trim()
 
     words = table.mapInArrow(blocks, "key bigint, block bigint, bucket bigint, data binary")
     ids = words.groupBy("key").applyInArrow(encode, "block bigint, bucket bigint, data binary")

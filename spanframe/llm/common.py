@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 import uuid
@@ -15,7 +16,7 @@ U64 = np.uint64
 _MULT = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_MULT, -1, 1 << 64)
 #: Bytes of text that one vectorized step works on; bounds a Python worker's memory, not its input.
-CHUNK_BYTES = 1 << 21
+CHUNK_BYTES = 1 << 19
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -39,6 +40,15 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def trim() -> None:
+    """Give freed memory back to the system: a Python worker lives on after its task, and would keep it from the next stage's."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass  # not glibc
+
+
 def fresh(df: DataFrame, *names: str) -> list[str]:
     """Names like the given ones that no column of df has, whatever its case."""
     taken, out = {c.lower() for c in df.columns}, []

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from spanframe.llm.common import cut, text_bytes, text_chunks
+from spanframe.llm.common import cut, text_bytes, text_chunks, trim
 
 KINDS = ("EMAIL", "PHONE", "IP", "CARD", "SSN", "IBAN", "NAME")
 LABELERS = ("form", "check", "gazetteer", "context", "against", "border")
@@ -208,6 +208,8 @@ def candidates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> D
                     rows.append((d, r, KINDS.index(kind), a, b, code))
             cols = list(zip(*rows)) if rows else [()] * 6
             yield pa.RecordBatch.from_arrays([pa.array(c, x) for c, x in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32()))], ["doc_id", "row", "kind", "start_char", "end_char", "pattern"])
+            del batch
+            trim()
 
     return table.mapInArrow(run, "doc_id bigint, row bigint, kind int, start_char int, end_char int, pattern int")
 

@@ -29,7 +29,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanframe.llm.common import text_bytes, text_chunks
+from spanframe.llm.common import text_bytes, text_chunks, trim
 
 MAX_LAYER = 64 << 20
 #: Shortest run of base64 symbols that is tried; 20 of them hold 15 bytes.
@@ -296,6 +296,8 @@ def secret_scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", max
                     rows.append((ids[int(i)].as_py(), rule, a, b, path.count(">") + 1 if path else 0, path, hashlib.sha256(secret.encode("utf-8", "surrogatepass")).hexdigest()))
             cols = list(zip(*rows)) if rows else [()] * 7
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.string()))], ["doc_id", "rule", "start_char", "end_char", "depth", "path", "sha256"])
+            del batch, texts
+            trim()
 
     return table.mapInArrow(run, "doc_id bigint, rule string, start_char int, end_char int, depth int, path string, sha256 string")
 
@@ -326,6 +328,8 @@ def redact_secrets(docs: DataFrame, text: str = "text", length: str | None = "n_
                 if r != t:
                     new[int(i)] = r
             yield pa.array([new.get(i) for i in range(len(texts))], pa.string())
+            del texts, new
+            trim()
 
     own = F.col(f"`{text}`")
     name = next(n for n in ("new_text" + "_" * k for k in range(99)) if n not in {c.lower() for c in docs.columns})

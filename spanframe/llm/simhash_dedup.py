@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanframe.llm.common import U64, cut, fold_bytes, fresh, mix, text_bytes, text_chunks, words
+from spanframe.llm.common import U64, cut, fold_bytes, fresh, mix, text_bytes, text_chunks, trim, words
 from spanframe.llm.components import components
 
 WORDS = 3
@@ -62,6 +62,8 @@ def _fingerprint(it: Iterator[pa.Array]) -> Iterator[pa.Array]:
         f, n = fingerprints(texts)
         f = f.view(np.int64)
         yield pa.StructArray.from_arrays([*(pa.array(f[:, w].copy()) for w in range(WORDS)), pa.array(n.astype(np.int32))], ["f0", "f1", "f2", "n"])
+        del texts
+        trim()
 
 
 def distances(a: np.ndarray, la: np.ndarray, b: np.ndarray, lb: np.ndarray) -> np.ndarray:
@@ -239,6 +241,7 @@ def close_pairs(prints: DataFrame, radius: int = RADIUS, forest: bool = False) -
             yield from out.to_batches()
 
     def compare(t: pa.Table) -> pa.Table:
+        trim()
         rep, f, length = _columns(t)
         home, block = t["home"].to_numpy(zero_copy_only=False), t["block"].to_numpy()
         i, j = t["i"][0].as_py(), t["j"][0].as_py()

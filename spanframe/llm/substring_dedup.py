@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from spanframe.llm.common import U64, mix, scratch, text_bytes, text_chunks, words
+from spanframe.llm.common import U64, mix, scratch, text_bytes, text_chunks, trim, words
 
 MIN_WORDS = 50
 PREFIX = 8
@@ -134,6 +134,8 @@ def shared_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         for batch in batches:
             row, at, h = anchors(batch.column(1), min_words)
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), pa.array(at.astype(np.int32)), pa.array(h.view(np.int64))], ["key", "at", "prefix"])
+            del batch
+            trim()
 
     found = base.select("key", "text").mapInArrow(find, "key bigint, at int, prefix bigint")
     w = Window.partitionBy("prefix")

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanframe.llm.bpe import Vocabulary, default_vocabulary, pretokens
-from spanframe.llm.common import text_chunks
+from spanframe.llm.common import text_chunks, trim
 
 #: Pre-tokens whose counts a worker remembers between chunks; it bounds memory only.
 REMEMBERED = 400_000
@@ -45,6 +45,8 @@ def token_counts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", vo
         for texts in it:
             t, p = count_texts(texts, vocabulary, known)
             yield pa.StructArray.from_arrays([pa.array(p), pa.array(t)], ["p", "t"])
+            del texts
+            trim()
 
     counted = F.arrow_udf(count, "struct<p: bigint, t: bigint>")
     x = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))
