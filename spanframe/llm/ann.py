@@ -34,6 +34,8 @@ SAMPLE = 4096
 PROBES = 4096
 #: Vectors of a table that one group holds, and queries that it answers.
 SHARD, QUERIES_AT_ONCE = 8192, 16384
+#: Vectors in a bucket, about, if a projection's two commonest cells held them all.
+BUCKET = 1024
 
 
 def _phi(x: np.ndarray) -> np.ndarray:
@@ -74,7 +76,7 @@ class Hash:
         nth = min(d.shape[1] - 1, max(1, math.ceil(k * len(sample) / max(total, 1))))
         spread = float(np.median(d[:, -1])) if len(d) else 1.0
         self.r = max(float(np.quantile(d[:, nth], 0.95)), spread * 1e-3, 1e-12)
-        self.m = int(min(16, max(2, round(math.log2(max(total, 2) / 64)))))
+        self.m = int(min(16, max(2, round(math.log2(max(total, 2) / BUCKET)))))
         self.width = 2 * self.r
         self.a = rng.standard_normal((tables, self.dim, self.m)).astype(np.float64)
         self.b = rng.random((tables, self.m)) * self.width
@@ -94,39 +96,44 @@ class Hash:
             h = mix(h * U64(31) + cells[..., j].astype(U64))
         return h
 
-    def probes(self, x: np.ndarray, t: int) -> tuple[np.ndarray, np.ndarray]:
-        """(query, bucket key) of the buckets that each query visits in table t."""
+    def borders(self, x: np.ndarray, t: int):
+        """Cells, the chance of staying in each, the projections by their nearest border, which side that is on, and the
+        log odds of crossing the borders: those of the nearest in that order, then the cells' other borders in reverse."""
         c, u = self.cells(x, t)
-        m, r, w = self.m, self.r, self.width
+        r, w = self.r, self.width
         here = np.maximum(_phi((w - u) / r) - _phi(-u / r), 1e-12)
         before = np.maximum(_phi(-u / r) - _phi((-w - u) / r), 1e-12)
         after = np.maximum(_phi((2 * w - u) / r) - _phi((w - u) / r), 1e-12)
-        # Borders in pairs: the k-th nearest one and, as the (2m - 1 - k)-th, the other border of its cell.
         near = np.where(u < w - u, -1, 1)
-        gap = np.minimum(u, w - u)
-        order = np.argsort(gap, 1, kind="stable")
+        order = np.argsort(np.minimum(u, w - u), 1, kind="stable")
         row = np.arange(len(x))[:, None]
-        low = np.where(near < 0, before, after)
-        high = np.where(near < 0, after, before)
-        ratio = np.concatenate([np.log(low / here)[row, order], np.log(high / here)[row, order][:, ::-1]], 1)
-        score = np.exp(ratio.astype(np.float32) @ self.sets.T + np.log(here).sum(1, keepdims=True).astype(np.float32))
+        low, high = np.where(near < 0, before, after), np.where(near < 0, after, before)
+        odds = np.concatenate([np.log(low / here)[row, order], np.log(high / here)[row, order][:, ::-1]], 1)
+        return c, here, order, near[row, order], odds
+
+    def probes(self, x: np.ndarray, t: int) -> tuple[np.ndarray, np.ndarray]:
+        """(query, perturbation set) of the buckets that each query visits in table t, in the order of their chance."""
+        _, here, _, _, odds = self.borders(x, t)
+        score = np.exp(odds.astype(np.float32) @ self.sets.T + np.log(here).sum(1, keepdims=True).astype(np.float32))
         best = np.argsort(-score, 1, kind="stable")
         got = np.cumsum(np.take_along_axis(score, best, 1), 1)
-        visit = np.concatenate([np.ones((len(x), 1), bool), got[:, :-1] < self.each], 1)
-        q, at = np.nonzero(visit)
-        chosen = best[q, at]
-        step = np.zeros((len(x), 2 * m), np.int8)
-        step[:, :m] = near[row, order]
-        step[:, m:] = -near[row, order][:, ::-1]
+        q, at = np.nonzero(np.concatenate([np.ones((len(x), 1), bool), got[:, :-1] < self.each], 1))
+        return q, best[q, at]
+
+    def visited(self, x: np.ndarray, t: int, q: np.ndarray, sets: np.ndarray) -> np.ndarray:
+        """The keys of the buckets that perturbation sets lead to."""
+        c, _, order, near, _ = self.borders(x, t)
+        m = self.m
+        step = np.concatenate([near, -near[:, ::-1]], 1).astype(np.int8)
         keys = np.empty(len(q), U64)
         for s in range(0, len(q), 1 << 18):
             e = slice(s, s + (1 << 18))
-            move = self.sets[chosen[e]].astype(np.int8) * step[q[e]]
+            move = self.sets[sets[e]].astype(np.int8) * step[q[e]]
             move = move[:, :m] + move[:, :m - 1:-1]  # in the order of the nearest borders
             cell = c[q[e]].copy()
             cell[np.arange(len(cell))[:, None], order[q[e]]] += move
             keys[e] = self.keys(cell)
-        return q, keys
+        return keys
 
 
 def _matrix(column, dim: int) -> np.ndarray:
@@ -213,24 +220,26 @@ def nearest(vectors: DataFrame, k: int = K, vec_id: str = "vec_id", embedding: s
             for at in range(0, len(batch), 512):
                 ids, x = vectors_of(batch.slice(at, 512))
                 for t in range(h.tables):
-                    q, key = h.probes(x, t)
+                    q, sets = h.probes(x, t)
+                    key = h.visited(x, t, q, sets)
                     shard = (key % U64(shards)).astype(np.int64)
                     by = np.lexsort((shard, q))
-                    q, key, shard = q[by], key[by], shard[by]
+                    q, sets, shard = q[by], sets[by].astype(np.int16), shard[by]
                     edge = np.flatnonzero(np.concatenate([[True], (q[1:] != q[:-1]) | (shard[1:] != shard[:-1])]))
-                    lists = pa.ListArray.from_arrays(pa.array(np.append(edge, len(q)), pa.int32()), pa.array(key.view(np.int64)))
+                    lists = pa.ListArray.from_arrays(pa.array(np.append(edge, len(q)), pa.int32()), pa.array(sets))
                     own = q[edge]
                     chunk = (mix(ids[own].view(U64)) % U64(chunks)).astype(np.int32)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), t, np.int32)), pa.array(shard[edge].astype(np.int32)), pa.array(chunk), pa.array(ids[own]), lists, raw(x[own])], ["t", "shard", "chunk", "id", "keys", "v"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), t, np.int32)), pa.array(shard[edge].astype(np.int32)), pa.array(chunk), pa.array(ids[own]), lists, raw(x[own])], ["t", "shard", "chunk", "id", "sets", "v"])
             trim()
 
     def answer(data: pa.Table, asked: pa.Table) -> pa.Table:
         if not len(data) or not len(asked):
             return pa.table({"id": pa.array([], pa.int64()), "n": pa.array([], pa.list_(pa.int64())), "d": pa.array([], pa.list_(pa.float64()))})
-        keys = asked["keys"].combine_chunks()
-        visit = np.repeat(np.arange(len(asked)), np.diff(keys.offsets.to_numpy()))
-        qid = asked["id"].to_numpy()
-        i, n, d = search(data["key"].to_numpy().view(U64), data["id"].to_numpy(), _matrix(data["v"], dim), qid, _matrix(asked["v"], dim), visit, keys.flatten().to_numpy().view(U64), k)
+        sets = asked["sets"].combine_chunks()
+        visit = np.repeat(np.arange(len(asked)), np.diff(sets.offsets.to_numpy()))
+        qid, q = asked["id"].to_numpy(), _matrix(asked["v"], dim)
+        keys = sent.value.visited(q, asked["t"][0].as_py(), visit, sets.flatten().to_numpy())
+        i, n, d = search(data["key"].to_numpy().view(U64), data["id"].to_numpy(), _matrix(data["v"], dim), qid, q, visit, keys, k)
         edge = np.flatnonzero(np.concatenate([[True], i[1:] != i[:-1]])) if len(i) else np.zeros(0, int)
         cuts = pa.array(np.append(edge, len(i)), pa.int32())
         trim()
@@ -238,7 +247,7 @@ def nearest(vectors: DataFrame, k: int = K, vec_id: str = "vec_id", embedding: s
 
     unique = base.dropDuplicates(["id", "v"])
     placed = unique.mapInArrow(place, "t int, shard int, chunk int, id bigint, key bigint, v binary").groupBy("t", "shard", "chunk")
-    asked = base.groupBy("id").agg(F.min("v").alias("v")).mapInArrow(ask, "t int, shard int, chunk int, id bigint, keys array<bigint>, v binary").groupBy("t", "shard", "chunk")
+    asked = base.groupBy("id").agg(F.min("v").alias("v")).mapInArrow(ask, "t int, shard int, chunk int, id bigint, sets array<smallint>, v binary").groupBy("t", "shard", "chunk")
     found = placed.cogroup(asked).applyInArrow(answer, "id bigint, n array<bigint>, d array<double>")
     # A candidate comes with its distance from each table that found it; one is kept for each id.
     best = found.select("id", F.arrays_zip("d", "n").alias("c")).groupBy("id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("c")))).alias("c"))

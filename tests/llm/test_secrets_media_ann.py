@@ -156,7 +156,8 @@ def test_probes_are_in_the_order_of_their_chance_and_reach_the_target():
     r = np.random.default_rng(2)
     x = r.standard_normal((2000, 16)).astype(np.float32)
     h = A.Hash(x, 5000, 10, 1, 0.9)
-    q, keys = h.probes(x[:50], 0)
+    q, sets = h.probes(x[:50], 0)
+    keys = h.visited(x[:50], 0, q, sets)
     assert len(set(zip(q.tolist(), keys.tolist()))) == len(q)
     # Neighbours at distance r fall in the visited buckets about as often as estimated.
     hit = 0
