@@ -1,6 +1,12 @@
-"""The queries over the reference tables and their DuckDB equivalents."""
+"""The queries over the given tables and their DuckDB equivalents.
+
+Each runs over its whole tables. A query and its SQL name their columns alike.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from spanframe.plans import catalog_labels, catalog_lexical, catalog_rules, catalog_vectors
+
+_PARTS = (catalog_lexical, catalog_rules, catalog_labels, catalog_vectors)
+QUERIES = {k: f for p in _PARTS for k, f in p.QUERIES.items()}
+ORACLES = {k: s for p in _PARTS for k, s in p.ORACLES.items()}
