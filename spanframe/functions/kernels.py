@@ -22,9 +22,14 @@ def linear(x: Column, w: list[list[float]], b: list[float]) -> Column:
     return F.array(*[dot(x, row) + F.lit(float(c)) for row, c in zip(w, b, strict=True)])
 
 
+def let(value: Column, body) -> Column:
+    """body(value) with value computed once: in a lambda an expression would be computed again for each element."""
+    return F.transform(F.array(value), body)[0]
+
+
 def softmax(x: Column, temperature: float = 1.0) -> Column:
-    z = F.transform(x, lambda v: F.exp((v - F.array_max(x)) / F.lit(float(temperature))))
-    return F.transform(z, lambda v: v / F.aggregate(z, F.lit(0.0), lambda s, u: s + u))
+    z = let(F.array_max(x), lambda top: F.transform(x, lambda v: F.exp((v - top) / F.lit(float(temperature)))))
+    return let(z, lambda e: let(F.aggregate(e, F.lit(0.0), lambda s, u: s + u), lambda total: F.transform(e, lambda v: v / total)))
 
 
 def argmax(x: Column) -> Column:
@@ -41,8 +46,8 @@ def layer_norm(x: Column, gain: list[float], bias: list[float]) -> Column:
     """Population variance and 1e-8."""
     n = F.size(x).cast("double")
     mean = F.aggregate(x, F.lit(0.0), lambda s, v: s + v) / n
-    var = F.aggregate(x, F.lit(0.0), lambda s, v: s + (v - mean) * (v - mean)) / n + F.lit(1e-8)
-    unit = F.transform(x, lambda v: (v - mean) / F.sqrt(var))
+    centred = let(mean, lambda m: F.transform(x, lambda v: v - m))
+    unit = let(centred, lambda c: let(F.sqrt(F.aggregate(c, F.lit(0.0), lambda s, v: s + v * v) / n + F.lit(1e-8)), lambda sd: F.transform(c, lambda v: v / sd)))
     scaled = F.zip_with(unit, F.array(*[F.lit(float(g)) for g in gain]), lambda a, g: a * g)
     return F.zip_with(scaled, F.array(*[F.lit(float(c)) for c in bias]), lambda a, c: a + c)
 

@@ -19,13 +19,17 @@ COARSE = {fine: coarse for coarse, names in _COARSE.items() for fine in names.sp
 
 
 def islands(tokens: DataFrame) -> DataFrame:
-    """The tokens of entities with the number of their island in the document; an I that continues nothing is no entity."""
-    before = F.lag("ent_type").over(by_doc())
-    breaks = (F.col("ent_iob") != 1) | ~F.coalesce(F.col("ent_type") == before, F.lit(False))
-    x = tokens.withColumn("island", F.sum(breaks.cast("int")).over(by_doc().rowsBetween(Window.unboundedPreceding, 0)))
+    """The tokens of entities with the number of their island in the document; an I that continues nothing is no entity.
+
+    Only tokens that say something of an entity are ordered: the rest goes before any window.
+    """
+    said = tokens.where("ent_iob in (1, 3) and ent_type <> ''")
+    w = by_doc()
+    follows = (F.col("ent_iob") == 1) & (F.lag("i").over(w) == F.col("i") - 1) & (F.lag("ent_type").over(w) == F.col("ent_type"))
+    x = said.withColumn("island", F.sum((~F.coalesce(follows, F.lit(False))).cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
     # An island's first token is the one that breaks; the others are I of its type.
     x = x.withColumn("first_iob", F.first("ent_iob").over(Window.partitionBy("doc_id", "island").orderBy("i")))
-    return x.where("first_iob = 3 and ent_type <> ''").drop("first_iob")
+    return x.where("first_iob = 3").drop("first_iob")
 
 
 def collect(tokens: DataFrame, labels: list[str] | None = None) -> DataFrame:

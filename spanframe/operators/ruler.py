@@ -62,7 +62,8 @@ def token_matches(tokens: DataFrame, pattern: Pattern, priority: int = 0) -> Dat
     """
     names = [f"m{k}" for k in range(len(pattern.steps))]
     marked = tokens.select("doc_id", "i", *[compile_test(s.test).alias(m) for m, s in zip(names, pattern.steps)])
-    ahead = by_doc().rowsBetween(0, Window.unboundedFollowing)
+    # From the last token backwards, as a frame that only grows is kept, not computed again for each row.
+    ahead = Window.partitionBy("doc_id").orderBy(F.desc("i")).rowsBetween(Window.unboundedPreceding, 0)
     size = Window.partitionBy("doc_id")
     runs = marked.select("doc_id", F.col("i").alias("pos"), *[(F.coalesce(F.min(F.when(~F.col(m), F.col("i"))).over(ahead), F.max("i").over(size) + 1) - F.col("i")).alias(m) for m in names])
     first = pattern.steps[0]
@@ -80,6 +81,24 @@ def token_matches(tokens: DataFrame, pattern: Pattern, priority: int = 0) -> Dat
     return front.where("pos > start").distinct().select("doc_id", F.col("start").cast("int"), F.col("pos").cast("int").alias("end"), F.lit(pattern.label).alias("label"), F.lit(pattern.ent_id).alias("ent_id"), F.lit(priority).alias("priority"))
 
 
+def fixed_matches(tokens: DataFrame, patterns: list[tuple[int, Pattern]]) -> DataFrame:
+    """Matches of patterns in which every step takes one token, all in one pass: a step's test looks ahead by its place."""
+    w, each = by_doc(), []
+    marks = {}
+    for priority, p in patterns:
+        for k, step in enumerate(p.steps):
+            marks[f"p{priority}_{k}"] = ~compile_test(step.test) if step.negated else compile_test(step.test)
+    t = tokens.select("doc_id", "i", *[c.alias(n) for n, c in marks.items()])
+    t = t.select("doc_id", "i", *[(F.lead(n, int(n.split("_")[1]), False).over(w) if not n.endswith("_0") else F.col(n)).alias(n) for n in marks])
+    for priority, p in patterns:
+        test = F.col(f"p{priority}_0")
+        for k in range(1, len(p.steps)):
+            test = test & F.col(f"p{priority}_{k}")
+        each.append(F.when(test, F.struct((F.col("i") + len(p.steps)).alias("end"), F.lit(p.label).alias("label"), F.lit(p.ent_id).alias("ent_id"), F.lit(priority).alias("priority"))))
+    hits = F.array_compact(F.array(*each))
+    return t.where(F.size(hits) > 0).select("doc_id", F.col("i").alias("start"), F.inline(hits)).select("doc_id", "start", "end", "label", "ent_id", "priority")
+
+
 def candidates(tokens: DataFrame, patterns: list[dict], attr: str = "ORTH") -> DataFrame:
     """All matches of all patterns; phrases come before token patterns in priority."""
     made = [normalize(p) for p in patterns]
@@ -94,7 +113,11 @@ def candidates(tokens: DataFrame, patterns: list[dict], attr: str = "ORTH") -> D
         words = words.withColumn("value", _phrase_value(attr)).groupBy("label", "ent_id", "priority").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "value"))), lambda x: x["value"]).alias("words"))
         # A list of patterns that the driver wrote out: small enough to send.
         out.append(phrase_matches(tokens, F.broadcast(words), attr))
-    out += [token_matches(tokens, p, len(phrases) + k) for k, p in enumerate(p for p in made if p.phrase is None)]
+    rest = [(len(phrases) + k, p) for k, p in enumerate(p for p in made if p.phrase is None)]
+    fixed = [(k, p) for k, p in rest if all(s.negated or s.least == s.most == 1 for s in p.steps)]
+    if fixed:
+        out.append(fixed_matches(tokens, fixed))
+    out += [token_matches(tokens, p, k) for k, p in rest if (k, p) not in fixed]
     if not out:
         return tokens.sparkSession.createDataFrame([], "doc_id bigint, start int, end int, label string, ent_id string, priority int")
     all_ = out[0]
@@ -127,7 +150,8 @@ def annotate(tokens: DataFrame, patterns: list[dict], overwrite: bool = False, a
     With overwrite every entity that a match touches is cleared as a whole, also where the match doesn't reach.
     """
     t = with_entities(tokens)
-    return write(t, candidates(t, patterns, attr), overwrite)
+    # Where no entity can be yet, none has to be looked for.
+    return write(t, candidates(t, patterns, attr), overwrite, "ent_type" in tokens.columns)
 
 
 def with_entities(tokens: DataFrame) -> DataFrame:
@@ -137,8 +161,8 @@ def with_entities(tokens: DataFrame) -> DataFrame:
     return tokens
 
 
-def write(tokens: DataFrame, found: DataFrame, overwrite: bool = False) -> DataFrame:
-    if not overwrite:
+def write(tokens: DataFrame, found: DataFrame, overwrite: bool = False, typed_before: bool = True) -> DataFrame:
+    if typed_before and not overwrite:
         typed = tokens.where("ent_type <> ''").select("doc_id", F.col("i").alias("k"))
         keys = ["doc_id", "start", "end", "label", "priority"]
         touched = found.select(*keys, F.explode(F.sequence("start", F.col("end") - 1)).alias("k")).join(typed, ["doc_id", "k"], "left_semi").select(*keys).distinct()
@@ -148,7 +172,7 @@ def write(tokens: DataFrame, found: DataFrame, overwrite: bool = False) -> DataF
     t = tokens.join(marks, ["doc_id", "i"], "left")
     own, new = [c for c in tokens.columns], F.col("new_type").isNotNull()
     clear = F.lit(False)
-    if overwrite:
+    if overwrite and typed_before:
         old = existing(tokens)
         hit = old.select("doc_id", "start", "end", F.explode(F.sequence("start", F.col("end") - 1)).alias("i")).join(marks.select("doc_id", "i"), ["doc_id", "i"]).select("doc_id", "start", "end").distinct()
         gone = hit.select("doc_id", F.explode(F.sequence("start", F.col("end") - 1)).alias("i"), F.lit(True).alias("gone"))

@@ -92,32 +92,37 @@ def char_span(tokens: Column, a: Column, b: Column, mode: str) -> Column:
     """The token range of a character range, or null. strict: both ends are token borders; contract: the tokens inside;
     expand: the tokens touched, or an empty range at an anchor where none is."""
     n, size = F.size(tokens), char_len(tokens)
-    st, en = F.transform(tokens, lambda t: t["idx"]), F.transform(tokens, lambda t: t["idx"] + F.length(t["text"]))
     kind = "struct<start:int,end:int>"
     sane = (n > 0) & (a <= b) & (b <= size) & (a >= 0)
-    order = F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0)))
 
     def where(test) -> Column:
-        return F.filter(order, lambda i: test(F.get(st, i), F.get(en, i)))
+        """The tokens that fit, in order: one pass, each token knowing its own number."""
+        return F.filter(tokens, lambda t: test(t["idx"], t["idx"] + F.length(t["text"]), t["i"]))
+
+    def number(found: Column, at: int) -> Column:
+        return F.try_element_at(found, F.lit(at))["i"]
 
     def pair(x: Column, y: Column) -> Column:
         return F.when(x.isNotNull() & y.isNotNull(), F.struct(x.cast("int").alias("start"), y.cast("int").alias("end")))
 
     if mode == "strict":
-        first = F.try_element_at(where(lambda s, e: s == a), F.lit(1))
-        last = F.try_element_at(F.filter(where(lambda s, e: e == b), lambda i: i >= first), F.lit(1))
+        both = where(lambda s, e, i: (s == a) | (e == b))
+        first = number(F.filter(both, lambda t: t["idx"] == a), 1)
+        last = number(F.filter(both, lambda t: (t["idx"] + F.length(t["text"]) == b) & (t["idx"] >= a)), 1)
         return F.when(sane & (a != b), pair(first, last + 1)).otherwise(F.lit(None).cast(kind))
     if mode == "contract":
-        hit = where(lambda s, e: (s >= a) & (e <= b))
-        return F.when(sane & (a != b), pair(F.array_min(hit), F.array_max(hit) + 1)).otherwise(F.lit(None).cast(kind))
+        hit = where(lambda s, e, i: (s >= a) & (e <= b))
+        return F.when(sane & (a != b), pair(number(hit, 1), number(hit, -1) + 1)).otherwise(F.lit(None).cast(kind))
     if mode != "expand":
         raise ValueError(f"no such alignment: {mode}")
-    hit = where(lambda s, e: F.when(a == b, (s < a) & (e > a)).otherwise((e > a) & (s < b)))
-    anchor = F.coalesce(F.array_min(where(lambda s, e: s >= b)), n)
-    at, before = F.coalesce(F.get(st, anchor), size), F.when(anchor == 0, 0).otherwise(F.get(en, anchor - 1))
-    none = ((anchor == 0) & (b == 0)) | (a < before) | (b > at) | ((anchor == n) & (a == size))
+    hit = where(lambda s, e, i: F.when(a == b, (s < a) & (e > a)).otherwise((e > a) & (s < b)))
+    after = F.try_element_at(where(lambda s, e, i: s >= b), F.lit(1))
+    anchor, at = F.coalesce(after["i"], n), F.coalesce(after["idx"], size)
+    prior = F.try_element_at(tokens, F.greatest(anchor, F.lit(1)))
+    ended = F.when(anchor == 0, 0).otherwise(prior["idx"] + F.length(prior["text"]))
+    none = ((anchor == 0) & (b == 0)) | (a < ended) | (b > at) | ((anchor == n) & (a == size))
     empty = F.when(~none, pair(anchor, anchor))
-    return F.when(sane, F.when(F.size(hit) > 0, pair(F.array_min(hit), F.array_max(hit) + 1)).otherwise(empty)).otherwise(F.lit(None).cast(kind))
+    return F.when(sane, F.when(F.size(hit) > 0, pair(number(hit, 1), number(hit, -1) + 1)).otherwise(empty)).otherwise(F.lit(None).cast(kind))
 
 
 def byte_offset(text: Column, n: Column) -> Column:

@@ -1,2 +1,110 @@
-QUERIES = {}
-ORACLES = {}
+"""Queries on entity labels, comparison, and line sources and sinks."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from spanframe.operators import entities as E
+from spanframe.plans import parity
+from spanframe.plans.catalog_rules import RULED_SQL, ruled
+from spanframe.sources import lines
+
+QUERIES: dict = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+FOUND = "SELECT * FROM ents WHERE label IS NOT NULL"
+
+
+@query(f"{RULED_SQL} SELECT doc_id, text, label, start_token FROM ents WHERE label IN ('EMAIL', 'IP')")
+def entities_by_label(spark, sf_dir):
+    return E.collect(ruled(spark, sf_dir), ["IP", "", "EMAIL", "IP"]).select("doc_id", "text", "label", "start_token")
+
+
+@query("SELECT doc_id, text, '' AS label FROM documents WHERE FALSE")
+def entities_filter_empty(spark, sf_dir):
+    return E.collect(ruled(spark, sf_dir), []).select("doc_id", "text", "label")
+
+
+@query("""WITH asked AS (SELECT o_orderpriority AS label, min(o_orderkey)::BIGINT AS ord FROM orders WHERE o_orderpriority <> '' GROUP BY 1), have AS (SELECT DISTINCT o_orderpriority AS label FROM orders WHERE o_orderpriority < '3')
+SELECT label, ord, label IN (SELECT label FROM have) AS selected FROM asked""")
+def label_selection(spark, sf_dir):
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    asked = o.select(F.col("o_orderpriority").alias("label"), F.col("o_orderkey").cast("bigint").alias("ord"))
+    return E.select_labels_table(asked, o.where("o_orderpriority < '3'").select(F.col("o_orderpriority").alias("label")))
+
+
+STRICT = {"EMAIL": "CONTACT", "PHONE": "CONTACT", "IP": "HOST", "NUMBER": "QUANTITY"}
+
+
+@query(f"{RULED_SQL} SELECT label, count(*) AS n FROM (SELECT CASE label WHEN 'IP' THEN 'HOST' WHEN 'NUMBER' THEN 'QUANTITY' ELSE 'CONTACT' END AS label FROM ({FOUND})) GROUP BY label")
+def label_mapping_strict(spark, sf_dir):
+    return E.map_labels(E.collect(ruled(spark, sf_dir)), STRICT).groupBy("label").agg(F.count("*").alias("n"))
+
+
+@query(f"{RULED_SQL} SELECT label, count(*) AS n FROM (SELECT CASE label WHEN 'IP' THEN 'HOST' ELSE 'REST' END AS label FROM ({FOUND})) GROUP BY label")
+def label_mapping_fallback(spark, sf_dir):
+    return E.map_labels_or(E.collect(ruled(spark, sf_dir)), {"IP": "HOST"}, "REST").groupBy("label").agg(F.count("*").alias("n"))
+
+
+@query(f"""{RULED_SQL}, b AS (SELECT CASE WHEN label IS NULL THEN '' WHEN label = 'IP' THEN 'B-HOST' ELSE 'B-REST' END AS bio FROM ents), p AS (SELECT 'I-REST' AS bio FROM ents, range(2) WHERE label = 'PHONE'),
+n AS (SELECT bio, count(*) AS n FROM (SELECT bio FROM b WHERE bio <> '' UNION ALL SELECT bio FROM p) GROUP BY bio) SELECT bio, n FROM n UNION ALL SELECT '', (SELECT count(*) FROM tok) - (SELECT sum(n) FROM n)::BIGINT""")
+def token_bio_labels(spark, sf_dir):
+    return E.token_labels(ruled(spark, sf_dir), {"IP": "HOST"}, "REST").groupBy("bio").agg(F.count("*").alias("n"))
+
+
+@query("""SELECT n_name AS label, CASE WHEN n_name IN ('CHINA', 'JAPAN') THEN 'ASIA' END AS coarse FROM nation UNION ALL SELECT unnest(['Person', 'School', 'City', 'Money', 'Time', 'Nothing']), unnest(['PERSON', 'ORG', 'GPE', 'MONEY', 'TIME', NULL])""")
+def coarse_labels(spark, sf_dir):
+    n = spark.read.parquet(f"{sf_dir}/nation.parquet").select(F.col("n_name").alias("label"))
+    more = spark.createDataFrame([(x,) for x in ("Person", "School", "City", "Money", "Time", "Nothing")], "label string")
+    return n.unionByName(more).withColumn("coarse", E.resolve_coarse(F.col("label"), {"CHINA": "ASIA", "JAPAN": "ASIA", "PERU": "OTHERS"}))
+
+
+def _pair(spark, sf_dir):
+    """The entities, and a copy that lacks one in seven documents' first and has other token numbers in one in five."""
+    a = E.collect(ruled(spark, sf_dir))
+    b = a.where("not (doc_id % 7 = 0 and label = 'NUMBER')").withColumn("start_token", F.when(F.col("doc_id") % 5 == 0, F.col("start_token") + 1).otherwise(F.col("start_token")))
+    return a, b
+
+
+PAIR_SQL = f"""{RULED_SQL}, a AS (SELECT doc_id, text, label, start_token, end_token, start_char, (start_char + length(text))::INT AS end_char FROM ents WHERE label IS NOT NULL), b AS (SELECT * REPLACE (CASE WHEN doc_id % 5 = 0 THEN start_token + 1 ELSE start_token END AS start_token) FROM a WHERE NOT (doc_id % 7 = 0 AND label = 'NUMBER'))"""
+
+
+@query(f"{PAIR_SQL} (SELECT doc_id, text, label, start_char, end_char, 'left' AS side FROM (SELECT doc_id, text, label, start_char, end_char FROM a EXCEPT ALL SELECT doc_id, text, label, start_char, end_char FROM b))")
+def semantic_diff(spark, sf_dir):
+    return parity.differences(*_pair(spark, sf_dir), columns=parity.SEMANTIC)
+
+
+@query(f"""{PAIR_SQL}, n AS (SELECT doc_id, count(*) AS l FROM a GROUP BY doc_id), m AS (SELECT doc_id, count(*) AS r FROM b GROUP BY doc_id), d AS (SELECT doc_id, l, coalesce(r, 0) AS r FROM n LEFT JOIN m USING (doc_id)),
+s AS (SELECT *, CASE WHEN l <> r THEN 1 WHEN doc_id % 5 = 0 THEN l ELSE 0 END AS strict, CASE WHEN l <> r THEN 1 ELSE 0 END AS semantic FROM d)
+SELECT count(*) AS documents, sum(l)::BIGINT AS entities, sum(strict)::BIGINT AS mismatches, sum(semantic)::BIGINT AS semantic, (sum(strict) - sum(semantic))::BIGINT AS token_only, sum(strict) = 0 AS passed FROM s""")
+def parity_summary(spark, sf_dir):
+    return parity.summary(*_pair(spark, sf_dir))
+
+
+@query("SELECT conv_id, turn, text FROM conversations WHERE trim(text) <> ''")
+def jsonl_batch(spark, sf_dir):
+    """Conversations written as JSON strings, one a line, and read back as the batch worker reads them."""
+    c = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    written = c.select("conv_id", "turn", lines.json_string(F.col("text")).alias("value"))
+    return lines.texts(written, json_input=True).select("conv_id", "turn", "text")
+
+
+@query(f"""{RULED_SQL}, e AS (SELECT doc_id, count(*) FILTER (label IS NOT NULL) AS n, min(lang) AS lang FROM ents GROUP BY doc_id) SELECT doc_id, lang AS language, n AS entities FROM e""")
+def jsonl_entities(spark, sf_dir):
+    """Documents as entity lines, read back."""
+    from spanframe.plans.catalog_lexical import documents
+
+    out = lines.entity_lines(documents(spark, sf_dir), E.collect(ruled(spark, sf_dir)), "lang")
+    back = out.select("doc_id", F.from_json("value", "language string, entities array<struct<label:string>>").alias("j"))
+    return back.select("doc_id", "j.language", F.size("j.entities").cast("bigint").alias("entities"))

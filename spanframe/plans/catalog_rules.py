@@ -153,14 +153,14 @@ def _preset(spark, sf_dir) -> DataFrame:
 
 
 BACK = {"label": "TRIAL", "pattern": [{"LOWER": "the"}, {"LENGTH": {">=": 3, "<=": 5}}]}
-SIMPLE_SQL = f"""WITH {TOKENS}, o AS (SELECT doc_id, min(i) AS at FROM (SELECT *, max(i) OVER (PARTITION BY doc_id) AS last FROM tok) WHERE lower(text) = 'and' AND i + 1 < last GROUP BY doc_id),
+SIMPLE_SQL = f"""WITH {TOKENS}, o AS (SELECT doc_id, min(i) AS seat FROM (SELECT *, max(i) OVER (PARTITION BY doc_id) AS last FROM tok) WHERE lower(text) = 'and' AND i + 1 < last GROUP BY doc_id),
 c AS (SELECT doc_id, i AS start, i + 2 AS stop FROM (SELECT *, lead(text) OVER (PARTITION BY doc_id ORDER BY i) AS nxt FROM tok) WHERE lower(text) = 'the' AND length(nxt) BETWEEN 3 AND 5),
-c2 AS (SELECT c.*, at FROM c LEFT JOIN o USING (doc_id)),
-won AS (SELECT doc_id, start, stop, at FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, grp ORDER BY start) AS k FROM (SELECT *, sum(brk) OVER (PARTITION BY doc_id ORDER BY start) AS grp FROM (SELECT *, (start <> coalesce(lag(start) OVER (PARTITION BY doc_id ORDER BY start), -9) + 1)::INT AS brk FROM %s))) WHERE k %% 2 = 1),
-old AS (SELECT doc_id, at AS start, at + 2 AS stop FROM o)"""
+c2 AS (SELECT c.*, seat FROM c LEFT JOIN o USING (doc_id)),
+won AS (SELECT doc_id, start, stop, seat FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, grp ORDER BY start) AS k FROM (SELECT *, sum(brk) OVER (PARTITION BY doc_id ORDER BY start) AS grp FROM (SELECT *, (start <> coalesce(lag(start) OVER (PARTITION BY doc_id ORDER BY start), -9) + 1)::INT AS brk FROM %s))) WHERE k %% 2 = 1),
+old AS (SELECT doc_id, seat AS start, seat + 2 AS stop FROM o)"""
 
 
-@query(SIMPLE_SQL % "(SELECT * FROM c2 WHERE at IS NULL OR NOT (start < at + 2 AND at < stop))" + """ SELECT doc_id, start, stop::INT AS "end", 'TRIAL' AS label FROM won UNION ALL SELECT doc_id, start, stop::INT, 'OLD' FROM old""")
+@query(SIMPLE_SQL % "(SELECT * FROM c2 WHERE seat IS NULL OR NOT (start < seat + 2 AND seat < stop))" + """ SELECT doc_id, start, stop::INT AS "end", 'TRIAL' AS label FROM won UNION ALL SELECT doc_id, start, stop::INT, 'OLD' FROM old""")
 def ruler_no_overwrite(spark, sf_dir):
     e = E.collect(R.annotate(_preset(spark, sf_dir), [BACK]))
     return e.select("doc_id", F.col("start_token").alias("start"), F.col("end_token").alias("end"), "label")
