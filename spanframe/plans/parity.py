@@ -12,9 +12,13 @@ SEMANTIC = ("text", "label", "start_char", "end_char")
 def differences(left: DataFrame, right: DataFrame, columns=STRICT) -> DataFrame:
     """(doc_id, columns, side): rows that only one table has, as often as it has them more often."""
     keys = ["doc_id", *columns]
-    both = left.select(*keys, F.lit(1).alias("n")).unionAll(right.select(*keys, F.lit(-1).alias("n")))
-    both = both.groupBy(*keys).agg(F.sum("n").alias("n")).where("n <> 0")
-    return both.select(*keys, F.when(F.col("n") > 0, "left").otherwise("right").alias("side"), F.explode(F.sequence(F.lit(1), F.abs("n"))).alias("k")).drop("k")
+    # Two grouped counts and a full join: a union of both sides would ask for equal partitions where they share a source.
+    a = left.groupBy(*keys).agg(F.count("*").alias("l"))
+    b = right.groupBy(*[F.col(k).alias(f"r_{k}") for k in keys]).agg(F.count("*").alias("r"))
+    match = [F.col(k).eqNullSafe(F.col(f"r_{k}")) for k in keys]
+    n = a.join(b, match, "full").withColumn("n", F.coalesce("l", F.lit(0)) - F.coalesce("r", F.lit(0))).where("n <> 0")
+    row = [F.when(F.col("n") > 0, F.col(k)).otherwise(F.col(f"r_{k}")).alias(k) for k in keys]
+    return n.select(*row, F.when(F.col("n") > 0, "left").otherwise("right").alias("side"), F.explode(F.sequence(F.lit(1), F.abs("n"))).alias("k")).drop("k")
 
 
 def per_document(left: DataFrame, right: DataFrame, columns=STRICT) -> DataFrame:
