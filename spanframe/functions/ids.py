@@ -88,7 +88,10 @@ def string_id(t: Column) -> Column:
     flag = F.regexp_extract(t, r"\AFLAG(1[9]|[2-5][0-9]|6[0-3])\z", 1).try_cast("bigint")
     old = F.regexp_extract(t, r"\ADEPRECATED([0-9]{3})\z", 1).try_cast("bigint")
     old = F.when(old.between(1, 276), old + 103)
-    return F.when(t == "", F.lit(0).cast("bigint")).otherwise(F.coalesce(F.try_element_at(table, t).cast("bigint"), flag, old, string_hash(t)))
+    # A map is searched entry by entry, a set is not: few strings are symbols.
+    known = F.when(t.isin(*SYMBOLS), F.try_element_at(table, t).cast("bigint"))
+    flag, old = F.when(t.startswith("FLAG"), flag), F.when(t.startswith("DEPRECATED"), old)
+    return F.when(t == "", F.lit(0).cast("bigint")).otherwise(F.coalesce(known, flag, old, string_hash(t)))
 
 
 def unsigned(id_: Column) -> Column:

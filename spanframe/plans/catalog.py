@@ -5,8 +5,8 @@ Each runs over its whole tables. A query and its SQL name their columns alike.
 
 from __future__ import annotations
 
-from spanframe.plans import catalog_labels, catalog_lexical, catalog_rules, catalog_vectors
+from spanframe.plans import catalog_labels, catalog_lexical, catalog_models, catalog_rules, catalog_vectors
 
-_PARTS = (catalog_lexical, catalog_rules, catalog_labels, catalog_vectors)
+_PARTS = (catalog_lexical, catalog_rules, catalog_labels, catalog_vectors, catalog_models)
 QUERIES = {k: f for p in _PARTS for k, f in p.QUERIES.items()}
 ORACLES = {k: s for p in _PARTS for k, s in p.ORACLES.items()}
