@@ -108,9 +108,9 @@ def with_gaps(rows: DataFrame, texts: DataFrame) -> DataFrame:
     own = F.struct(F.col("start").alias("idx"), F.col("surface").alias("text"), F.col("tag").alias("tag"))
     loose = F.when((F.col("gap") != "") & ~((F.col("gap") == " ") & ~F.col("first")), F.struct(F.col("stop").alias("idx"), F.col("gap").alias("text"), F.lit(SPACE_TAG).alias("tag")))
     size = F.length("whole")
-    last = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("k"))) == 1
+    x = x.withColumn("last", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("k"))) == 1)
     tail = F.expr("substring(whole, end + 1)")
-    ending = F.when(last & (F.col("end") < size) & (tail != " "), F.struct(F.col("end").alias("idx"), tail.alias("text"), F.lit(SPACE_TAG).alias("tag")))
+    ending = F.when(F.col("last") & (F.col("end") < size) & (tail != " "), F.struct(F.col("end").alias("idx"), tail.alias("text"), F.lit(SPACE_TAG).alias("tag")))
     t = x.select("doc_id", "whole", F.inline(F.array_compact(F.array(loose, own, ending))))
     bare = texts.join(rows.select("doc_id").distinct(), "doc_id", "left_anti").where("text <> ''").select("doc_id", F.col("text").alias("whole"), F.lit(0).alias("idx"), "text", F.lit(SPACE_TAG).alias("tag"))
     t = t.unionByName(bare)

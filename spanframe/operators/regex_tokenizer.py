@@ -13,6 +13,7 @@ from dataclasses import dataclass, field
 from functools import cached_property
 
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -20,6 +21,9 @@ from pyspark.sql import functions as F
 FORMAT = 1
 TOKEN = "struct<text:string,has_space:boolean,idx:int,norm:string>"
 _SPACE = regex.compile(r"\p{White_Space}")
+_PIECES = regex.compile(r"\P{White_Space}+ ?|\p{White_Space}+")
+#: Pieces whose tokens a task remembers; it bounds memory only.
+REMEMBERED = 200_000
 
 
 @dataclass(frozen=True)
@@ -63,14 +67,10 @@ class Config:
 
 def pieces(text: str) -> list[tuple[str, bool]]:
     """Runs with and without white space; one space after a run without is its has_space."""
-    out, at, n = [], 0, len(text)
-    while at < n:
-        space, end = bool(_SPACE.match(text[at])), at + 1
-        while end < n and bool(_SPACE.match(text[end])) == space:
-            end += 1
-        spaced = not space and end < n and text[end] == " "
-        out.append((text[at:end], spaced))
-        at = end + spaced
+    out = []
+    for p in _PIECES.findall(text):
+        spaced = len(p) > 1 and p[-1] == " " and not _SPACE.match(p)
+        out.append((p[:-1] if spaced else p, spaced))
     return out
 
 
@@ -141,16 +141,21 @@ def split_piece(piece: str, c: Config) -> list[str]:
     return before + middle + after[::-1]
 
 
-def tokenize(text: str, c: Config) -> list[tuple[str, bool, int, str]]:
+def tokenize(text: str, c: Config, known: dict | None = None) -> list[tuple[str, bool, int, str]]:
     """(text, has_space, idx, norm) of each token."""
     flat: list[tuple[str, bool]] = []
+    known = {} if known is None else known
+    if len(known) > REMEMBERED:
+        known.clear()
     for piece, spaced in pieces(text):
-        parts = [piece] if _SPACE.match(piece) else split_piece(piece, c)
+        parts = known.get(piece)
+        if parts is None:
+            parts = known[piece] = [piece] if _SPACE.match(piece) else split_piece(piece, c)
         flat += [(t, spaced and k == len(parts) - 1) for k, t in enumerate(parts)]
     out, k, at = [], 0, 0
     while k < len(flat):
         surface, best, end = "", None, k
-        while end < len(flat) and len(surface) < c.longest:
+        while c.longest and end < len(flat) and len(surface) < c.longest:
             surface += flat[end][0]
             end += 1
             if surface in c.exceptions and end > k:
@@ -177,9 +182,15 @@ def token_array(text: Column, config: Config) -> Column:
     """ARRAY of tokens; null stays null."""
 
     def run(it: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        kind = pa.list_(pa.struct([("text", pa.string()), ("has_space", pa.bool_()), ("idx", pa.int32()), ("norm", pa.string())]))
+        known: dict = {}
         for batch in it:
-            yield pa.array([None if t is None else [dict(zip(("text", "has_space", "idx", "norm"), x)) for x in tokenize(t, config)] for t in batch.to_pylist()], kind)
+            offsets, texts, spaces, at, norms = [0], [], [], [], []
+            for t in batch.to_pylist():
+                for x, spaced, idx, norm in tokenize(t or "", config, known):
+                    texts.append(x), spaces.append(spaced), at.append(idx), norms.append(norm)
+                offsets.append(len(texts))
+            rows = pa.StructArray.from_arrays([pa.array(texts, pa.string()), pa.array(spaces, pa.bool_()), pa.array(at, pa.int32()), pa.array(norms, pa.string())], ["text", "has_space", "idx", "norm"])
+            yield pc.if_else(batch.is_null(), None, pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), rows))
 
     return F.arrow_udf(run, f"array<{TOKEN}>")(text)
 
