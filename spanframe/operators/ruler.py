@@ -9,8 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from spanframe.operators.patterns import MORE, Pattern, attribute, compile_test, flag, normalize
 from spanframe.operators.patterns import BOOLEANS as _BOOLEANS
+from spanframe.operators.patterns import Pattern, attribute, compile_test, flag, normalize
 from spanframe.operators.tokens import by_doc
 
 #: Attributes that phrases can be compared by.

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanframe.functions import lexical
@@ -11,8 +11,7 @@ from spanframe.operators import entities as E
 from spanframe.operators import patterns as P
 from spanframe.operators import ruler as R
 from spanframe.operators import tokens as T
-from spanframe.plans.catalog_lexical import TOKENS, WORDS, documents, distinct_words
-from spanframe.plans.catalog_lexical import IPV4_SQL, OCTETS_SQL
+from spanframe.plans.catalog_lexical import NUM_SQL, TOKENS, WORDS, distinct_words, documents
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -111,8 +110,6 @@ RULES = [
     {"label": "EMAIL", "pattern": [{"LIKE_EMAIL": True}], "id": "mail"}, {"label": "IP", "pattern": [{"ORTH": {"REGEX": r"^[0-9]{1,3}(\.[0-9]{1,3}){3}$"}}]},
     {"label": "PHONE", "pattern": [{"ORTH": "+1"}, {"SHAPE": "(ddd)"}, {"SHAPE": "ddd-dddd"}]}, {"label": "NUMBER", "pattern": [{"LIKE_NUM": True, "LENGTH": {">": 1}}]},
 ]
-from spanframe.plans.catalog_lexical import NUM_SQL  # noqa: E402
-
 RULED_SQL = rf"""WITH {TOKENS}, f AS (SELECT *, regexp_replace(regexp_replace(text, '^[+\-±~]', ''), '[,.]', '', 'g') AS k, lead(text) OVER w AS t1, lead(text, 2) OVER w AS t2, lag(text) OVER w AS b1, lag(text, 2) OVER w AS b2 FROM tok WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
 g AS (SELECT *, text = '+1' AND regexp_matches(t1, '^\([0-9]{{3}}\)$') AND regexp_matches(t2, '^[0-9]{{3}}-[0-9]{{4}}$') AS phone, b2 = '+1' AND regexp_matches(b1, '^\([0-9]{{3}}\)$') AND regexp_matches(text, '^[0-9]{{3}}-[0-9]{{4}}$') AS phone3,
  b1 = '+1' AND regexp_matches(text, '^\([0-9]{{3}}\)$') AND regexp_matches(t1, '^[0-9]{{3}}-[0-9]{{4}}$') AS phone2 FROM f),
@@ -144,8 +141,6 @@ pre AS (SELECT doc_id, start, stop FROM (SELECT *, row_number() OVER (PARTITION
 def _preset(spark, sf_dir) -> DataFrame:
     """Tokens on which the first 'and' and the token after it are an entity OLD."""
     t = tokens(spark, sf_dir)
-    from pyspark.sql import Window
-
     size = F.max("i").over(Window.partitionBy("doc_id"))
     first = t.withColumn("last", size).where("lower(text) = 'and' and i + 1 < last").groupBy("doc_id").agg(F.min("i").alias("at"))
     t = t.join(first, "doc_id", "left")
