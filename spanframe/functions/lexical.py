@@ -133,14 +133,21 @@ def like_email(t: Column) -> Column:
     return t.rlike(r"\A[a-zA-Z0-9_.+-]+@[a-zA-Z0-9-]+\.[a-zA-Z0-9-.]+")
 
 
+def has_digit(t: Column) -> Column:
+    """A digit of any kind; tokens of ASCII alone, which most are, need only the small class."""
+    return t.rlike("[0-9]") | ((F.octet_length(t) != F.length(t)) & t.rlike(DIGIT))
+
+
 def like_num(t: Column, english: bool = True) -> Column:
-    compact = F.regexp_replace(F.regexp_replace(t, r"\A[+\-±~]", ""), "[,.]", "")
-    plain = compact.rlike(rf"\A{DIGIT}+\z") | compact.rlike(rf"\A{DIGIT}+/{DIGIT}+\z")
+    """One sign in front and any commas and points don't count. Regular expressions are only run on tokens with a digit."""
+    signed = F.substring(t, 1, 1).isin("+", "-", "±", "~")
+    compact = F.translate(F.when(signed, F.substring(t, F.lit(2), F.length(t))).otherwise(t), ",.", "")
+    plain = compact.rlike(rf"\A{DIGIT}+(?:/{DIGIT}+)?\z")
     if not english:
-        return plain
+        return has_digit(t) & plain
     # ASCII lower case only.
     low = F.translate(compact, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    return plain | low.isin(*CARDINALS, *ORDINALS) | low.rlike(rf"\A{DIGIT}+(?:st|nd|rd|th)\z")
+    return F.when(has_digit(t), plain | low.rlike(rf"\A{DIGIT}+(?:st|nd|rd|th)\z")).otherwise(low.isin(*CARDINALS, *ORDINALS))
 
 
 def is_public_ipv4(t: Column) -> Column:
