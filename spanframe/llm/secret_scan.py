@@ -2,7 +2,8 @@
 
 A worklist begins with a document's text. A layer is scanned by the rules; then each encoded run in it (URL escapes,
 Unicode escapes and character references, base64, and what is compressed within base64) is decoded to a layer of its own
-and put on the list, until nothing new comes. A layer that was there before, by its digest, isn't taken again, so cycles end.
+and put on the list, until nothing new comes. A layer that was there before, by its digest and by where each character comes from,
+isn't taken again, so cycles end; the same text from another place is a layer of its own, with findings of its own.
 Every character of a layer knows the piece of the original text it comes from, so a finding in any depth has a span there.
 
 Defined results: null and empty texts have no findings; the same secret found through several layers at the same span is
@@ -216,15 +217,21 @@ def _base64(layer: Layer, limit: int) -> Iterator[Layer | tuple[int, int, tuple[
 def scan(text: str, max_layer: int = MAX_LAYER) -> list[tuple[str, int, int, str, str]]:
     """(rule, start, end, path, secret) of every finding, by position; the path's steps are joined by '>'."""
     at = np.arange(len(text))
-    todo, seen, found = deque([(text, at, at + 1, ())]), set(), {}
+    todo, seen, known, found = deque([(text, at, at + 1, ())]), set(), {}, {}
     while todo:
         layer = todo.popleft()
         t, start, end, path = layer
         key = hashlib.blake2b(t.encode("utf-8", "surrogatepass"), digest_size=16).digest()
-        if key in seen:
-            continue
-        seen.add(key)
-        for rule, a, b in _matches(t):
+        if path:
+            # A text that comes from one compressed run is in one place however it is cut, so even a layer that holds itself ends.
+            place = hashlib.blake2b(np.ascontiguousarray(start), digest_size=16)
+            place.update(np.ascontiguousarray(end))
+            if (key, place.digest()) in seen:
+                continue
+            seen.add((key, place.digest()))
+        if key not in known:
+            known[key] = list(_matches(t))
+        for rule, a, b in known[key]:
             found.setdefault((rule, int(start[a:b].min()), int(end[a:b].max()), t[a:b]), path)
         todo.extend(_percent(layer))
         todo.extend(_escapes(layer))

@@ -51,6 +51,21 @@ def test_cycles_and_bombs_end():
     assert [f[0] for f in S.scan("x " + bomb, max_layer=1000)] == ["oversized_layer"]
 
 
+@pytest.mark.parametrize("layer", [x for x in LAYERS if x])
+def test_each_copy_of_an_encoded_secret_is_found(layer):
+    blob = LAYERS[layer](KEY)
+    text = f"a: {blob}\nb: {blob}\nc: {blob} end"
+    spans = {f[1:3] for f in S.scan(text) if f[0] == "github_token"}
+    assert len(spans) == 3 and all(any(m <= a < b <= m + len(blob) for a, b in spans) for m in (3, 7 + len(blob), 11 + 2 * len(blob)))
+    assert all(f[4] != KEY for f in S.scan(S.redacted(text)))
+
+
+def test_a_secret_encoded_two_ways_is_found_in_both_places():
+    text = f"{LAYERS['base64>gzip'](KEY)} and {LAYERS['base64>zlib'](KEY)} and {LAYERS['url'](KEY)} and {b64(KEY)}"
+    assert len({f[1:3] for f in S.scan(text) if f[0] == "github_token"}) == 4
+    assert all(f[4] != KEY for f in S.scan(S.redacted(text)))
+
+
 def test_plain_words_are_no_secrets():
     assert S.scan("the token of appreciation, password protected; keyboard internationalization responsibilities secretarial") == []
 
