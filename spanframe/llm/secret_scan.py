@@ -258,14 +258,15 @@ def suspects(texts: pa.Array) -> np.ndarray:
         flag = np.zeros(n, bool)
         if len(data):
             inside = _B64[data]
-            edge = np.diff(np.concatenate([[False], inside, [False]]).astype(np.int8))
-            a, b = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-            # A run may go on over the next text's beginning; that only makes more suspects.
+            border = np.zeros(len(data) + 1, bool)
+            border[offs] = True
+            # A text's end ends a run: one over a border would flag only the texts that hold its ends.
+            a = np.flatnonzero(inside & ~(np.concatenate([[False], inside[:-1]]) & ~border[:-1]))
+            b = np.flatnonzero(inside & ~(np.concatenate([inside[1:], [False]]) & ~border[1:])) + 1
             at = a[b - a >= MIN_BASE64]
-            stop = b[b - a >= MIN_BASE64] - 1
             k = np.flatnonzero(data == 37)
             k = k[k + 2 < len(data)]
-            at = np.concatenate([at, stop, k[_HEX[data[k + 1]] & _HEX[data[k + 2]]], np.flatnonzero(data == 92)])
+            at = np.concatenate([at, k[_HEX[data[k + 1]] & _HEX[data[k + 2]]], np.flatnonzero(data == 92)])
             k = np.flatnonzero(data == 38)
             k = k[k + 1 < len(data)]
             at = np.concatenate([at, k[data[k + 1] == 35]])

@@ -77,6 +77,14 @@ def test_suspects_miss_nothing():
     assert hit <= set(S.suspects(pa.array(texts)).tolist())
 
 
+def test_a_text_of_base64_symbols_alone_is_a_suspect_between_words():
+    blob = b64("key " + KEY).rstrip("=")
+    for texts in (["word", blob, "word"], ["word", None, blob, "", "word"], ["a b", blob, "c d"], [blob, blob, blob], ["x" * 19, "y"]):
+        want = [i for i, t in enumerate(texts) if t == blob]
+        assert S.suspects(pa.array(texts)).tolist() == want and all(S.scan(texts[i]) for i in want)
+        assert S.suspects(pa.array(["zz", *texts]).slice(1)).tolist() == want
+
+
 def test_secret_table(nasty, spark):
     assert S.secret_scan(nasty).count() == 0 and S.secret_scan(nasty.limit(0)).count() == 0
     x = spark.createDataFrame([(None, f"a {KEY}"), (1, f"a {KEY}"), (1, f"a {KEY}"), (2, None)], "doc_id int, text string")
