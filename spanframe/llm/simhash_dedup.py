@@ -1,9 +1,9 @@
 """SimHash near-duplicates: exact Hamming neighbours by a vantage-point tree whose leaves are shards.
 
 A document's fingerprint has 192 bits over its pairs of neighbouring words (case and ASCII punctuation don't count; a
-single word is its own feature), and the number of its words. The distance of two fingerprints is the larger of their
-Hamming distance and SCALE times the difference of their lengths' logarithms; as both are metrics, so is it, and the
-triangle bounds of the tree hold for it. Pairs at most RADIUS apart are near-duplicates; a group is what pairs connect.
+single word is its own feature). The distance of two fingerprints is their Hamming distance, whatever the texts' lengths; it
+is a metric, so the triangle bounds of the tree hold for it, though they cut off little at this radius: mostly the tree has
+one leaf, and all pairs of its blocks are compared. Pairs at most RADIUS apart are near-duplicates; a group is what pairs connect.
 
 Defined results: a null, empty or wordless text has no fingerprint and is in no group; documents with the same words are
 one fingerprint and so at distance 0, however many and however long; rows that repeat a doc_id are one document here.
@@ -25,12 +25,14 @@ WORDS = 3
 BITS = 64 * WORDS
 #: Near copies with some 4 % of their words changed differ in about 25 +- 5 bits, unrelated texts in 94 +- 7.
 RADIUS = 40
-#: RADIUS / SCALE is the allowed difference of log2 of the lengths: a factor of 1.13.
-SCALE = 230.0
+#: What the lengths' logarithms count for in the distance: nothing, as they don't bound the Hamming distance.
+SCALE = 0.0
 #: Fingerprints that the tree is fitted on. It decides how well the shards are balanced, never which pairs are found.
 TREE_SAMPLE = 8192
 #: Rows of a shard that one task compares at once; larger shards are cut into pairs of blocks, all of which are compared.
-BLOCK = 16384
+BLOCK = 1 << 18
+#: Blocks of a shard at least, for its tasks to be many, as long as they have FEW rows.
+SPREAD, FEW = 8, 4096
 _BITS = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.float32)
 
 
@@ -125,29 +127,34 @@ class VpTree:
         return np.concatenate(rows), np.concatenate(leaves), np.concatenate(home)
 
 
-def near(a: np.ndarray, la: np.ndarray, b: np.ndarray, lb: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Index pairs (in a, in b) at most radius apart, and their distances. Both are cut by their distance to a vantage
-    point far shorter than any text, which is the length alone, so that only a window of b is compared with each block of a."""
+def near(a: np.ndarray, la: np.ndarray, b: np.ndarray, lb: np.ndarray, radius: int, same: bool = False) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Index pairs (in a, in b) at most radius apart, and their distances. same: a is b, and each pair of two rows comes once.
+    All but the last word decide for nearly all pairs, as those of unrelated texts alone are further apart."""
     oa, ob = np.argsort(la, kind="stable"), np.argsort(lb, kind="stable")
-    a, la, b, lb = a[oa], la[oa], b[ob], lb[ob]
-    got = []
-    for at in range(0, len(a), 256):
-        to = min(len(a), at + 256)
+    la, lb = la[oa], lb[ob]
+    a, b = (np.ascontiguousarray(x.T) for x in (a[oa], b[ob]))
+    rows, cols = 16, 2048
+    xor, count, more = np.empty((rows, cols), U64), np.empty((rows, cols), np.uint8), np.empty((rows, cols), np.uint8)
+    for at in range(0, a.shape[1], rows):
+        to = min(a.shape[1], at + rows)
         lo, hi = np.searchsorted(lb, la[at] - radius, "left"), np.searchsorted(lb, la[to - 1] + radius, "right")
-        for x in range(lo, hi, 4096):
-            y = min(hi, x + 4096)
-            d = np.bitwise_count(a[at:to, 0][:, None] ^ b[x:y, 0][None, :])
-            for w in range(1, WORDS):
-                d += np.bitwise_count(a[at:to, w][:, None] ^ b[x:y, w][None, :])
-            flat = np.flatnonzero(d.ravel() <= radius)
-            if len(flat):
-                i, j = flat // (y - x), flat % (y - x)
+        for x in range(max(lo, at) if same else lo, hi, cols):
+            y = min(hi, x + cols)
+            v, d, e = (z[:to - at, :y - x] for z in (xor, count, more))
+            for w in range(WORDS - 1):
+                np.bitwise_xor(a[w, at:to, None], b[w, None, x:y], out=v)
+                np.bitwise_count(v, out=e if w else d)
+                if w:
+                    d += e
+            i, j = np.nonzero(d <= radius)
+            if len(i):
+                far = d[i, j] + np.bitwise_count(a[-1, at + i] ^ b[-1, x + j])
                 gap = np.abs(la[at + i] - lb[x + j])
-                ok = gap <= radius
-                got.append((oa[at + i[ok]], ob[x + j[ok]], np.maximum(d.ravel()[flat[ok]], gap[ok])))
-    if not got:
-        return np.zeros(0, int), np.zeros(0, int), np.zeros(0)
-    return tuple(np.concatenate(x) for x in zip(*got))
+                ok = (far <= radius) & (gap <= radius)
+                if same:
+                    ok &= x + j > at + i
+                if ok.any():
+                    yield oa[at + i[ok]], ob[x + j[ok]], np.maximum(far[ok], gap[ok])
 
 
 def _columns(t: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -173,6 +180,11 @@ def _forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return ids[k], ids[label[k]]
 
 
+def _edges(pairs: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    a, b = _forest(*(np.concatenate(z) for z in list(zip(*pairs))[:2]))
+    return np.minimum(a, b), np.maximum(a, b), np.zeros(len(a))
+
+
 def fingerprint_table(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, f0, f1, f2, n) of the documents that have an id and words."""
     t = docs.select(F.col(f"`{doc_id}`").cast("bigint").alias("doc_id"), F.col(f"`{text}`").alias("text")).where("doc_id is not null and text is not null")
@@ -212,7 +224,7 @@ def close_pairs(prints: DataFrame, radius: int = RADIUS, forest: bool = False) -
 
     routed = cut(prints.select("rep", *names).mapInArrow(route, "rep bigint, f0 bigint, f1 bigint, f2 bigint, n int, leaf int, home boolean"))
     size = {r.leaf: (r.h, r.q) for r in routed.groupBy("leaf").agg(F.sum(F.col("home").cast("int")).alias("h"), F.sum((~F.col("home")).cast("int")).alias("q")).collect()}
-    cells = {k: (-(-h // BLOCK), -(-q // (2 * BLOCK))) for k, (h, q) in size.items() if h}
+    cells = {k: (max(-(-h // BLOCK), min(SPREAD, -(-h // FEW))), -(-q // (2 * BLOCK))) for k, (h, q) in size.items() if h}
     if not cells:
         return spark.createDataFrame([], "a bigint, b bigint, distance double")
     grid = spark.sparkContext.broadcast(cells)
@@ -247,13 +259,19 @@ def close_pairs(prints: DataFrame, radius: int = RADIUS, forest: bool = False) -
         i, j = t["i"][0].as_py(), t["j"][0].as_py()
         A = np.flatnonzero(home & (block == i))
         B = np.flatnonzero(~home) if j < 0 else A if i == j else np.flatnonzero(home & (block == j))
-        x, y, d = near(f[A], length[A], f[B], length[B], radius)
-        a, b = rep[A[x]], rep[B[y]]
-        k = a < b if i == j else a != b
-        a, b, d = np.minimum(a, b)[k], np.maximum(a, b)[k], d[k]
-        if forest and len(a):
-            a, b = _forest(a, b)
-            a, b, d = np.minimum(a, b), np.maximum(a, b), np.zeros(len(a))
+        got, size = [], 0
+        for x, y, d in near(f[A], length[A], f[B], length[B], radius, same=i == j):
+            a, b = rep[A[x]], rep[B[y]]
+            k = a != b
+            got.append((np.minimum(a, b)[k], np.maximum(a, b)[k], d[k].astype(np.float64)))
+            size += len(a)
+            if forest and size > 1 << 20:
+                # Many copies of a text have far more pairs than are needed to connect them.
+                got = [_edges(got)]
+                size = 0
+        if forest and got:
+            got = [_edges(got)]
+        a, b, d = (np.concatenate(z) for z in zip(*got)) if got else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "distance": pa.array(d, pa.float64())})
 
     laid = routed.mapInArrow(spread, "rep bigint, f0 bigint, f1 bigint, f2 bigint, n int, leaf int, home boolean, block bigint, i bigint, j bigint")

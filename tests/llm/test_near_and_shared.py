@@ -70,6 +70,29 @@ def test_many_shards_and_blocks_find_all_pairs(spark, monkeypatch):
     assert {(r.id, r.group) for r in components(spark.createDataFrame(list(edges), "a bigint, b bigint")).collect()} == whole
 
 
+def test_near_copies_of_other_lengths_are_found(spark):
+    rows = []
+    for g, more in enumerate((45, 60, 75, 90)):
+        base = prose(500 + g, 300)
+        rows += [(2 * g, base), (2 * g + 1, base + " " + prose(600 + g, more))]
+    f, n = S.fingerprints(pa.array([t for _, t in rows]))
+    ham = np.bitwise_count(f[::2] ^ f[1::2]).sum(1)
+    assert (n[1::2] >= 1.15 * n[::2]).all() and (ham <= S.RADIUS).all()
+    got = {r.doc_id: r.group_id for r in S.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert got == {i: i // 2 * 2 for i in range(8)}
+
+
+def test_many_copies_are_connected_with_few_edges():
+    r = np.random.default_rng(0)
+    f = np.repeat(r.integers(0, 1 << 63, (3, S.WORDS)).astype(np.uint64), 40, 0)
+    f[:, 2] ^= np.uint64(1) << r.integers(0, 60, 120).astype(np.uint64)
+    zero = np.zeros(120)
+    pairs = {(min(i, j), max(i, j)) for x, y, d in S.near(f, zero, f, zero, 2, same=True) for i, j in zip(x, y)}
+    assert pairs == {(i, j) for i in range(120) for j in range(i + 1, 120) if i // 40 == j // 40}
+    apart = {(i, j) for x, y, d in S.near(f[:50], zero[:50], f[50:], zero[50:], 2) for i, j in zip(x, y)}
+    assert apart == {(i, j) for i in range(50) for j in range(70) if i // 40 == (j + 50) // 40}
+
+
 def test_dropping_keeps_one_of_each_group_and_repeated_rows_once(nasty):
     out = S.drop_near_duplicates(nasty)
     assert out.columns == nasty.columns
