@@ -50,6 +50,30 @@ def test_language_edges(nasty):
     assert not any(r.keep for r in L.language_id(nasty.withColumn("lang", L.F.lit(None).cast("string"))).collect())
 
 
+UNSEEN = {
+    "ru": "Все люди рождаются свободными и равными в своём достоинстве и правах, 10 декабря 1948 года. ", "el": "Όλοι οι άνθρωποι γεννιούνται ελεύθεροι και ίσοι στην αξιοπρέπεια και τα δικαιώματα. ",
+    "ar": "يولد جميع الناس أحرارا متساوين في الكرامة والحقوق وقد وهبوا عقلا وضميرا. ", "zh": "人人生而自由,在尊严和权利上一律平等。他们赋有理性和良心,并应以兄弟关系的精神相对待。人人生而自由。 ",
+}
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_unseen_scripts_go_and_clean_documents_stay(spark, seed):
+    r = random.Random(seed)
+    # Of three languages of unlike sizes and lengths, one with a few letters outside the alphabet.
+    rows = [(i, sentence(g, r)[:r.randrange(60, 300)] + " 12, 1999. " * r.randrange(3) + ("\u0416" if i == 0 else ""), g) for i, g in enumerate(r.choice("aa aa aa bb cc".split()) for _ in range(150))]
+    kind = "doc_id int, text string, lang string"
+    m = L.train(spark.createDataFrame(rows, kind))
+    assert m.min_score > 0
+    texts = [(k, t * n, None) for k, t in enumerate(UNSEEN.values()) for n in (1, 9)]
+    lut, flags = m.letters.table(), np.zeros(L.SPACE_OF, bool)
+    s, letters = m.score([t for _, t, _ in texts], lut, flags)
+    assert (letters >= L.MIN_LETTERS).all() and (s.max(1) < m.min_score).all()
+    foreign = spark.createDataFrame(texts, kind)
+    assert not any(x.r.keep for x in foreign.select(L.identify(foreign, m).alias("r")).collect())
+    clean = spark.createDataFrame([(k, sentence(g, r), g) for k, g in enumerate("aa bb cc".split() * 20)], kind)
+    assert all(x.r.keep and x.r.language == x.lang for x in clean.select("lang", L.identify(clean, m).alias("r")).collect())
+
+
 def waterfill(sizes, weights, budget, most):
     """The definition, round by round."""
     capped, target = set(), {}
