@@ -4,7 +4,8 @@ A table hashes a vector by PROJECTIONS random projections (Gaussian, so 2-stable
 is the distance at which neighbours are expected. Given where a query is in its cells, the chance that a neighbour at
 distance r falls into the cell before or after is known in each projection; the chance of a perturbed bucket is their
 product. A query visits buckets in the order of that chance until its sum reaches what each table has to find for the
-target over all tables. Candidates of a bucket are compared by exact distance; the best of all tables are merged.
+target over all tables. A query for which PROBES buckets a table don't reach it is compared with all vectors instead.
+Candidates of a bucket are compared by exact distance; the best of all tables are merged.
 
 r comes from a bounded sample (SAMPLE vectors) and is the 95th percentile, over queries in it, of the distance to as many
 neighbours as the sample should have; a sample too small to have one makes r larger, so more buckets are visited, never fewer.
@@ -30,7 +31,7 @@ K = 10
 TABLES = 2
 TARGET = 0.965
 SAMPLE = 4096
-#: Perturbations that are weighed for a query, at most; they are those of the best expected chance.
+#: Perturbations that are weighed for a query, at most; they are those of the best expected chance. Where they are too few, all buckets are visited.
 PROBES = 4096
 #: Vectors of a table that one group holds, and queries that it answers.
 SHARD, QUERIES_AT_ONCE = 8192, 16384
@@ -113,12 +114,23 @@ class Hash:
 
     def probes(self, x: np.ndarray, t: int) -> tuple[np.ndarray, np.ndarray]:
         """(query, perturbation set) of the buckets that each query visits in table t, in the order of their chance."""
+        return self.weighed(x, t)[:2]
+
+    def weighed(self, x: np.ndarray, t: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """What probes() gives, and the summed chance of each query's buckets."""
         _, here, _, _, odds = self.borders(x, t)
         score = np.exp(odds.astype(np.float32) @ self.sets.T + np.log(here).sum(1, keepdims=True).astype(np.float32))
         best = np.argsort(-score, 1, kind="stable")
         got = np.cumsum(np.take_along_axis(score, best, 1), 1)
         q, at = np.nonzero(np.concatenate([np.ones((len(x), 1), bool), got[:, :-1] < self.each], 1))
-        return q, best[q, at]
+        return q, best[q, at], got[np.arange(len(x)), np.bincount(q, minlength=len(x)) - 1]
+
+    def plan(self, x: np.ndarray) -> tuple[list[tuple[np.ndarray, np.ndarray]], np.ndarray]:
+        """probes() of each table, and which queries they don't suffice for: these visit nothing there and are to be compared with all."""
+        found = [self.weighed(x, t) for t in range(self.tables)]
+        lost = np.prod([1 - np.minimum(got.astype(np.float64), 1) for _, _, got in found], 0)
+        whole = lost > (1 - self.each) ** self.tables + 1e-5
+        return [(q[~whole[q]], sets[~whole[q]]) for q, sets, _ in found], whole
 
     def visited(self, x: np.ndarray, t: int, q: np.ndarray, sets: np.ndarray) -> np.ndarray:
         """The keys of the buckets that perturbation sets lead to."""
@@ -219,8 +231,16 @@ def nearest(vectors: DataFrame, k: int = K, vec_id: str = "vec_id", embedding: s
         for batch in batches:
             for at in range(0, len(batch), 512):
                 ids, x = vectors_of(batch.slice(at, 512))
-                for t in range(h.tables):
-                    q, sets = h.probes(x, t)
+                plan, whole = h.plan(x)
+                whole = np.flatnonzero(whole)
+                for s in range(shards if len(whole) else 0):
+                    # Each vector is once in the first table; no perturbation set stands for all of a group.
+                    none = pa.ListArray.from_arrays(pa.array(np.zeros(len(whole) + 1, np.int32)), pa.array([], pa.int16()))
+                    chunk = (mix(ids[whole].view(U64)) % U64(chunks)).astype(np.int32)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(whole), np.int32)), pa.array(np.full(len(whole), s, np.int32)), pa.array(chunk), pa.array(ids[whole]), none, raw(x[whole])], ["t", "shard", "chunk", "id", "sets", "v"])
+                for t, (q, sets) in enumerate(plan):
+                    if not len(q):
+                        continue
                     key = h.visited(x, t, q, sets)
                     shard = (key % U64(shards)).astype(np.int64)
                     by = np.lexsort((shard, q))
@@ -236,10 +256,17 @@ def nearest(vectors: DataFrame, k: int = K, vec_id: str = "vec_id", embedding: s
         if not len(data) or not len(asked):
             return pa.table({"id": pa.array([], pa.int64()), "n": pa.array([], pa.list_(pa.int64())), "d": pa.array([], pa.list_(pa.float64()))})
         sets = asked["sets"].combine_chunks()
-        visit = np.repeat(np.arange(len(asked)), np.diff(sets.offsets.to_numpy()))
+        many = np.diff(sets.offsets.to_numpy())
+        visit = np.repeat(np.arange(len(asked)), many)
         qid, q = asked["id"].to_numpy(), _matrix(asked["v"], dim)
         keys = sent.value.visited(q, asked["t"][0].as_py(), visit, sets.flatten().to_numpy())
-        i, n, d = search(data["key"].to_numpy().view(U64), data["id"].to_numpy(), _matrix(data["v"], dim), qid, q, visit, keys, k)
+        bucket, ids, x = data["key"].to_numpy().view(U64), data["id"].to_numpy(), _matrix(data["v"], dim)
+        i, n, d = search(bucket, ids, x, qid, q, visit, keys, k)
+        whole = np.flatnonzero(many == 0)
+        if len(whole):
+            # All vectors as one bucket.
+            one = search(np.zeros(len(ids), U64), ids, x, qid[whole], q[whole], np.arange(len(whole)), np.zeros(len(whole), U64), k)
+            i, n, d = (np.concatenate(z) for z in zip((i, n, d), (whole[one[0]], *one[1:])))
         edge = np.flatnonzero(np.concatenate([[True], i[1:] != i[:-1]])) if len(i) else np.zeros(0, int)
         cuts = pa.array(np.append(edge, len(i)), pa.int32())
         trim()

@@ -191,6 +191,25 @@ def test_probes_are_in_the_order_of_their_chance_and_reach_the_target():
     assert hit > 0.86
 
 
+def test_queries_beyond_the_probes_are_compared_with_all(spark, monkeypatch):
+    """As at millions of vectors, the perturbations that are weighed are too few for the chance that is needed."""
+    r = np.random.default_rng(3)
+    x = r.standard_normal((600, 12)).astype(np.float32)
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id bigint, embedding array<float>")
+    d = ((x[:, None].astype(float) - x[None]) ** 2).sum(2)
+    np.fill_diagonal(d, np.inf)
+    want = {(i, int(j)) for i in range(len(x)) for j in np.argsort(d[i], kind="stable")[:5]}
+    monkeypatch.setattr(A, "BUCKET", 2)
+    monkeypatch.setattr(A, "PROBES", 8)
+    monkeypatch.setattr(A, "SHARD", 100)
+    monkeypatch.setattr(A, "QUERIES_AT_ONCE", 250)
+    got = [(q.vec_id, q.neighbor_id) for q in A.nearest(table, k=5).collect()]
+    assert len(got) == len(set(got)) == 3000 and len(want & set(got)) >= 0.965 * len(want)
+    h = A.Hash(x, len(x), 5, 2, 0.965)
+    plan, whole = h.plan(x)
+    assert whole.any() and not any(whole[q].any() for q, _ in plan)
+
+
 def test_ann_edges(spark):
     nan = float("nan")
     rows = [(1, [1.0, 0.0]), (2, [1.0, 0.0]), (2, [1.0, 0.0]), (3, [0.0, 1.0]), (4, None), (None, [1.0, 1.0]), (5, [nan, 1.0]), (6, [1.0, None]), (7, [1.0]), (8, [])]
