@@ -1,6 +1,7 @@
 """The queries over the given tables and their DuckDB equivalents.
 
-Each runs over its whole tables. A query and its SQL name their columns alike.
+Each runs over its whole tables, but string_hashes, fuzzy_predicates and phrase_match_candidates take what their SQL can follow;
+the queries of the same names with _whole take all tokens and passages, and have no SQL. A query and its SQL name their columns alike.
 """
 
 from __future__ import annotations

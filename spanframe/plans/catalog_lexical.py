@@ -252,6 +252,13 @@ def string_hashes(spark, sf_dir):
     return w.select("text", ids.unsigned(ids.string_hash(F.col("text"))).cast("string").alias("id"))
 
 
+@query()
+def string_hashes_whole(spark, sf_dir):
+    """All tokens, of any length and script; string_hashes has those that its SQL can hash."""
+    w = distinct_words(spark, sf_dir).select(F.lower("text").alias("text")).distinct()
+    return w.select("text", ids.unsigned(ids.string_hash(F.col("text"))).cast("string").alias("id"))
+
+
 @query()
 def string_ids(spark, sf_dir):
     return ids.intern(spark, distinct_words(spark, sf_dir), "text").select(ids.unsigned(F.col("id")).alias("id"), "text")

@@ -59,12 +59,20 @@ def morph_set_relations(spark, sf_dir):
     return o.select("o_orderkey", *[P.compile_test({"MORPH": v}).alias(k) for k, v in t.items()])
 
 
+FUZZY = {"near": {"FUZZY": "ation"}, "nearer": {"FUZZY1": "ation"}, "either": {"FUZZY2": {"IN": ["the", "tion"]}}}
+
+
 @query(f"""{WORDS}, ascii AS (SELECT * FROM words WHERE regexp_matches(text, '^[\\x00-\\x7F]*$'))
 SELECT text, n, levenshtein(text, 'ation') <= 2 AS near, levenshtein(text, 'ation') <= 1 AS nearer, levenshtein(text, 'the') <= 2 OR levenshtein(text, 'tion') <= 2 AS either FROM ascii""")
 def fuzzy_predicates(spark, sf_dir):
     w = distinct_words(spark, sf_dir).where(lexical.is_ascii(F.col("text")))
-    t = {"near": {"FUZZY": "ation"}, "nearer": {"FUZZY1": "ation"}, "either": {"FUZZY2": {"IN": ["the", "tion"]}}}
-    return w.select("text", "n", *[P.compile_test({"ORTH": v}).alias(k) for k, v in t.items()])
+    return w.select("text", "n", *[P.compile_test({"ORTH": v}).alias(k) for k, v in FUZZY.items()])
+
+
+@query()
+def fuzzy_predicates_whole(spark, sf_dir):
+    """All tokens, by the distance of their characters; DuckDB's is that of bytes, so fuzzy_predicates has ASCII alone."""
+    return distinct_words(spark, sf_dir).select("text", "n", *[P.compile_test({"ORTH": v}).alias(k) for k, v in FUZZY.items()])
 
 
 # Benchmark passages' first words as phrases: what a decontamination list would hold.
@@ -81,6 +89,16 @@ def phrase_match_candidates(spark, sf_dir):
     return R.phrase_matches(tokens(spark, sf_dir), phrases).select("doc_id", "start", "end", "label")
 
 
+@query()
+def phrase_match_candidates_whole(spark, sf_dir):
+    """Any part of a passage: every GRAM tokens in a row, and shorter passages as they are."""
+    b = T.flat(spark.read.parquet(f"{sf_dir}/benchmark.parquet").select(F.col("item_id").alias("doc_id"), "text"))
+    own = Window.partitionBy("doc_id")
+    grams = b.select("doc_id", "i", F.collect_list("text").over(own.orderBy("i").rowsBetween(0, GRAM - 1)).alias("words"), F.count("*").over(own).alias("size"))
+    phrases = grams.where(F.size("words") == F.least(F.lit(GRAM), "size")).groupBy("words").agg(F.concat(F.lit("item"), F.min("doc_id").cast("string")).alias("label")).select("words", "label", F.lit("").alias("ent_id"), F.lit(0).alias("priority"))
+    return R.phrase_matches(tokens(spark, sf_dir), phrases).select("doc_id", "start", "end", "label")
+
+
 # the  (content of 3 to 5 letters){1,2}  a token that isn't 'of'
 TRIAL = {"label": "TRIAL", "pattern": [{"LOWER": "the"}, {"LENGTH": {">=": 3, "<=": 5}, "OP": "{1,2}"}, {"LOWER": "of", "OP": "!"}, {"LOWER": {"IN": ["in", "on"]}, "OP": "?"}]}
 TRIAL_SQL = f"""WITH {TOKENS}, l AS (SELECT doc_id, i, lower(text) = 'the' AS m0, length(text) BETWEEN 3 AND 5 AS m1, lower(text) = 'of' AS m2, lower(text) IN ('in', 'on') AS m3 FROM tok),

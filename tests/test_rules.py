@@ -166,3 +166,47 @@ def test_lines_and_stream(spark, tmp_path):
     assert sorted(tuple(r) for r in lines.corpus(spark, str(tmp_path / "c.jsonl")).collect()) == [("k", "x"), ("line-3", "y")]
     x = spark.createDataFrame([('"a\\nb"',), ("",)], "value string")
     assert [r.text for r in lines.texts(x, json_input=True).collect()] == ["a\nb"]
+
+
+def _levenshtein(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
+def _murmur(raw, seed=1):
+    m, mask = 0xC6A4A7935BD1E995, (1 << 64) - 1
+    h = seed ^ len(raw) * m & mask
+    for k in range(0, len(raw) // 8 * 8, 8):
+        x = int.from_bytes(raw[k:k + 8], "little") * m & mask
+        h = (h ^ (x ^ x >> 47) * m & mask) * m & mask
+    if len(raw) % 8:
+        h = (h ^ int.from_bytes(raw[len(raw) // 8 * 8:], "little")) * m & mask
+    h = (h ^ h >> 47) * m & mask
+    return h ^ h >> 47
+
+
+def test_whole_queries_take_all_tokens_and_passages(spark, tmp_path):
+    from spanframe.plans import catalog
+
+    docs = ["Donaudampfschifffahrtsgesellschaft ätion nátion été the", "z alpha beta gamma delta epsilon\nzeta eta theta", "short one here", "delta epsilon\nzeta and nation"]
+    items = ["alpha beta gamma delta epsilon\nzeta eta", "short one", "beta gamma delta epsilon"]
+    spark.createDataFrame(list(enumerate(docs)), "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(list(enumerate(items)), "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    run = lambda name: catalog.QUERIES[name](spark, str(tmp_path)).collect()
+    cut = lambda t: [x for x in t.replace("\n", " \n ").split(" ") if x]
+    words = {w for t in docs for w in cut(t)}
+    assert {r.text: int(r.id) for r in run("string_hashes_whole")} == {w.lower(): _murmur(w.lower().encode()) for w in words}
+    fuzzy = {r.text: (r.near, r.nearer, r.either) for r in run("fuzzy_predicates_whole")}
+    assert fuzzy == {w: (_levenshtein(w, "ation") <= 2, _levenshtein(w, "ation") <= 1, _levenshtein(w, "the") <= 2 or _levenshtein(w, "tion") <= 2) for w in words}
+    assert fuzzy["ätion"][1]
+    label = {}
+    for k, t in enumerate(map(cut, items)):
+        for a in range(max(1, len(t) - 3)):
+            label.setdefault(tuple(t[a:a + 4]), f"item{k}")
+    want = {(d, a, a + n, label[g]) for d, t in enumerate(map(cut, docs)) for a in range(len(t)) for n in range(1, 5) if a + n <= len(t) and (g := tuple(t[a:a + n])) in label}
+    got = [tuple(r) for r in run("phrase_match_candidates_whole")]
+    assert len(got) == len(set(got)) and set(got) == want and (2, 0, 2, "item1") in want
