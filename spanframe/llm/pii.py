@@ -28,7 +28,7 @@ THRESHOLD = 0.5
 
 _WIDE = {
     "EMAIL": re.compile(r"[^\s@<>()\[\]\"',;:]+@[^\s@<>()\[\]\"',;:]+"),
-    "PHONE": re.compile(r"(?<![\w.])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)|\d{2,4})[ .-]\d{3,4}[ .-]?\d{3,4}(?!\d)|\+\d{8,15}(?!\d)"),
+    "PHONE": re.compile(r"(?<![\w.])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)|\d{2,4})[ .-]\d{3,4}[ .-]?\d{3,4}(?!\d)|\+\d{8,15}(?!\d)|(?<![\w.])[+(]{0,2}\d(?:[ ./()-]{0,2}\d){6,14}(?![ .-]?\d)"),
     "IP": re.compile(r"(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?!\d)(?!\.\d)"),
     "CARD": re.compile(r"(?<!\d)\d(?:[ -]?\d){12,18}(?!\d)"),
     "SSN": re.compile(r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])"),
@@ -37,7 +37,7 @@ _WIDE = {
 }
 _STRICT = {
     "EMAIL": re.compile(r"[A-Za-z0-9][A-Za-z0-9._%+-]*@(?:[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?\.)+[A-Za-z]{2,24}"),
-    "PHONE": re.compile(r"(?:\+\d{1,3}[ .-]?)(?:\(\d{2,4}\)|\d{2,4})[ .-]\d{3,4}[ .-]?\d{3,4}|\(\d{3}\) ?\d{3}-\d{4}|\d{3}[-.]\d{3}[-.]\d{4}|\+\d{8,15}"),
+    "PHONE": re.compile(r"(?:\+\d{1,3}[ .-]?)(?:\(\d{2,4}\)|\d{2,4})[ .-]\d{3,4}[ .-]?\d{3,4}|\(\d{3}\) ?\d{3}-\d{4}|\d{3}[-.]\d{3}[-.]\d{4}|\+\d{8,15}|0\d(?:([ .-])\d{2})(?:\1\d{2}){3}|[6-9]\d{2}(?:([ .-])\d{2})(?:\2\d{2}){2}|\+\d{1,3}[ .-]?\(?\d{1,4}\)?(?:[ .-]?\d{2,4}){2,5}"),
     "IP": re.compile(r"(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)"),
     "CARD": re.compile(r"\d{4}([ -]?)\d{4}\1\d{4}\1\d{4}|\d{4}([ -]?)\d{6}\2\d{5}"),
     "SSN": re.compile(r"(?!000|666|9\d\d)\d{3}-(?!00)\d{2}-(?!0000)\d{4}"),
@@ -57,6 +57,7 @@ _CONTEXT = {
     "IBAN": ("iban", "bank", "account", "konto", "compte", "cuenta"),
     "NAME": ("name", "mr", "mrs", "dr", "dear", "by ", "signed", "author", "herr", "frau", "señor", "nom", "nombre"),
 }
+_NEAR = {kind: re.compile("|".join(r"\b" + re.escape(w) if w[0].isalpha() else re.escape(w) for w in words)) for kind, words in _CONTEXT.items()}
 _AGAINST = ("version", "isbn", "issn", "doi", "sha", "build", "release", "serial", "order no", "invoice", "figure", "section", "chapter", "rev.", "id:")
 
 
@@ -78,7 +79,7 @@ def _check(kind: str, v: str) -> int:
     if kind == "IP":
         return 2 if all(int(x) < 256 and (x == "0" or x[0] != "0") for x in v.split(".")) else 1
     if kind == "PHONE":
-        return 2 if 10 <= len(digits) <= 15 else 1
+        return 2 if 9 <= len(digits) <= 15 else 1
     if kind == "EMAIL":
         local, _, host = v.partition("@")
         return 1 if ".." in v or local[-1:] == "." or "." not in host else 2
@@ -112,7 +113,7 @@ def votes(text: str, kind: str, a: int, b: int) -> tuple[int, ...]:
         2 if _STRICT[kind].fullmatch(v) else 1,
         _check(kind, v),
         _gazetteer(kind, v),
-        2 if any(re.search(r"\b" + re.escape(w) if w[0].isalpha() else re.escape(w), near) for w in _CONTEXT[kind]) else 0,
+        2 if _NEAR[kind].search(near) else 0,
         1 if any(w in left[-20:] for w in _AGAINST) else 0,
         1 if before.isalnum() or after.isalnum() or before == "@" or before and before in "=/_" else 2,
     )
@@ -132,7 +133,8 @@ def propose(text: str) -> list[tuple[str, int, int, tuple[int, ...], int]]:
                 s = _STRICT[kind].search(m.group())
                 if s:
                     a, b = a + s.start(), a + s.end()
-            if kind == "NAME" and not (set(m.group().replace(".", "").split()) & GIVEN_NAMES or _STRICT["NAME"].fullmatch(m.group())):
+            # Most capitalised pairs are no names; one with a given name, a title or a name's context is put to the vote.
+            if kind == "NAME" and not (set(m.group().replace(".", "").split()) & GIVEN_NAMES or _STRICT["NAME"].fullmatch(m.group()) or _NEAR["NAME"].search(text[max(0, a - 48):a].lower() + " " + text[b:b + 24].lower())):
                 continue
             n = b - a
             out.append((kind, a, b, votes(text, kind, a, b), 2 * min(5, n // 6) + (" " in m.group())))

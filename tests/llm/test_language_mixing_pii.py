@@ -159,3 +159,15 @@ def test_pii_edges(nasty, spark):
     assert P.detect(nasty.limit(0)).count() == 0
     x = spark.createDataFrame([(None, "mail a.b@c.example.com x"), (1, "mail a.b@c.example.com x"), (1, "mail a.b@c.example.com x")] * 2, "doc_id int, text string")
     assert P.detect(x).count() == 6
+
+
+@pytest.mark.parametrize("phone", ["06 12 34 56 78", "+33 6 12 34 56 78", "01.23.45.67.89", "912 34 56 78", "(984)555-5227", "9845555227", "+1 (984) 555-5227", "030/1234567"])
+def test_phones_of_any_grouping_are_proposed(phone):
+    text = f"please call {phone} today"
+    assert (12, 12 + len(phone)) in [(a, b) for kind, a, b, _, _ in P.propose(text) if kind == "PHONE"]
+
+
+@pytest.mark.parametrize("text,name", [("my name is Xavier Dupont, hello", "Xavier Dupont"), ("signed Oluwaseun Adeyemi", "Oluwaseun Adeyemi"), ("we met Mary Miller", "Mary Miller")])
+def test_names_are_proposed_by_context_too(text, name):
+    assert name in [text[a:b] for kind, a, b, _, _ in P.propose(text) if kind == "NAME"]
+    assert not [x for x in P.propose("they saw Xavier Dupont there") if x[0] == "NAME"]
