@@ -1,7 +1,7 @@
 """Secret scans through nested encodings.
 
 A worklist begins with a document's text. A layer is scanned by the rules; then each encoded run in it (URL escapes,
-Unicode escapes and character references, base64, and what is compressed within base64) is decoded to a layer of its own
+Unicode escapes and character references, base64, and what is compressed within any of them, all its members) is decoded to a layer of its own
 and put on the list, until nothing new comes. A layer that was there before, by its digest and by where each character comes from,
 isn't taken again, so cycles end; the same text from another place is a layer of its own, with findings of its own.
 Every character of a layer knows the piece of the original text it comes from, so a finding in any depth has a span there.
@@ -23,6 +23,7 @@ import re
 import zlib
 from collections import Counter, deque
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -87,25 +88,53 @@ def _plausible(m: re.Match) -> bool:
     return (mixed or told and cases) and _entropy(v) >= MIN_ENTROPY
 
 
-def _inflate(data: bytes, limit: int) -> tuple[str, bytes] | None:
-    """(kind, content) of compressed data; content is longer than limit where it would be. None: not compressed, or broken."""
-    try:
-        if data[:2] == b"\x1f\x8b":
-            return "gzip", zlib.decompressobj(31).decompress(data, limit + 1)
-        if len(data) > 2 and data[0] & 15 == 8 and (data[0] << 8 | data[1]) % 31 == 0:
-            return "zlib", zlib.decompressobj().decompress(data, limit + 1)
-        if data[:3] == b"BZh":
-            return "bz2", bz2.BZ2Decompressor().decompress(data, limit + 1)
-        if data[:6] == b"\xfd7zXZ\0" or data[:3] == b"\x5d\0\0":
-            return "xz", lzma.LZMADecompressor().decompress(data, limit + 1)
-        if data[:4] == b"\x28\xb5\x2f\xfd":
-            with zstandard.ZstdDecompressor().stream_reader(data) as r:
-                return "zstd", r.read(limit + 1)
-    except (zlib.error, OSError, EOFError, lzma.LZMAError, zstandard.ZstdError, ValueError):
-        return None
+_MAGIC = re.compile(rb"\A[\x08\x18\x28\x38\x48\x58\x68\x78]|\x1f\x8b\x08|\x78[\x01\x5e\x9c\xda]|BZh[1-9]|\xfd7zXZ\0|\x5d\0\0|\x28\xb5\x2f\xfd")
+_ERRORS = (zlib.error, OSError, EOFError, lzma.LZMAError, zstandard.ZstdError, ValueError)
+
+
+def _kind(head: bytes) -> tuple[str, object] | None:
+    if head[:2] == b"\x1f\x8b":
+        return "gzip", lambda: zlib.decompressobj(31)
+    if len(head) > 2 and head[0] & 15 == 8 and (head[0] << 8 | head[1]) % 31 == 0:
+        return "zlib", zlib.decompressobj
+    if head[:3] == b"BZh":
+        return "bz2", bz2.BZ2Decompressor
+    if head[:6] == b"\xfd7zXZ\0" or head[:3] == b"\x5d\0\0":
+        return "xz", lzma.LZMADecompressor
+    if head[:4] == b"\x28\xb5\x2f\xfd":
+        return "zstd", lambda: zstandard.ZstdDecompressor().decompressobj()
     return None
 
 
+def _inflate(data: bytes, limit: int) -> tuple[str, bytes, int] | None:
+    """(kind, content, bytes read) of compressed data, all members one after another; content is longer than limit where it
+    would be. None: not compressed, or broken in its first member; of one broken later, the members before it."""
+    view, at, out, size, first = memoryview(data), 0, [], 0, None
+    while size <= limit and (found := _kind(bytes(view[at:at + 6]))) and first in (None, found[0]):
+        kind, make = found
+        d, k, part, room = make(), at, [], limit + 1 - size
+        try:
+            while k < len(view) and room > 0 and not d.eof:
+                # zstd has no limit of its own: so few bytes at once are some megabytes at most.
+                x = view[k:k + (256 if kind == "zstd" else 1 << 16)]
+                got = d.decompress(x) if kind == "zstd" else d.decompress(x, room)
+                k += len(x)
+                room -= len(got)
+                part.append(got)
+        except _ERRORS:
+            break
+        first = kind
+        out += part
+        size = limit + 1 - room
+        at = k
+        if not d.eof:
+            break
+        at = k - len(d.unused_data)
+        while kind in ("gzip", "xz") and at < len(view) and not view[at]:
+            at += 1  # padding between members
+    return None if first is None else (first, b"".join(out), at)
+
+
 def _as_text(data: bytes) -> str | None:
     try:
         t = data.decode()
@@ -117,7 +146,7 @@ def _as_text(data: bytes) -> str | None:
 Layer = tuple[str, np.ndarray, np.ndarray, tuple[str, ...]]  # text; where each character begins and ends in the document; path
 
 
-def _percent(layer: Layer) -> Iterator[Layer]:
+def _percent(layer: Layer, limit: int) -> Iterator[Layer | tuple[int, int, tuple[str, ...]]]:
     text, start, end, path = layer
     if "%" not in text:
         return
@@ -135,19 +164,66 @@ def _percent(layer: Layer) -> Iterator[Layer]:
                 out += raw
                 marks += [(at + i, at + i + 1)] * len(raw)
                 i += 1
-        yield from _decoded(bytes(out), np.array(marks), layer, "url")
+        yield from _decoded(bytes(out), np.array(marks), layer, "url", limit)
 
 
-def _decoded(data: bytes, marks: np.ndarray, layer: Layer, step: str) -> Iterator[Layer]:
-    """A layer of bytes that each come from characters [marks[:, 0], marks[:, 1]) of the layer before."""
+def _decoded(data: bytes, marks: np.ndarray, layer: Layer, step: str, limit: int, text: bool = True) -> Iterator[Layer | tuple[int, int, tuple[str, ...]]]:
+    """Layers of bytes that each come from characters [marks[:, 0], marks[:, 1]) of the layer before: their text, and what is
+    compressed in them. text: False leaves out the bytes' own text."""
     _, start, end, path = layer
     t = _as_text(data)
-    if t is None:
-        return
+    if t is not None and text:
+        yield _piece(t, data, marks, layer, step)
+    at = 0
+    for m in _MAGIC.finditer(data):
+        if m.start() < at or t is not None and m.start() and text or not (inner := _inflate(data[m.start():], limit)):
+            continue
+        kind, got, n = inner
+        to, steps, seen = m.start() + n, (*path, step, kind), set()
+        lo, hi = int(start[marks[m.start(), 0]]), int(end[marks[to - 1, 1] - 1])
+        while len(got) <= limit and (key := hashlib.blake2b(got).digest()) not in seen and (inner := _inflate(got, limit)):
+            seen.add(key)
+            kind, got, _ = inner
+            steps = (*steps, kind)
+        # What only looks compressed doesn't hide what follows.
+        if len(got) > limit:
+            at = to
+            yield lo, hi, steps
+        elif (inside := _as_text(got)) is not None:
+            at = to
+            yield inside, np.full(len(inside), lo), np.full(len(inside), hi), steps
+    if at and text and t is None and (rest := _as_text(data[at:])) is not None:
+        yield _piece(rest, data[at:], marks[at:], layer, step)
+
+
+def _piece(t: str, data: bytes, marks: np.ndarray, layer: Layer, step: str) -> Layer:
+    _, start, end, path = layer
     raw = np.frombuffer(data, np.uint8)
     first = np.flatnonzero((raw & 0xC0) != 0x80)
     last = np.append(first[1:], len(raw)) - 1
-    yield t, start[marks[first, 0]], end[marks[last, 1] - 1], (*path, step)
+    return t, start[marks[first, 0]], end[marks[last, 1] - 1], (*path, step)
+
+
+#: Bytes as escapes and printable characters, as in literals of C, Python and JSON.
+_BYTE = re.compile(r"\\x([0-9A-Fa-f]{2})|\\u00([0-9A-Fa-f]{2})|&#x0{0,4}([0-9A-Fa-f]{1,2});|\\([0-3]?[0-7]{1,2})|\\([abfnrtv\\'\"/])|([\x20-\x5b\x5d-\x7e])")
+_SINGLE = dict(zip("abfnrtv", b"\a\b\f\n\r\t\v"))
+
+
+def _byte_escapes(layer: Layer, limit: int) -> Iterator[Layer | tuple[int, int, tuple[str, ...]]]:
+    """What is compressed in bytes that are written as escapes; _escapes has the text."""
+    text = layer[0]
+    if not any(x in text for x in ("\\x", "\\u00", "&#x", "\\0", "\\2", "\\3")):
+        return
+    out, marks = bytearray(), []
+    for m in _BYTE.finditer(text):
+        if marks and marks[-1][1] != m.start():
+            yield from _decoded(bytes(out), np.array(marks), layer, "unicode", limit, text=False)
+            out, marks = bytearray(), []
+        g = m.group(m.lastindex)
+        out.append(int(g, 16) if m.lastindex < 4 else int(g, 8) if m.lastindex == 4 else _SINGLE.get(g, ord(g)) if m.lastindex == 5 else ord(g))
+        marks.append(m.span())
+    if marks:
+        yield from _decoded(bytes(out), np.array(marks), layer, "unicode", limit, text=False)
 
 
 def _escapes(layer: Layer) -> Iterator[Layer]:
@@ -192,26 +268,11 @@ def _base64(layer: Layer, limit: int) -> Iterator[Layer | tuple[int, int, tuple[
             data = base64.b64decode(body.translate({45: 43, 95: 47}) + "=" * (-len(body) % 4), validate=True)
         except (binascii.Error, ValueError):
             continue
-        got, steps = data, ("base64",)
-        while inner := _inflate(got, limit):
-            kind, got = inner
-            steps = (*steps, kind)
-            if len(got) > limit:
-                yield int(start[m.start()]), int(end[m.end() - 1]), (*path, *steps)
-                break
-        if len(got) > limit:
-            continue
-        if len(steps) > 1:
-            t = _as_text(got)
-            if t is not None:
-                n = len(t)
-                yield t, np.full(n, start[m.start()]), np.full(n, end[m.end() - 1]), (*path, *steps)
-            continue
         sym = np.array([i for i, c in enumerate(run) if c not in "\r\n="])[:len(body)] + m.start()
         k = np.arange(len(data))
         # Byte k is in the symbols from 4k/3 to 4k/3 + 1.
         lo = k // 3 * 4 + k % 3
-        yield from _decoded(data, np.stack([sym[lo], sym[np.minimum(lo + 1, len(sym) - 1)] + 1], 1), layer, "base64")
+        yield from _decoded(data, np.stack([sym[lo], sym[np.minimum(lo + 1, len(sym) - 1)] + 1], 1), layer, "base64", limit)
 
 
 def scan(text: str, max_layer: int = MAX_LAYER) -> list[tuple[str, int, int, str, str]]:
@@ -233,9 +294,8 @@ def scan(text: str, max_layer: int = MAX_LAYER) -> list[tuple[str, int, int, str
             known[key] = list(_matches(t))
         for rule, a, b in known[key]:
             found.setdefault((rule, int(start[a:b].min()), int(end[a:b].max()), t[a:b]), path)
-        todo.extend(_percent(layer))
         todo.extend(_escapes(layer))
-        for x in _base64(layer, max_layer):
+        for x in chain(_percent(layer, max_layer), _byte_escapes(layer, max_layer), _base64(layer, max_layer)):
             if len(x) == 3:
                 found.setdefault(("oversized_layer", x[0], x[1], ""), x[2])
             else:

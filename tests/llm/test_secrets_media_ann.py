@@ -66,6 +66,19 @@ def test_a_secret_encoded_two_ways_is_found_in_both_places():
     assert all(f[4] != KEY for f in S.scan(S.redacted(text)))
 
 
+PACK = {"gzip": gzip.compress, "zlib": zlib.compress, "bz2": bz2.compress, "xz": S.lzma.compress, "zstd": lambda d: S.zstandard.ZstdCompressor().compress(d)}
+BYTES = {"base64": b64, "url": lambda d: "data=" + "".join(f"%{x:02x}" for x in d), "quoted": urllib.parse.quote, "python": repr, "hex": lambda d: "".join(f"\\x{x:02x}" for x in d)}
+
+
+@pytest.mark.parametrize("pack", PACK)
+@pytest.mark.parametrize("written", BYTES)
+def test_later_members_and_compressed_bytes_of_any_layer(pack, written):
+    data = PACK[pack](b"first part, no more than words ") + PACK[pack](b"and then ") + PACK[pack](KEY.encode())
+    text = "lead " + BYTES[written](data) + " tail"
+    assert [f for f in S.scan(text) if f[0] == "github_token" and f[4] == KEY]
+    assert all(f[4] != KEY for f in S.scan(S.redacted(text)))
+
+
 def test_plain_words_are_no_secrets():
     assert S.scan("the token of appreciation, password protected; keyboard internationalization responsibilities secretarial") == []
 
