@@ -7,25 +7,32 @@ product. A query visits buckets in the order of that chance until its sum reache
 target over all tables. A query for which PROBES buckets a table don't reach it is compared with all vectors instead.
 Candidates of a bucket are compared by exact distance; the best of all tables are merged.
 
+Buckets are dealt to shards by their keys. A vector crosses the network once a table, a query once for each shard in which
+it visits buckets. In a shard its vectors come first and are held, then the queries stream by, so a shard's memory is that
+of its vectors alone; a shard of more than twice SHARD vectors, as equal ones make it, is cut by a salt of their ids, and what asks
+it asks all its parts. No vector is sent twice for the number of queries, and no group grows with the input.
+
 r comes from a bounded sample (SAMPLE vectors) and is the 95th percentile, over queries in it, of the distance to as many
 neighbours as the sample should have; a sample too small to have one makes r larger, so more buckets are visited, never fewer.
 
 Defined results: a row without id, without vector, of a length other than the most frequent one, or with a value that is
 null, NaN or infinite takes no part; rows with the query's own id aren't its neighbours; repeated rows are one; equal
-distances are ordered by id; an id with several vectors asks with the smallest; a query of which fewer than k candidates are found has fewer rows.
+distances are ordered by id, and so are equal vectors where only some fit (different vectors whose distances differ by no more
+than the rounding of 32 bits may take each other's place as the last of the k); an id with several vectors asks with the smallest; a query of which fewer than k candidates are found has fewer rows.
 """
 
 from __future__ import annotations
 
 import heapq
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from spanframe.llm.common import U64, mix, trim
+from spanframe.llm.common import U64, cut, mix, trim
 
 K = 10
 TABLES = 2
@@ -33,8 +40,10 @@ TARGET = 0.965
 SAMPLE = 4096
 #: Perturbations that are weighed for a query, at most; they are those of the best expected chance. Where they are too few, all buckets are visited.
 PROBES = 4096
-#: Vectors of a table that one group holds, and queries that it answers.
-SHARD, QUERIES_AT_ONCE = 8192, 16384
+#: Vectors of a table that one shard is meant to hold, shards of a table at least, and queries that a shard compares at once.
+SHARD, SHARDS, AT_ONCE = 1 << 16, 4, 1024
+#: Every so manieth id asks in the registered query.
+EVERY = 50
 #: Vectors in a bucket, about, if a projection's two commonest cells held them all.
 BUCKET = 1024
 
@@ -148,66 +157,98 @@ class Hash:
         return keys
 
 
-def _matrix(column, dim: int) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.float32).reshape(-1, dim)
-
-
-def search(bucket: np.ndarray, ids: np.ndarray, x: np.ndarray, qid: np.ndarray, q: np.ndarray, visit: np.ndarray, keys: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query, neighbour id, distance) of the best k for each query among the vectors of the buckets that it visits."""
-    order = np.argsort(bucket, kind="stable")
-    bucket, ids, x = bucket[order], ids[order], x[order]
-    own, start = np.unique(bucket, return_index=True)
-    stop = np.append(start[1:], len(bucket))
-    at = np.searchsorted(own, keys)
-    ok = (at < len(own)) & (own[np.minimum(at, len(own) - 1)] == keys)
-    at, visit = at[ok], visit[ok]
-    by = np.argsort(at, kind="stable")
-    at, visit = at[by], visit[by]
-    edge = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1], [True]])) if len(at) else np.zeros(1, int)
-    best = np.full((len(q), k), np.inf, np.float32)
-    who = np.full((len(q), k), -1, np.int64)
-    size, qsize = (x.astype(np.float64)**2).sum(1).astype(np.float32), (q.astype(np.float64)**2).sum(1).astype(np.float32)
-    for a, b in zip(edge[:-1], edge[1:]):
-        for s in range(start[at[a]], stop[at[a]], 1024):
-            e = min(s + 1024, stop[at[a]])
-            for f in range(a, b, 4096):
-                v = visit[f:min(b, f + 4096)]
-                d = qsize[v][:, None] + size[s:e] - 2 * (q[v] @ x[s:e].T)
-                d[qid[v][:, None] == ids[s:e]] = np.inf
-                both = np.concatenate([best[v], d], 1)
-                top = np.argpartition(both, k - 1, 1)[:, :k]
-                best[v] = np.take_along_axis(both, top, 1)
-                who[v] = np.where(top < k, np.take_along_axis(who[v], np.minimum(top, k - 1), 1), np.arange(s, e)[np.clip(top - k, 0, e - s - 1)])
-    i, j = np.nonzero(np.isfinite(best))
-    n = who[i, j]
-    exact = np.empty(len(n))
-    for s in range(0, len(n), 1 << 16):
-        e = slice(s, s + (1 << 16))
-        exact[e] = np.sqrt(((q[i[e]].astype(np.float64) - x[n[e]]) ** 2).sum(1))
-    return i, ids[n], exact
-
-
-def nearest(vectors: DataFrame, k: int = K, vec_id: str = "vec_id", embedding: str = "embedding", tables: int = TABLES, target: float = TARGET, seed: int = 0) -> DataFrame:
-    """(vec_id, rank, neighbor_id, distance): the k nearest rows of every row, as far as the buckets hold them.
-
-    Data are grouped by table and bucket; a query goes to the groups of the buckets that it visits, once to each. Groups are
-    cut by numbers of vectors and of queries, so they don't grow with the input. Each gives the best k it has for a query.
-    """
+class Shard:
+    """Vectors by bucket, to be asked by one batch of queries after another. Equal vectors are compared once; of their ids
+    the k + 1 smallest can be among the k nearest of a query that has one of them."""
+
+    def __init__(self, bucket: np.ndarray, ids: np.ndarray, x: np.ndarray, k: int):
+        self.k = k
+        rows = np.ascontiguousarray(x + np.float32(0)).view(f"V{4 * x.shape[1]}").ravel()
+        _, vector = np.unique(rows, return_inverse=True)
+        order = np.lexsort((ids, vector, bucket))
+        bucket, vector, ids = bucket[order], vector[order], ids[order]
+        head = np.concatenate([[True], (vector[1:] != vector[:-1]) | (bucket[1:] != bucket[:-1])])
+        place = np.arange(len(ids)) - np.flatnonzero(head)[np.cumsum(head) - 1]
+        few = place <= k
+        self.ids, edge = ids[few], np.flatnonzero(head[few])
+        self.first, self.many = edge, np.diff(np.append(edge, len(self.ids)))
+        bucket, self.x = bucket[head], x[order[head]]
+        #: The id of a vector that has one, to leave out queries themselves.
+        self.only, self.alone = self.ids[edge], self.many == 1
+        self.own, self.start = np.unique(bucket, return_index=True)
+        self.stop = np.append(self.start[1:], len(bucket))
+        self.size = (self.x.astype(np.float64) ** 2).sum(1).astype(np.float32)
+
+    def ask(self, qid: np.ndarray, q: np.ndarray, visit: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(query, neighbour id, distance) of the best k for each query among the vectors of the buckets `keys` that it visits."""
+        at = np.searchsorted(self.own, keys)
+        ok = (at < len(self.own)) & (self.own[np.minimum(at, len(self.own) - 1)] == keys)
+        at, visit = at[ok], visit[ok]
+        by = np.argsort(at, kind="stable")
+        at, visit = at[by], visit[by]
+        edge = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1], [True]])) if len(at) else np.zeros(1, int)
+        return self._best(qid, q, [(self.start[at[a]], self.stop[at[a]], visit[a:b]) for a, b in zip(edge[:-1], edge[1:])])
+
+    def ask_all(self, qid: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """ask(), of all vectors."""
+        return self._best(qid, q, [(0, len(self.x), np.arange(len(q)))])
+
+    def _best(self, qid: np.ndarray, q: np.ndarray, runs: list[tuple[int, int, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        k = self.k
+        best = np.full((len(q), k), np.inf, np.float32)
+        who = np.full((len(q), k), -1, np.int64)
+        qsize = (q.astype(np.float64) ** 2).sum(1).astype(np.float32)
+        for first, last, asked in runs:
+            for s in range(first, last, 1024):
+                e = min(s + 1024, last)
+                for f in range(0, len(asked), 4096):
+                    v = asked[f:f + 4096]
+                    d = qsize[v][:, None] + self.size[s:e] - 2 * (q[v] @ self.x[s:e].T)
+                    d[self.alone[s:e] & (qid[v][:, None] == self.only[s:e])] = np.inf
+                    both = np.concatenate([best[v], d], 1)
+                    top = np.argpartition(both, k - 1, 1)[:, :k]
+                    best[v] = np.take_along_axis(both, top, 1)
+                    who[v] = np.where(top < k, np.take_along_axis(who[v], np.minimum(top, k - 1), 1), s + np.clip(top - k, 0, e - s - 1))
+        i, j = np.nonzero(np.isfinite(best))
+        n = who[i, j]
+        exact = np.empty(len(n))
+        for s in range(0, len(n), 1 << 16):
+            e = slice(s, s + (1 << 16))
+            exact[e] = np.sqrt(((q[i[e]].astype(np.float64) - self.x[n[e]]) ** 2).sum(1))
+        many = self.many[n]
+        before = np.cumsum(many) - many
+        ids = self.ids[np.arange(many.sum()) + np.repeat(self.first[n] - before, many)]
+        i, exact = np.repeat(i, many), np.repeat(exact, many)
+        ok = ids != qid[i]
+        i, exact, ids = i[ok], exact[ok], ids[ok]
+        by = np.lexsort((ids, exact, i))
+        i, exact, ids = i[by], exact[by], ids[by]
+        ok = np.arange(len(i)) - np.searchsorted(i, i) < k
+        return i[ok], ids[ok], exact[ok]
+
+
+def _clean(table: DataFrame, vec_id: str, embedding: str) -> DataFrame:
+    base = table.select(F.col(f"`{vec_id}`").cast("bigint").alias("id"), F.col(f"`{embedding}`").cast("array<float>").alias("v")).where("id is not null and v is not null and size(v) > 0")
+    return base.where(F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))))
+
+
+def nearest(vectors: DataFrame, k: int = K, vec_id: str = "vec_id", embedding: str = "embedding", queries: DataFrame | None = None, tables: int = TABLES, target: float = TARGET, seed: int = 0) -> DataFrame:
+    """(vec_id, rank, neighbor_id, distance): the k nearest rows of vectors for every row of queries (none: of vectors), as far as the buckets hold them."""
     spark = vectors.sparkSession
-    base = vectors.select(F.col(f"`{vec_id}`").cast("bigint").alias("id"), F.col(f"`{embedding}`").cast("array<float>").alias("v")).where("id is not null and v is not null and size(v) > 0")
-    base = base.where(F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))))
+    base = _clean(vectors, vec_id, embedding)
     sizes = base.groupBy(F.size("v").alias("dim")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "dim").first()
     if sizes is None:
         return spark.createDataFrame([], "vec_id bigint, rank int, neighbor_id bigint, distance double")
-    base, total = base.where(F.size("v") == sizes.dim), sizes.n
+    base, total, dim = base.where(F.size("v") == sizes.dim), sizes.n, sizes.dim
+    asking = base if queries is None else _clean(queries, vec_id, embedding).where(F.size("v") == dim)
     rate = min(1.0, SAMPLE / total)
     some = base.where(F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(1 << 30)) <= int(rate * (1 << 30))).select("v").toArrow()["v"].combine_chunks()
-    sample = some.flatten().to_numpy().reshape(-1, sizes.dim)
+    sample = some.flatten().to_numpy().reshape(-1, dim)
     if not len(sample):
         sample = np.array([r.v for r in base.select("v").limit(SAMPLE).collect()], np.float32)
     made = Hash(sample[np.random.default_rng(seed).permutation(len(sample))], total, k, tables, target, seed)
     sent = spark.sparkContext.broadcast(made)
-    shards, chunks, dim = max(1, -(-total // SHARD)), max(1, -(-total // QUERIES_AT_ONCE)), sizes.dim
+    shards = max(SHARDS, -(-total // SHARD))
 
     def vectors_of(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
         return batch.column(0).to_numpy(), batch.column(1).flatten().to_numpy().reshape(-1, dim)
@@ -216,6 +257,16 @@ def nearest(vectors: DataFrame, k: int = K, vec_id: str = "vec_id", embedding: s
         step = dim * 4
         return pa.Array.from_buffers(pa.binary(), len(x), [None, pa.py_buffer(np.arange(0, (len(x) + 1) * step, step, dtype=np.int32)[:len(x) + 1]), pa.py_buffer(np.ascontiguousarray(x, np.float32))])
 
+    def whole_numbers(n: int, value) -> pa.Array:
+        return pa.array(np.full(n, value, np.int32) if np.isscalar(value) else value.astype(np.int32))
+
+    def row_batch(t, shard, kind: int, ids: np.ndarray, key: pa.Array, sets: pa.Array, x: np.ndarray) -> pa.RecordBatch:
+        n = len(ids)
+        return pa.RecordBatch.from_arrays([whole_numbers(n, t), whole_numbers(n, shard), whole_numbers(n, kind), pa.array(ids), key, sets, raw(x)], ["t", "shard", "kind", "id", "key", "sets", "v"])
+
+    def no_sets(n: int) -> pa.Array:
+        return pa.ListArray.from_arrays(pa.array(np.zeros(n + 1, np.int32)), pa.array([], pa.int16()))
+
     def place(batches):
         h = sent.value
         for batch in batches:
@@ -223,8 +274,15 @@ def nearest(vectors: DataFrame, k: int = K, vec_id: str = "vec_id", embedding: s
                 ids, x = vectors_of(batch.slice(at, 2048))
                 for t in range(h.tables):
                     key = h.keys(h.cells(x, t)[0])
-                    for c in range(chunks):
-                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), t, np.int32)), pa.array((key % U64(shards)).astype(np.int32)), pa.array(np.full(len(x), c, np.int32)), pa.array(ids), pa.array(key.view(np.int64)), raw(x)], ["t", "shard", "chunk", "id", "key", "v"])
+                    yield row_batch(t, key % U64(shards), 0, ids, pa.array(key.view(np.int64)), no_sets(len(x)), x)
+
+    def tally(batches):
+        h = sent.value
+        for batch in batches:
+            _, x = vectors_of(batch)
+            for t in range(h.tables):
+                shard, n = np.unique(h.keys(h.cells(x, t)[0]) % U64(shards), return_counts=True)
+                yield pa.RecordBatch.from_arrays([whole_numbers(len(n), t), whole_numbers(len(n), shard), pa.array(n.astype(np.int64))], ["t", "shard", "n"])
 
     def ask(batches):
         h = sent.value
@@ -234,58 +292,77 @@ def nearest(vectors: DataFrame, k: int = K, vec_id: str = "vec_id", embedding: s
                 plan, whole = h.plan(x)
                 whole = np.flatnonzero(whole)
                 for s in range(shards if len(whole) else 0):
-                    # Each vector is once in the first table; no perturbation set stands for all of a group.
-                    none = pa.ListArray.from_arrays(pa.array(np.zeros(len(whole) + 1, np.int32)), pa.array([], pa.int16()))
-                    chunk = (mix(ids[whole].view(U64)) % U64(chunks)).astype(np.int32)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(whole), np.int32)), pa.array(np.full(len(whole), s, np.int32)), pa.array(chunk), pa.array(ids[whole]), none, raw(x[whole])], ["t", "shard", "chunk", "id", "sets", "v"])
+                    # Each vector is once in the first table; no perturbation set stands for all of a shard.
+                    yield row_batch(0, s, 1, ids[whole], pa.nulls(len(whole), pa.int64()), no_sets(len(whole)), x[whole])
                 for t, (q, sets) in enumerate(plan):
                     if not len(q):
                         continue
-                    key = h.visited(x, t, q, sets)
-                    shard = (key % U64(shards)).astype(np.int64)
+                    shard = (h.visited(x, t, q, sets) % U64(shards)).astype(np.int64)
                     by = np.lexsort((shard, q))
                     q, sets, shard = q[by], sets[by].astype(np.int16), shard[by]
                     edge = np.flatnonzero(np.concatenate([[True], (q[1:] != q[:-1]) | (shard[1:] != shard[:-1])]))
                     lists = pa.ListArray.from_arrays(pa.array(np.append(edge, len(q)), pa.int32()), pa.array(sets))
                     own = q[edge]
-                    chunk = (mix(ids[own].view(U64)) % U64(chunks)).astype(np.int32)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), t, np.int32)), pa.array(shard[edge].astype(np.int32)), pa.array(chunk), pa.array(ids[own]), lists, raw(x[own])], ["t", "shard", "chunk", "id", "sets", "v"])
+                    yield row_batch(t, shard[edge], 1, ids[own], pa.nulls(len(own), pa.int64()), lists, x[own])
             trim()
 
-    def answer(data: pa.Table, asked: pa.Table) -> pa.Table:
-        if not len(data) or not len(asked):
-            return pa.table({"id": pa.array([], pa.int64()), "n": pa.array([], pa.list_(pa.int64())), "d": pa.array([], pa.list_(pa.float64()))})
-        sets = asked["sets"].combine_chunks()
-        many = np.diff(sets.offsets.to_numpy())
-        visit = np.repeat(np.arange(len(asked)), many)
-        qid, q = asked["id"].to_numpy(), _matrix(asked["v"], dim)
-        keys = sent.value.visited(q, asked["t"][0].as_py(), visit, sets.flatten().to_numpy())
-        bucket, ids, x = data["key"].to_numpy().view(U64), data["id"].to_numpy(), _matrix(data["v"], dim)
-        i, n, d = search(bucket, ids, x, qid, q, visit, keys, k)
-        whole = np.flatnonzero(many == 0)
-        if len(whole):
-            # All vectors as one bucket.
-            one = search(np.zeros(len(ids), U64), ids, x, qid[whole], q[whole], np.arange(len(whole)), np.zeros(len(whole), U64), k)
-            i, n, d = (np.concatenate(z) for z in zip((i, n, d), (whole[one[0]], *one[1:])))
-        edge = np.flatnonzero(np.concatenate([[True], i[1:] != i[:-1]])) if len(i) else np.zeros(0, int)
-        cuts = pa.array(np.append(edge, len(i)), pa.int32())
+    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        h, held, shard = sent.value, [], None
+        matrix = lambda c: np.frombuffer(b"".join(c.to_pylist()), np.float32).reshape(-1, dim)
+        for batch in batches:
+            kind = batch["kind"].to_numpy()
+            n = int(np.count_nonzero(kind == 0))
+            if n:
+                if shard is not None or kind[:n].any():
+                    raise RuntimeError("vectors after queries: the shard isn't sorted")
+                part = batch.slice(0, n)
+                held.append((part["key"].to_numpy().view(U64), part["id"].to_numpy(), matrix(part["v"])))
+            if not held or n == len(batch):
+                continue
+            if shard is None:
+                shard, held = Shard(*(np.concatenate(z) for z in zip(*held)), k), [(0, 0, 0)]
+            for at in range(n, len(batch), AT_ONCE):
+                part = batch.slice(at, AT_ONCE)
+                sets, qid, q = part["sets"], part["id"].to_numpy(), matrix(part["v"])
+                many = sets.value_lengths().to_numpy()
+                visit = np.repeat(np.arange(len(part)), many)
+                got = [shard.ask(qid, q, visit, h.visited(q, part["t"][0].as_py(), visit, sets.flatten().to_numpy()))]
+                whole = np.flatnonzero(many == 0)
+                if len(whole):
+                    i, n_, d = shard.ask_all(qid[whole], q[whole])
+                    got.append((whole[i], n_, d))
+                i, n_, d = (np.concatenate(z) for z in zip(*got))
+                yield pa.RecordBatch.from_arrays([pa.array(qid[i]), pa.array(d), pa.array(n_)], ["id", "d", "n"])
+        del held, shard
         trim()
-        return pa.table({"id": pa.array(qid[i[edge]]), "n": pa.ListArray.from_arrays(cuts, pa.array(n)), "d": pa.ListArray.from_arrays(cuts, pa.array(d))})
-
-    unique = base.dropDuplicates(["id", "v"])
-    placed = unique.mapInArrow(place, "t int, shard int, chunk int, id bigint, key bigint, v binary").groupBy("t", "shard", "chunk")
-    asked = base.groupBy("id").agg(F.min("v").alias("v")).mapInArrow(ask, "t int, shard int, chunk int, id bigint, sets array<smallint>, v binary").groupBy("t", "shard", "chunk")
-    found = placed.cogroup(asked).applyInArrow(answer, "id bigint, n array<bigint>, d array<double>")
-    # A candidate comes with its distance from each table that found it; one is kept for each id.
-    best = found.select("id", F.arrays_zip("d", "n").alias("c")).groupBy("id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("c")))).alias("c"))
+
+    kinds = "t int, shard int, kind int, id bigint, key bigint, sets array<smallint>, v binary"
+    # Rows that repeat are one before they can make a shard hot.
+    placed = base.dropDuplicates(["id", "v"]).mapInArrow(place, kinds)
+    asked = asking.groupBy("id").agg(F.min("v").alias("v")).mapInArrow(ask, kinds)
+    # A row for each shard of too many vectors: at most tables * total / (2 * SHARD), and mostly none.
+    hot = cut(base.select("id", "v").mapInArrow(tally, "t int, shard int, n bigint").groupBy("t", "shard").agg(F.sum("n").alias("n")).where(F.col("n") > 2 * SHARD).select("t", "shard", F.ceil(F.col("n") / SHARD).cast("int").alias("parts")))
+    if hot.isEmpty():
+        both = placed.union(asked).withColumn("salt", F.lit(0))
+    else:
+        placed = placed.join(hot, ["t", "shard"], "left").withColumn("salt", F.pmod(F.xxhash64("id", F.lit(3)), F.coalesce("parts", F.lit(1)).cast("bigint")).cast("int")).drop("parts")
+        asked = asked.join(hot, ["t", "shard"], "left").withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))).drop("parts")
+        both = placed.unionByName(asked)
+    group = ["t", "shard", "salt"]
+    # The sort by kind within a group is kept, as it begins with what the grouping needs sorted.
+    laid = both.repartition(min(tables * shards, 1 << 16), *group).sortWithinPartitions(*group, "kind")
+    found = laid.groupBy(*group).applyInArrow(answer, "id bigint, d double, n bigint")
     # An id comes at most once from each table, so the best k are among the first k * tables.
-    best = best.select("id", F.slice("c", 1, k * tables).alias("c"))
+    best = found.withColumn("i", F.row_number().over(Window.partitionBy("id").orderBy("d", "n"))).where(F.col("i") <= k * tables)
+    best = best.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("d", "n"))).alias("c"))
     first = F.filter("c", lambda x, i: ~F.exists(F.slice("c", 1, i), lambda y: y["n"] == x["n"]))
     return best.select("id", F.posexplode(F.slice(first, 1, k)).alias("i", "c")).select(F.col("id").alias("vec_id"), (F.col("i") + 1).alias("rank"), F.col("c.n").alias("neighbor_id"), F.col("c.d").alias("distance"))
 
 
 def op3_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return nearest(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+    """The neighbours of every vector whose id EVERY divides, among all vectors."""
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    return nearest(vectors, queries=vectors.where(F.col("vec_id") % EVERY == 0))
 
 
 QUERIES = {"op3_ann": op3_ann}

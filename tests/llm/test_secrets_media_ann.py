@@ -184,8 +184,39 @@ def test_groups_cut_small_find_the_same(spark, monkeypatch):
     table = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>")
     whole = sorted(A.nearest(table).collect())
     monkeypatch.setattr(A, "SHARD", 40)
-    monkeypatch.setattr(A, "QUERIES_AT_ONCE", 70)
+    monkeypatch.setattr(A, "SHARDS", 1)
+    monkeypatch.setattr(A, "AT_ONCE", 70)
     assert sorted(A.nearest(table).collect()) == whole
+    monkeypatch.setattr(A, "SHARD", 7)
+    assert sorted(A.nearest(table).collect()) == whole
+
+
+def test_a_hot_bucket_is_cut_and_finds_the_same(spark, monkeypatch):
+    """A third of all vectors are equal, and one row is repeated as often."""
+    r = np.random.default_rng(5)
+    x = r.standard_normal((400, 6)).astype(np.float32)
+    x[:130] = x[0]
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(399, x[399].tolist())] * 200
+    table = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>")
+    whole = [(r.vec_id, r["rank"], r.distance) for r in sorted(A.nearest(table, k=4).collect())]
+    monkeypatch.setattr(A, "SHARD", 30)
+    cut = A.nearest(table, k=4).collect()
+    assert [(r.vec_id, r["rank"], r.distance) for r in sorted(cut)] == whole
+    assert all(r.neighbor_id != r.vec_id for r in cut) and {r.neighbor_id for r in cut if r.vec_id == 7} == {0, 1, 2, 3}
+
+
+def test_registered_query_asks_every_50th_of_all(spark):
+    import pyarrow.parquet as pq
+
+    t = pq.read_table("/root/testdata/sf0.1/embeddings.parquet")
+    ids, x = t["vec_id"].to_numpy(), np.stack(t["embedding"].to_numpy()).astype(np.float64)
+    out = A.op3_ann(spark, "/root/testdata/sf0.1").collect()
+    asked = ids % A.EVERY == 0
+    assert {r.vec_id for r in out} == set(ids[asked].tolist()) and len(out) == A.K * asked.sum()
+    d = ((x[asked][:, None] - x[None]) ** 2).sum(2)
+    d[ids[asked][:, None] == ids[None]] = np.inf
+    want = {(int(i), int(j)) for i, row in zip(ids[asked], d) for j in ids[np.argsort(row, kind="stable")[:A.K]]}
+    assert len(want & {(r.vec_id, r.neighbor_id) for r in out}) >= 0.9 * len(want)
 
 
 def test_probes_are_in_the_order_of_their_chance_and_reach_the_target():
@@ -215,7 +246,7 @@ def test_queries_beyond_the_probes_are_compared_with_all(spark, monkeypatch):
     monkeypatch.setattr(A, "BUCKET", 2)
     monkeypatch.setattr(A, "PROBES", 8)
     monkeypatch.setattr(A, "SHARD", 100)
-    monkeypatch.setattr(A, "QUERIES_AT_ONCE", 250)
+    monkeypatch.setattr(A, "AT_ONCE", 250)
     got = [(q.vec_id, q.neighbor_id) for q in A.nearest(table, k=5).collect()]
     assert len(got) == len(set(got)) == 3000 and len(want & set(got)) >= 0.965 * len(want)
     h = A.Hash(x, len(x), 5, 2, 0.965)
@@ -230,3 +261,6 @@ def test_ann_edges(spark):
     assert {r.vec_id for r in out} <= {1, 2, 3}
     assert [(r.neighbor_id, r.distance) for r in sorted(out, key=lambda r: (r.vec_id, r["rank"])) if r.vec_id == 1][0] == (2, 0.0)
     assert A.nearest(spark.createDataFrame([], "vec_id bigint, embedding array<float>")).count() == 0
+    clash = spark.createDataFrame([(i, [float(i), 1.0], "a", 1, "b", "c") for i in range(6)], "vec_id bigint, embedding array<float>, id string, shard int, v string, kind string")
+    assert len(A.nearest(clash, k=2).collect()) == 12 and len(A.nearest(clash, k=2, queries=clash.where("vec_id < 2")).collect()) == 4
+    assert A.nearest(clash, queries=clash.limit(0)).count() == 0
