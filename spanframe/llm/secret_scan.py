@@ -6,6 +6,10 @@ and put on the list, until nothing new comes. A layer that was there before, by
 isn't taken again, so cycles end; the same text from another place is a layer of its own, with findings of its own.
 Every character of a layer knows the piece of the original text it comes from, so a finding in any depth has a span there.
 
+A run of base64 symbols is decoded from each of its first four symbols on, as what stands before it (a path, a name) may end
+in symbols too. Bytes that aren't all text are a layer if any SHORTEST characters in a row are: no rule fits fewer, in
+whatever encoding. UTF-16 within bytes is one too. Base64 in lines of under 60 symbols is one run a line.
+
 Defined results: null and empty texts have no findings; the same secret found through several layers at the same span is
 one finding, with the shallowest path; rows that repeat are each scanned. A compressed layer that would grow beyond
 max_layer is reported under the rule 'oversized_layer' over its whole span, so it isn't passed over in silence.
@@ -13,7 +17,6 @@ max_layer is reported under the rule 'oversized_layer' over its whole span, so i
 
 from __future__ import annotations
 
-import base64
 import binascii
 import bz2
 import hashlib
@@ -34,8 +37,12 @@ from pyspark.sql import functions as F
 from spanframe.llm.common import text_bytes, text_chunks, trim
 
 MAX_LAYER = 64 << 20
-#: Shortest run of base64 symbols that is tried; 20 of them hold 15 bytes.
-MIN_BASE64 = 20
+#: Characters that a finding has at least: a://b:cde@ without the part before the scheme's last letter.
+SHORTEST = 10
+#: Shortest run of base64 symbols that is tried: 14 of them hold 10 bytes.
+MIN_BASE64 = 14
+#: Compressed layers within each other that are opened without a text between them; more are reported as oversized.
+MAX_DEPTH = 100
 #: Bits a character that an assigned value must have.
 MIN_ENTROPY = 2.5
 
@@ -164,44 +171,57 @@ def _percent(layer: Layer, limit: int) -> Iterator[Layer | tuple[int, int, tuple
                 out += raw
                 marks += [(at + i, at + i + 1)] * len(raw)
                 i += 1
-        yield from _decoded(bytes(out), np.array(marks), layer, "url", limit)
+        yield from _decoded(bytes(out), np.array(marks), layer, ("url",), limit)
+
+
+_STRETCH = re.compile("[\t\n\r\x20-\x7e\u00a0-\ud7ff\ue000-\U0010ffff]{%d,}" % SHORTEST)
+#: What has no such run of bytes has no such text either, and no UTF-16.
+_MAYBE = re.compile(rb"[\t\n\r\x20-\x7e\x80-\xf4]{%d,}|(?:[\t\n\r\x20-\x7e]\0){%d,}|(?:\0[\t\n\r\x20-\x7e]){%d,}" % (SHORTEST, SHORTEST, SHORTEST))
+_WIDE = re.compile(rb"(?:[\t\n\r\x20-\x7e]\0){%d,}|(?:\0[\t\n\r\x20-\x7e]){%d,}" % (SHORTEST, SHORTEST))
 
 
-def _decoded(data: bytes, marks: np.ndarray, layer: Layer, step: str, limit: int, text: bool = True) -> Iterator[Layer | tuple[int, int, tuple[str, ...]]]:
+def _decoded(data: bytes, marks: np.ndarray, layer: Layer, steps: tuple[str, ...], limit: int, text: bool = True, above: frozenset[bytes] = frozenset()) -> Iterator[Layer | tuple[int, int, tuple[str, ...]]]:
     """Layers of bytes that each come from characters [marks[:, 0], marks[:, 1]) of the layer before: their text, and what is
-    compressed in them. text: False leaves out the bytes' own text."""
+    compressed in them. text: False leaves out the bytes' own text. above: digests of the compressed contents that these are in."""
     _, start, end, path = layer
     t = _as_text(data)
-    if t is not None and text:
-        yield _piece(t, data, marks, layer, step)
+    if text and t is not None:
+        first = np.flatnonzero((np.frombuffer(data, np.uint8) & 0xC0) != 0x80)
+        yield _piece(t, first, np.append(first[1:], len(data)), marks, layer, steps)
+    elif text and _MAYBE.search(data):
+        # A byte that isn't UTF-8 is one character that no rule takes.
+        loose = data.decode("utf-8", "surrogateescape")
+        found = list(_STRETCH.finditer(loose))
+        if found:
+            c = np.frombuffer(loose.encode("utf-32-le", "surrogatepass"), np.uint32)
+            size = np.where((c < 0x80) | (c >= 0xDC80) & (c <= 0xDCFF), 1, np.where(c < 0x800, 2, np.where(c < 0x10000, 3, 4)))
+            stop = np.cumsum(size)
+            a, b = found[0].start(), found[-1].end()
+            yield _piece(loose[a:b], (stop - size)[a:b], stop[a:b], marks, layer, steps)
+        for m in _WIDE.finditer(data):
+            first = np.arange(m.start(), m.end(), 2)
+            yield _piece(m.group().replace(b"\0", b"").decode(), first, first + 2, marks, layer, (*steps, "utf16"))
     at = 0
     for m in _MAGIC.finditer(data):
         if m.start() < at or t is not None and m.start() and text or not (inner := _inflate(data[m.start():], limit)):
             continue
         kind, got, n = inner
-        to, steps, seen = m.start() + n, (*path, step, kind), set()
-        lo, hi = int(start[marks[m.start(), 0]]), int(end[marks[to - 1, 1] - 1])
-        while len(got) <= limit and (key := hashlib.blake2b(got).digest()) not in seen and (inner := _inflate(got, limit)):
-            seen.add(key)
-            kind, got, _ = inner
-            steps = (*steps, kind)
-        # What only looks compressed doesn't hide what follows.
-        if len(got) > limit:
+        to, key, way = m.start() + n, hashlib.blake2b(got, digest_size=16).digest(), (*steps, kind)
+        a, b = marks[m.start(), 0], marks[to - 1, 1]
+        if len(got) > limit or len(above) >= MAX_DEPTH:
             at = to
-            yield lo, hi, steps
-        elif (inside := _as_text(got)) is not None:
-            at = to
-            yield inside, np.full(len(inside), lo), np.full(len(inside), hi), steps
-    if at and text and t is None and (rest := _as_text(data[at:])) is not None:
-        yield _piece(rest, data[at:], marks[at:], layer, step)
+            yield int(start[a]), int(end[b - 1]), (*path, *way)
+        elif key not in above:
+            inside = list(_decoded(got, np.broadcast_to((a, b), (len(got), 2)), (layer[0], start, end, path), way, limit, above=above | {key})) if got else []
+            # What only looks compressed doesn't hide what follows.
+            at = to if inside else at
+            yield from inside
 
 
-def _piece(t: str, data: bytes, marks: np.ndarray, layer: Layer, step: str) -> Layer:
+def _piece(t: str, first: np.ndarray, stop: np.ndarray, marks: np.ndarray, layer: Layer, steps: tuple[str, ...]) -> Layer:
+    """The layer of a text whose characters are in the bytes [first, stop)."""
     _, start, end, path = layer
-    raw = np.frombuffer(data, np.uint8)
-    first = np.flatnonzero((raw & 0xC0) != 0x80)
-    last = np.append(first[1:], len(raw)) - 1
-    return t, start[marks[first, 0]], end[marks[last, 1] - 1], (*path, step)
+    return t, start[marks[first, 0]], end[marks[stop - 1, 1] - 1], (*path, *steps)
 
 
 #: Bytes as escapes and printable characters, as in literals of C, Python and JSON.
@@ -217,13 +237,13 @@ def _byte_escapes(layer: Layer, limit: int) -> Iterator[Layer | tuple[int, int,
     out, marks = bytearray(), []
     for m in _BYTE.finditer(text):
         if marks and marks[-1][1] != m.start():
-            yield from _decoded(bytes(out), np.array(marks), layer, "unicode", limit, text=False)
+            yield from _decoded(bytes(out), np.array(marks), layer, ("unicode",), limit, text=False)
             out, marks = bytearray(), []
         g = m.group(m.lastindex)
         out.append(int(g, 16) if m.lastindex < 4 else int(g, 8) if m.lastindex == 4 else _SINGLE.get(g, ord(g)) if m.lastindex == 5 else ord(g))
         marks.append(m.span())
     if marks:
-        yield from _decoded(bytes(out), np.array(marks), layer, "unicode", limit, text=False)
+        yield from _decoded(bytes(out), np.array(marks), layer, ("unicode",), limit, text=False)
 
 
 def _escapes(layer: Layer) -> Iterator[Layer]:
@@ -258,21 +278,26 @@ def _escapes(layer: Layer) -> Iterator[Layer]:
 
 
 def _base64(layer: Layer, limit: int) -> Iterator[Layer | tuple[int, int, tuple[str, ...]]]:
-    text, start, end, path = layer
+    text = layer[0]
     for m in _BASE64.finditer(text):
         run = m.group()
-        body = run.replace("\r", "").replace("\n", "").rstrip("=")
-        if len(body) % 4 == 1:
-            body = body[:-1]
-        try:
-            data = base64.b64decode(body.translate({45: 43, 95: 47}) + "=" * (-len(body) % 4), validate=True)
-        except (binascii.Error, ValueError):
-            continue
-        sym = np.array([i for i, c in enumerate(run) if c not in "\r\n="])[:len(body)] + m.start()
-        k = np.arange(len(data))
-        # Byte k is in the symbols from 4k/3 to 4k/3 + 1.
-        lo = k // 3 * 4 + k % 3
-        yield from _decoded(data, np.stack([sym[lo], sym[np.minimum(lo + 1, len(sym) - 1)] + 1], 1), layer, "base64", limit)
+        whole = run.replace("\r", "").replace("\n", "").rstrip("=").translate({45: 43, 95: 47})
+        sym = None
+        for skip in range(4):
+            body = whole[skip:]
+            if len(body) % 4 == 1:
+                body = body[:-1]
+            if len(body) < MIN_BASE64:
+                break
+            data = binascii.a2b_base64(body + "=" * (-len(body) % 4))
+            if not _MAYBE.search(data) and not _MAGIC.search(data):
+                continue
+            if sym is None:
+                sym = np.array([i for i, c in enumerate(run) if c not in "\r\n="]) + m.start()
+            k = np.arange(len(data))
+            # Byte k is in the symbols from 4k/3 to 4k/3 + 1.
+            lo = k // 3 * 4 + k % 3 + skip
+            yield from _decoded(data, np.stack([sym[lo], sym[np.minimum(lo + 1, len(sym) - 1)] + 1], 1), layer, ("base64",), limit)
 
 
 def scan(text: str, max_layer: int = MAX_LAYER) -> list[tuple[str, int, int, str, str]]:

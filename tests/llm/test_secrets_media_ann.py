@@ -1,8 +1,10 @@
 import base64
 import bz2
 import gzip
+import hashlib
 import io
 import random
+import re
 import struct
 import urllib.parse
 import wave
@@ -79,6 +81,72 @@ def test_later_members_and_compressed_bytes_of_any_layer(pack, written):
     assert all(f[4] != KEY for f in S.scan(S.redacted(text)))
 
 
+def brute(text, depth=0):
+    """Secrets by decoding everything from everywhere, without spans, worklist, magic bytes or prefilter."""
+    found = {t[2] for t in ((r, None, text[a:b]) for r, a, b in S._matches(text))}
+    if depth > 5:
+        return found
+    blobs = [urllib.parse.unquote_to_bytes(w) for w in re.split("[\\s\"'<>]+", text) if "%" in w]
+    for run in re.findall("[A-Za-z0-9+/_-]{14,}", text):
+        for k in range(min(4, len(run))):
+            body = run[k:].replace("-", "+").replace("_", "/")
+            body = body[:-1] if len(body) % 4 == 1 else body
+            blobs.append(base64.b64decode(body + "=" * (-len(body) % 4)))
+    texts = [re.sub(r"\\u([0-9A-Fa-f]{4})|&#([0-9]{1,7});", lambda m: chr(int(m[1], 16) if m[1] else int(m[2])), text)]
+    for blob in blobs:
+        texts += [blob.decode(errors="replace"), blob.replace(b"\0", b"").decode(errors="replace")]
+        for i in range(len(blob)) if len(blob) < 3000 else ():
+            for z in (zlib.decompressobj(31), zlib.decompressobj(15), bz2.BZ2Decompressor()):
+                try:
+                    more = z.decompress(blob[i:])
+                except (zlib.error, OSError, ValueError):
+                    continue
+                texts += [base64.b64encode(more).decode(), more.decode(errors="replace")] if len(more) >= 10 else []
+    for t in texts:
+        if t != text and len(t) >= 10 and re.search("[ -~]{10}", t):
+            found |= brute(t, depth + 1)
+    return found
+
+
+WRAPS = [
+    lambda r, s: "https://host/download/" + b64(s), lambda r, s: "/data/x" + b64(s) + "/tail", lambda r, s: "k" * r.randrange(4) + b64(s), lambda r, s: b64(s.encode("utf-16")), lambda r, s: b64(s.encode("utf-16-be")),
+    lambda r, s: b64(bytes([0, 255, 1, 254] * r.randrange(1, 9)) + s.encode() + b"\xff\0"), lambda r, s: "a%FFb%20" + s.replace("g", "%67"), lambda r, s: b64(gzip.compress(b"\0\xff" * 20 + b" " + s.encode())),
+    lambda r, s: b64(gzip.compress(b"head ") + gzip.compress(s.encode())), lambda r, s: "".join(f"\\u{ord(c):04x}" for c in s), lambda r, s: urllib.parse.quote(s, safe="").replace("p", "%70"), lambda r, s: b64(b"\0\1" + gzip.compress(b"\0" + zlib.compress(s.encode()))),
+]
+
+
+@pytest.mark.parametrize("seed", range(24))
+def test_scan_finds_what_brute_force_decoding_finds(seed):
+    r = random.Random(seed)
+    key = "ghp_" + "".join(r.choice("abcdefgh0123456789XYZ") for _ in range(36))
+    text = key
+    for _ in range(r.randrange(1, 3)):
+        text = r.choice(WRAPS)(r, "say " + text + " end")
+    text = f"intro {text} middle {text} outro"
+    got = {f[4] for f in S.scan(text)}
+    assert key in got and got == brute(text)
+    assert key not in brute(S.redacted(text)) and S.suspects(pa.array(["", text])).tolist() == [1]
+
+
+def test_registered_query_finds_what_brute_force_finds(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()
+    got = {}
+    for f in S.op9_secret_scan(spark, "/root/testdata/sf0.01").collect():
+        got.setdefault(f.doc_id, set()).add(f.sha256)
+    want = {}
+    for d in docs:
+        if d.text and (found := brute(d.text)):
+            want.setdefault(d.doc_id, set()).update(hashlib.sha256(x.encode("utf-8", "surrogatepass")).hexdigest() for x in found)
+    assert got == want and got
+
+
+def test_compressed_data_without_end_is_reported():
+    data = b"hi"
+    for _ in range(S.MAX_DEPTH + 5):
+        data = gzip.compress(data)
+    assert [f[0] for f in S.scan(b64(data))] == ["oversized_layer"]
+
+
 def test_plain_words_are_no_secrets():
     assert S.scan("the token of appreciation, password protected; keyboard internationalization responsibilities secretarial") == []
 
@@ -92,7 +160,7 @@ def test_suspects_miss_nothing():
 
 def test_a_text_of_base64_symbols_alone_is_a_suspect_between_words():
     blob = b64("key " + KEY).rstrip("=")
-    for texts in (["word", blob, "word"], ["word", None, blob, "", "word"], ["a b", blob, "c d"], [blob, blob, blob], ["x" * 19, "y"]):
+    for texts in (["word", blob, "word"], ["word", None, blob, "", "word"], ["a b", blob, "c d"], [blob, blob, blob], ["x" * 13, "y"]):
         want = [i for i, t in enumerate(texts) if t == blob]
         assert S.suspects(pa.array(texts)).tolist() == want and all(S.scan(texts[i]) for i in want)
         assert S.suspects(pa.array(["zz", *texts]).slice(1)).tolist() == want
