@@ -4,9 +4,12 @@ A document's fingerprint has 192 bits over its pairs of neighbouring words (case
 single word is its own feature). The distance of two fingerprints is their Hamming distance, whatever the texts' lengths; it
 is a metric, so the triangle bounds of the tree hold for it, though they cut off little at this radius: mostly the tree has
 one leaf, and all pairs of its blocks are compared. Pairs at most RADIUS apart are near-duplicates; a group is what pairs connect.
+Equal fingerprints are one until the end, so copies are never expanded into pairs; a document's links count them all the same.
 
 Defined results: a null, empty or wordless text has no fingerprint and is in no group; documents with the same words are
-one fingerprint and so at distance 0, however many and however long; rows that repeat a doc_id are one document here.
+one fingerprint and so at distance 0, however many and however long. Rows that repeat a doc_id are one document for
+near_duplicates(), with all their texts; drop_near_duplicates() looks at each row's own text, so of rows with one doc_id those
+stay whose texts are in no common group. Ties of a group go to the smallest doc_id, then the smallest fingerprint.
 """
 
 from __future__ import annotations
@@ -15,7 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanframe.llm.common import U64, cut, fold_bytes, fresh, mix, text_bytes, text_chunks, trim, words
@@ -25,14 +28,13 @@ WORDS = 3
 BITS = 64 * WORDS
 #: Near copies with some 4 % of their words changed differ in about 25 +- 5 bits, unrelated texts in 94 +- 7.
 RADIUS = 40
-#: What the lengths' logarithms count for in the distance: nothing, as they don't bound the Hamming distance.
-SCALE = 0.0
 #: Fingerprints that the tree is fitted on. It decides how well the shards are balanced, never which pairs are found.
 TREE_SAMPLE = 8192
 #: Rows of a shard that one task compares at once; larger shards are cut into pairs of blocks, all of which are compared.
 BLOCK = 1 << 18
 #: Blocks of a shard at least, for its tasks to be many, as long as they have FEW rows.
 SPREAD, FEW = 8, 4096
+FINGER = [f"f{w}" for w in range(WORDS)]
 _BITS = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.float32)
 
 
@@ -68,28 +70,28 @@ def _fingerprint(it: Iterator[pa.Array]) -> Iterator[pa.Array]:
         trim()
 
 
-def distances(a: np.ndarray, la: np.ndarray, b: np.ndarray, lb: np.ndarray) -> np.ndarray:
-    """Distances of all rows of a to all rows of b; la, lb: SCALE times log2 of the lengths."""
+def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Hamming distances of all rows of a to all rows of b."""
     d = np.zeros((len(a), len(b)), np.uint8)
     for w in range(WORDS):
         d += np.bitwise_count(a[:, w][:, None] ^ b[:, w][None, :])
-    return np.maximum(d, np.abs(la[:, None] - lb[None, :]))
+    return d.astype(np.int64)
 
 
 class VpTree:
     """A tree of (vantage point, ball radius) splits; a leaf is a shard. Built on a sample, it holds for any fingerprint."""
 
-    def __init__(self, f: np.ndarray, length: np.ndarray, leaf: int, radius: float, seed: int = 0):
+    def __init__(self, f: np.ndarray, leaf: int, radius: float, seed: int = 0):
         self.radius, self.leaves, self.nodes = radius, 0, []
         self.rng = np.random.default_rng(seed)
-        self.root = self._build(f, length, leaf)
+        self.root = self._build(f, leaf)
 
-    def _build(self, f: np.ndarray, length: np.ndarray, leaf: int) -> int:
+    def _build(self, f: np.ndarray, leaf: int) -> int:
         if len(f) > leaf:
             # The best vantage point is the one that leaves the fewest sample points in both branches: an outlying one.
-            tries = np.unique(np.concatenate([self.rng.integers(0, len(f), 6), [int(length.argmin()), int(length.argmax())]]))
+            tries = np.unique(self.rng.integers(0, len(f), 8))
             best = None
-            for d, t in zip(distances(f[tries], length[tries], f, length), tries):
+            for d, t in zip(distances(f[tries], f), tries):
                 mu = float(np.median(d))
                 both = int((np.abs(d - mu) <= self.radius).sum())
                 if (d <= mu).any() and (d > mu).any() and (best is None or both < best[0]):
@@ -98,14 +100,14 @@ class VpTree:
                 _, t, mu, d = best
                 k = len(self.nodes)
                 self.nodes.append(None)
-                inner = self._build(f[d <= mu], length[d <= mu], leaf)
-                outer = self._build(f[d > mu], length[d > mu], leaf)
-                self.nodes[k] = (f[t:t + 1].copy(), length[t:t + 1].copy(), mu, inner, outer)
+                inner = self._build(f[d <= mu], leaf)
+                outer = self._build(f[d > mu], leaf)
+                self.nodes[k] = (f[t:t + 1].copy(), mu, inner, outer)
                 return k
         self.leaves += 1
         return -self.leaves
 
-    def route(self, f: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def route(self, f: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(row, leaf, home) for each leaf that a row's ball can reach; home: the leaf that the row itself is in."""
         rows, leaves, home = [], [], []
         todo = [(self.root, np.arange(len(f)), np.ones(len(f), bool))]
@@ -116,8 +118,8 @@ class VpTree:
             if k < 0:
                 rows.append(r), leaves.append(np.full(len(r), -k)), home.append(own)
                 continue
-            vf, vl, mu, inner, outer = self.nodes[k]
-            d = distances(vf, vl, f[r], length[r])[0]
+            vantage, mu, inner, outer = self.nodes[k]
+            d = distances(vantage, f[r])[0]
             go = d - self.radius <= mu
             todo.append((inner, r[go], own[go] & (d[go] <= mu)))
             go = d + self.radius > mu
@@ -127,19 +129,16 @@ class VpTree:
         return np.concatenate(rows), np.concatenate(leaves), np.concatenate(home)
 
 
-def near(a: np.ndarray, la: np.ndarray, b: np.ndarray, lb: np.ndarray, radius: int, same: bool = False) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+def near(a: np.ndarray, b: np.ndarray, radius: int, same: bool = False) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """Index pairs (in a, in b) at most radius apart, and their distances. same: a is b, and each pair of two rows comes once.
     All but the last word decide for nearly all pairs, as those of unrelated texts alone are further apart."""
-    oa, ob = np.argsort(la, kind="stable"), np.argsort(lb, kind="stable")
-    la, lb = la[oa], lb[ob]
-    a, b = (np.ascontiguousarray(x.T) for x in (a[oa], b[ob]))
+    a, b = np.ascontiguousarray(a.T), np.ascontiguousarray(b.T)
     rows, cols = 16, 2048
     xor, count, more = np.empty((rows, cols), U64), np.empty((rows, cols), np.uint8), np.empty((rows, cols), np.uint8)
     for at in range(0, a.shape[1], rows):
         to = min(a.shape[1], at + rows)
-        lo, hi = np.searchsorted(lb, la[at] - radius, "left"), np.searchsorted(lb, la[to - 1] + radius, "right")
-        for x in range(max(lo, at) if same else lo, hi, cols):
-            y = min(hi, x + cols)
+        for x in range(at if same else 0, b.shape[1], cols):
+            y = min(b.shape[1], x + cols)
             v, d, e = (z[:to - at, :y - x] for z in (xor, count, more))
             for w in range(WORDS - 1):
                 np.bitwise_xor(a[w, at:to, None], b[w, None, x:y], out=v)
@@ -149,17 +148,15 @@ def near(a: np.ndarray, la: np.ndarray, b: np.ndarray, lb: np.ndarray, radius: i
             i, j = np.nonzero(d <= radius)
             if len(i):
                 far = d[i, j] + np.bitwise_count(a[-1, at + i] ^ b[-1, x + j])
-                gap = np.abs(la[at + i] - lb[x + j])
-                ok = (far <= radius) & (gap <= radius)
+                ok = far <= radius
                 if same:
                     ok &= x + j > at + i
                 if ok.any():
-                    yield oa[at + i[ok]], ob[x + j[ok]], np.maximum(far[ok], gap[ok])
+                    yield at + i[ok], x + j[ok], far[ok]
 
 
-def _columns(t: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    f = np.stack([t[f"f{w}"].to_numpy().view(U64) for w in range(WORDS)], 1)
-    return t["rep"].to_numpy(), f, SCALE * np.log2(np.maximum(t["n"].to_numpy(), 1).astype(np.float64))
+def _columns(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    return t["rep"].to_numpy(), np.stack([t[c].to_numpy().view(U64) for c in FINGER], 1)
 
 
 def _forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -185,36 +182,41 @@ def _edges(pairs: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> tuple[np.n
     return np.minimum(a, b), np.maximum(a, b), np.zeros(len(a))
 
 
+def _prints(text: str) -> Column:
+    """The fingerprint of a text, and its number of words."""
+    return F.arrow_udf(_fingerprint, "struct<f0: bigint, f1: bigint, f2: bigint, n: int>")(F.col(f"`{text}`").cast("string"))
+
+
 def fingerprint_table(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, f0, f1, f2, n) of the documents that have an id and words."""
+    """(doc_id, f0, f1, f2) of the documents that have an id and words."""
     t = docs.select(F.col(f"`{doc_id}`").cast("bigint").alias("doc_id"), F.col(f"`{text}`").alias("text")).where("doc_id is not null and text is not null")
-    prints = F.arrow_udf(_fingerprint, "struct<f0: bigint, f1: bigint, f2: bigint, n: int>")
-    return t.select("doc_id", prints("text").alias("f")).select("doc_id", "f.*").where("n > 0")
+    return t.select("doc_id", _prints("text").alias("f")).select("doc_id", "f.*").where("n > 0").drop("n")
 
 
 def close_pairs(prints: DataFrame, radius: int = RADIUS, forest: bool = False) -> DataFrame:
-    """(a, b, distance) of all pairs of different rep within radius, a < b, of a table (rep, f0, f1, f2, n) with a unique rep.
+    """(a, b, distance, links) of all pairs of different rep within radius, a < b, of a table (rep, f0, f1, f2, copies) with a unique rep.
 
     Each fingerprint goes to its own leaf, and as a query to the leaves its ball overlaps that come after it, so that a pair
     is found once. Leaves are cut into blocks; every pair of blocks is a group of its own, so no group outgrows a task.
-    forest: give only edges that connect the same groups.
+    forest: give only edges that connect the same groups, and rows (rep, rep) whose links are the copies of the fingerprints
+    near it; each group of blocks gives its own share, to be summed.
     """
     spark = prints.sparkSession
     total = prints.count()
     rate = min(1.0, 1.3 * TREE_SAMPLE / max(total, 1))
     some = prints.where(F.pmod(F.xxhash64("rep", F.lit(17)), F.lit(1 << 30)) <= int(rate * (1 << 30))).toArrow()
-    _, f, length = _columns(some)
+    _, f = _columns(some)
     share = total / max(1, len(f))
-    tree = VpTree(f, length, max(64, int(BLOCK / max(share, 1e-9) / 2)), radius)
+    tree = VpTree(f, max(64, int(BLOCK / max(share, 1e-9) / 2)), radius)
     sent = spark.sparkContext.broadcast(tree)
-    names = [f"f{w}" for w in range(WORDS)] + ["n"]
+    kinds = "rep bigint, f0 bigint, f1 bigint, f2 bigint, copies bigint, leaf int, home boolean"
 
     def route(batches):
         tree = sent.value
         for batch in batches:
             t = pa.Table.from_batches([batch])
-            _, f, length = _columns(t)
-            row, leaf, home = tree.route(f, length)
+            _, f = _columns(t)
+            row, leaf, home = tree.route(f)
             own = np.zeros(len(f), np.int64)
             own[row[home]] = leaf[home]
             go = leaf >= own[row]
@@ -222,11 +224,11 @@ def close_pairs(prints: DataFrame, radius: int = RADIUS, forest: bool = False) -
             out = out.append_column("leaf", pa.array(leaf[go].astype(np.int32))).append_column("home", pa.array(home[go]))
             yield from out.to_batches()
 
-    routed = cut(prints.select("rep", *names).mapInArrow(route, "rep bigint, f0 bigint, f1 bigint, f2 bigint, n int, leaf int, home boolean"))
+    routed = cut(prints.select("rep", *FINGER, "copies").mapInArrow(route, kinds))
     size = {r.leaf: (r.h, r.q) for r in routed.groupBy("leaf").agg(F.sum(F.col("home").cast("int")).alias("h"), F.sum((~F.col("home")).cast("int")).alias("q")).collect()}
     cells = {k: (max(-(-h // BLOCK), min(SPREAD, -(-h // FEW))), -(-q // (2 * BLOCK))) for k, (h, q) in size.items() if h}
     if not cells:
-        return spark.createDataFrame([], "a bigint, b bigint, distance double")
+        return spark.createDataFrame([], "a bigint, b bigint, distance double, links bigint")
     grid = spark.sparkContext.broadcast(cells)
 
     def spread(batches):
@@ -254,66 +256,93 @@ def close_pairs(prints: DataFrame, radius: int = RADIUS, forest: bool = False) -
 
     def compare(t: pa.Table) -> pa.Table:
         trim()
-        rep, f, length = _columns(t)
-        home, block = t["home"].to_numpy(zero_copy_only=False), t["block"].to_numpy()
+        rep, f = _columns(t)
+        home, block, copies = t["home"].to_numpy(zero_copy_only=False), t["block"].to_numpy(), t["copies"].to_numpy()
         i, j = t["i"][0].as_py(), t["j"][0].as_py()
         A = np.flatnonzero(home & (block == i))
         B = np.flatnonzero(~home) if j < 0 else A if i == j else np.flatnonzero(home & (block == j))
-        got, size = [], 0
-        for x, y, d in near(f[A], length[A], f[B], length[B], radius, same=i == j):
-            a, b = rep[A[x]], rep[B[y]]
-            k = a != b
-            got.append((np.minimum(a, b)[k], np.maximum(a, b)[k], d[k].astype(np.float64)))
+        got, size, links = [], 0, np.zeros(len(rep), np.int64)
+        for x, y, d in near(f[A], f[B], radius, same=i == j):
+            x, y = A[x], B[y]
+            k = rep[x] != rep[y]
+            x, y, d = x[k], y[k], d[k]
+            a, b = rep[x], rep[y]
+            got.append((np.minimum(a, b), np.maximum(a, b), d.astype(np.float64)))
             size += len(a)
+            if forest:
+                np.add.at(links, x, copies[y]), np.add.at(links, y, copies[x])
             if forest and size > 1 << 20:
                 # Many copies of a text have far more pairs than are needed to connect them.
                 got = [_edges(got)]
                 size = 0
         if forest and got:
             got = [_edges(got)]
-        a, b, d = (np.concatenate(z) for z in zip(*got)) if got else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "distance": pa.array(d, pa.float64())})
+        k = np.flatnonzero(links)
+        got.append((rep[k], rep[k], np.zeros(len(k))))
+        a, b, d = (np.concatenate(z) for z in zip(*got))
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "distance": pa.array(d, pa.float64()), "links": pa.array(np.concatenate([np.zeros(len(a) - len(k), np.int64), links[k]]))})
 
-    laid = routed.mapInArrow(spread, "rep bigint, f0 bigint, f1 bigint, f2 bigint, n int, leaf int, home boolean, block bigint, i bigint, j bigint")
-    return laid.groupBy("leaf", "i", "j").applyInArrow(compare, "a bigint, b bigint, distance double")
+    laid = routed.mapInArrow(spread, f"{kinds}, block bigint, i bigint, j bigint")
+    return laid.groupBy("leaf", "i", "j").applyInArrow(compare, "a bigint, b bigint, distance double, links bigint")
 
 
-def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", radius: int = RADIUS) -> DataFrame:
-    """(doc_id, group_id, keep) of every document that has near-duplicates; group_id is the group's smallest doc_id, which is kept."""
+def _nodes(docs: DataFrame, doc_id: str, text: str, radius: int) -> tuple[DataFrame, DataFrame, bool, DataFrame]:
+    """The documents' fingerprints; the different ones with their number of documents and a unique rep, which is the smallest
+    doc_id if no document has several; whether one has; and what close_pairs() gives."""
     prints = cut(fingerprint_table(docs, doc_id, text).distinct())
-    names = [f"f{w}" for w in range(WORDS)] + ["n"]
-    same = cut(prints.groupBy(*names).agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")))
-    # A doc_id with several texts can stand for several fingerprints; its rows are then one node of the graph.
-    one = same.groupBy("rep").agg(F.count("*").alias("k")).where("k > 1")
-    if not one.isEmpty():
-        same = cut(same.withColumn("rep", F.xxhash64(*names)))
-        node = same.groupBy(*names).agg(F.min("rep").alias("rep"))
-        own = prints.join(node, names).select("rep", "doc_id")
-        ids = own.groupBy("rep").agg(F.min("doc_id").alias("low"))
-        pairs = close_pairs(node, radius, forest=True).join(ids.select(F.col("rep").alias("a"), F.col("low").alias("x")), "a").join(ids.select(F.col("rep").alias("b"), F.col("low").alias("y")), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
-        edges = pairs.union(own.join(ids, "rep").select(F.col("doc_id").alias("a"), F.col("low").alias("b")))
-    else:
-        edges = close_pairs(same, radius, forest=True).select("a", "b")
-        copies = prints.join(same.where("copies > 1").select(*names, "rep"), names).select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
-        edges = edges.union(copies)
-    g = components(edges)
-    return g.select(F.col("id").alias("doc_id"), F.col("group").alias("group_id"), (F.col("id") == F.col("group")).alias("keep"))
+    same = cut(prints.groupBy(*FINGER).agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")))
+    several = not same.groupBy("rep").agg(F.count("*").alias("k")).where("k > 1").isEmpty()
+    if several:
+        same = cut(same.withColumn("rep", F.monotonically_increasing_id()))
+    return prints, same, several, cut(close_pairs(same, radius, forest=True))
+
+
+def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", radius: int = RADIUS) -> DataFrame:
+    """(doc_id, group_id, links, keep) of every document that has near-duplicates; group_id is the group's smallest doc_id,
+    which is kept; links: other documents at most radius away, counted for each of a document's texts."""
+    prints, same, several, found = _nodes(docs, doc_id, text, radius)
+    edges = found.where("a <> b").select("a", "b")
+    if several:
+        # A document's texts are one node of the graph.
+        member = prints.join(same, FINGER).select("doc_id", "rep")
+        low = member.groupBy("doc_id").agg(F.min("rep").alias("low"), F.count("*").alias("k")).where("k > 1").drop("k")
+        edges = edges.union(member.join(low, "doc_id").select(F.col("rep").alias("a"), F.col("low").alias("b")))
+    groups = components(edges).select(F.col("id").alias("rep"), F.col("group").alias("g"))
+    links = found.where("a = b").groupBy(F.col("a").alias("rep")).agg(F.sum("links").alias("links"))
+    info = same.join(groups, "rep", "left").join(links, "rep", "left").where("copies > 1 or g is not null")
+    info = info.select(*FINGER, F.coalesce("g", "rep").alias("group_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links"))
+    out = prints.join(info, FINGER).select("doc_id", "group_id", "links")
+    if several:
+        out = out.groupBy("doc_id").agg(F.min("group_id").alias("g"), F.sum("links").alias("links"))
+        first = out.groupBy("g").agg(F.min("doc_id").alias("group_id"), F.count("*").alias("k")).where("k > 1").drop("k")
+        out = out.join(first, "g")
+    return out.select("doc_id", "group_id", "links", (F.col("doc_id") == F.col("group_id")).alias("keep"))
 
 
 def drop_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", radius: int = RADIUS) -> DataFrame:
-    """The rows of docs without those of which a near-duplicate with a smaller doc_id stays; of rows that repeat a doc_id one stays.
+    """The rows of docs without those of which a near-duplicate that comes before (by doc_id, then fingerprint) stays; of rows
+    with the same doc_id and words one stays.
 
     Rows without id or without words stay. The columns are those of docs.
     """
-    key, count = fresh(docs, "gone_id", "times")
-    groups = near_duplicates(docs, doc_id, text, radius)
-    gone = groups.where("not keep").select(F.col("doc_id").alias(key))
-    left = docs.join(gone, F.col(f"`{doc_id}`") == F.col(key), "left_anti")
-    again = cut(docs.groupBy(F.col(f"`{doc_id}`").alias(key)).agg(F.count("*").alias(count)).where(f"{count} > 1 and {key} is not null").select(key))
-    if again.isEmpty():
-        return left
+    key, count, finger = fresh(docs, "gone_id", "times", "finger")
+    prints, same, several, found = _nodes(docs, doc_id, text, radius)
+    groups = components(found.where("a <> b").select("a", "b"))
+    info = same.join(groups.select(F.col("id").alias("rep"), F.col("group").alias("g")), "rep", "left").where("copies > 1 or g is not null").select(*FINGER, F.coalesce("g", "rep").alias("g"))
+    member = prints.join(info, FINGER)
+    first = member.groupBy("g").agg(F.min(F.struct("doc_id", *FINGER)).alias("first"))
+    gone = member.join(first, "g").where(F.struct("doc_id", *FINGER) != F.col("first")).select(F.col("doc_id").alias(key), *FINGER)
     match = F.col(f"`{doc_id}`") == F.col(key)
-    return left.join(again, match, "left_anti").unionByName(left.join(again, match, "left_semi").dropDuplicates([doc_id]))
+    again = cut(docs.groupBy(F.col(f"`{doc_id}`").cast("bigint").alias(key)).agg(F.count("*").alias(count)).where(f"{count} > 1 and {key} is not null").select(key))
+    if again.isEmpty():
+        return docs.join(gone.select(key), match, "left_anti")
+    # Where rows share a doc_id, each is told by its own text.
+    once = docs.join(again, match, "left_anti").join(gone.select(key), match, "left_anti")
+    more = docs.join(again, match, "left_semi").withColumn(finger, _prints(text))
+    own = [F.col(f"`{finger}`.{c}") for c in FINGER]
+    worded = F.col(f"`{finger}`.n") > 0
+    left = more.where(worded).join(gone.select(key, F.struct(*FINGER).alias(count)), match & (F.struct(*own) == F.col(count)), "left_anti").dropDuplicates([doc_id, finger])
+    return once.unionByName(left.drop(finger)).unionByName(more.where(~worded | worded.isNull()).drop(finger))
 
 
 def op10_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

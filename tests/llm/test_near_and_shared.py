@@ -13,7 +13,6 @@ from tests.llm.conftest import prose
 def brute_groups(rows):
     t = [(i, x) for i, x in rows if i is not None and x is not None and x.strip()]
     f, n = S.fingerprints(pa.array([x for _, x in t]))
-    length = S.SCALE * np.log2(np.maximum(n, 1))
     parent = {}
 
     def find(a):
@@ -21,7 +20,7 @@ def brute_groups(rows):
             a = parent[a]
         return a
 
-    d = S.distances(f, length, f, length)
+    d = S.distances(f, f)
     for i, j in zip(*np.nonzero((d <= S.RADIUS) & (n > 0)[:, None] & (n > 0)[None, :])):
         a, b = find(t[i][0]), find(t[j][0])
         if a != b:
@@ -45,6 +44,24 @@ def test_a_doc_id_with_several_texts(spark):
     assert got == {5: 5, 6: 5, 7: 5}
 
 
+def test_links_count_every_near_document(spark, nasty):
+    rows = list({(r.doc_id, r.text) for r in nasty.collect() if r.doc_id is not None and r.text and r.text.split()})
+    f, n = S.fingerprints(pa.array([t for _, t in rows]))
+    links = (S.distances(f, f) <= S.RADIUS).sum(1) - 1
+    assert {r.doc_id: r.links for r in S.near_duplicates(nasty).collect()} == {i: k for (i, _), k in zip(rows, links.tolist()) if k}
+
+
+def test_rows_that_share_a_doc_id_keep_their_different_texts(spark):
+    """Whatever the partitions; a text without words isn't lost either."""
+    a, b, c = (prose(k, 80) for k in (1, 2, 3))
+    rows = [(4, a, "x"), (4, b, "x"), (4, a, "x"), (4, None, "x"), (4, "", "x"), (5, b, "x"), (6, c, "x"), (6, c + " end", "x"), (7, c, "x"), (None, a, "x")]
+    for parts in (1, 3):
+        docs = spark.createDataFrame(rows, "doc_id int, text string, finger string").repartition(parts)
+        out = sorted(((r.doc_id, r.text) for r in S.drop_near_duplicates(docs).collect()), key=str)
+        assert [r for r in out if r[0] != 6] == sorted([(4, a), (4, b), (4, None), (4, ""), (None, a)], key=str)
+        assert len([r for r in out if r[0] == 6]) == 1
+
+
 def test_many_shards_and_blocks_find_all_pairs(spark, monkeypatch):
     r = random.Random(7)
     rows = []
@@ -57,15 +74,19 @@ def test_many_shards_and_blocks_find_all_pairs(spark, monkeypatch):
             rows.append((len(rows), " ".join(w)))
     monkeypatch.setattr(S, "BLOCK", 16)
     f, n = S.fingerprints(pa.array([t for _, t in rows]))
-    length = S.SCALE * np.log2(n)
-    d = S.distances(f, length, f, length)
+    d = S.distances(f, f)
     first = {}
-    same = [first.setdefault((*x, y), i) for i, (x, y) in enumerate(zip(f.tolist(), n.tolist()))]
+    same = [first.setdefault(tuple(x), i) for i, x in enumerate(f.tolist())]
     want = {(i, j, round(float(d[i, j]), 6)) for i, j in zip(*np.nonzero(np.triu(d <= S.RADIUS, 1))) if same[i] == i and same[j] == j}
-    prints = S.fingerprint_table(spark.createDataFrame(rows, "doc_id bigint, text string")).groupBy("f0", "f1", "f2", "n").agg(S.F.min("doc_id").alias("rep"))
+    prints = S.fingerprint_table(spark.createDataFrame(rows, "doc_id bigint, text string")).groupBy(*S.FINGER).agg(S.F.min("doc_id").alias("rep"), S.F.count("*").alias("copies"))
     got = [(r.a, r.b, round(r.distance, 6)) for r in S.close_pairs(prints).collect()]
     assert len(got) == len(set(got)) and set(got) == want and want
-    edges = {(r.a, r.b) for r in S.close_pairs(prints, forest=True).collect()}
+    found = S.close_pairs(prints, forest=True).collect()
+    edges, links = {(r.a, r.b) for r in found if r.a != r.b}, defaultdict(int)
+    for r in found:
+        links[r.a] += r.links
+    near = (d <= S.RADIUS).sum(1) - np.array([same.count(i) for i in same])
+    assert {k: v for k, v in links.items() if v} == {i: int(k) for i, k in enumerate(near) if k and same[i] == i}
     whole = {(r.id, r.group) for r in components(spark.createDataFrame([(int(a), int(b)) for a, b, _ in want], "a bigint, b bigint")).collect()}
     assert {(r.id, r.group) for r in components(spark.createDataFrame(list(edges), "a bigint, b bigint")).collect()} == whole
 
@@ -86,10 +107,9 @@ def test_many_copies_are_connected_with_few_edges():
     r = np.random.default_rng(0)
     f = np.repeat(r.integers(0, 1 << 63, (3, S.WORDS)).astype(np.uint64), 40, 0)
     f[:, 2] ^= np.uint64(1) << r.integers(0, 60, 120).astype(np.uint64)
-    zero = np.zeros(120)
-    pairs = {(min(i, j), max(i, j)) for x, y, d in S.near(f, zero, f, zero, 2, same=True) for i, j in zip(x, y)}
+    pairs = {(min(i, j), max(i, j)) for x, y, d in S.near(f, f, 2, same=True) for i, j in zip(x, y)}
     assert pairs == {(i, j) for i in range(120) for j in range(i + 1, 120) if i // 40 == j // 40}
-    apart = {(i, j) for x, y, d in S.near(f[:50], zero[:50], f[50:], zero[50:], 2) for i, j in zip(x, y)}
+    apart = {(i, j) for x, y, d in S.near(f[:50], f[50:], 2) for i, j in zip(x, y)}
     assert apart == {(i, j) for i in range(50) for j in range(70) if i // 40 == (j + 50) // 40}
 
 
