@@ -7,13 +7,17 @@ once can't begin a repeat and is dropped before any text moves; small ones are p
 with more than GROUP suffixes is split by longer prefixes. As what a suffix shares to its left also counts, each split at
 depth d makes two kinds of groups: suffixes with the same d words, and those with the same words to the left that a
 repeat of fewer than d words to the right would need. In a group the suffixes are sorted, which with the lengths of their
-common prefixes is the suffix tree: its nodes of depth d are the runs of suffixes that share d words, and those deep
-enough together with the words shared to the left are the repeats. A document's repeats that touch or overlap are joined.
+common prefixes is the suffix tree: its nodes of depth d are the runs of suffixes that share d words. Those that with the words
+shared to the left are deep enough are internal nodes; a node that can't be moved left or right without its suffixes becoming
+others is a maximal repeat, with an id that its words alone decide. No node is followed more than MIN_WORDS words to a side, as
+a longer repeat is a chain of overlapping ones. A document's repeats that touch or overlap are joined to a passage, which
+carries its repeats' ids: two passages share MIN_WORDS words just where they have an id in common.
 
 Words are runs without ASCII white space and are compared by 64 (prefix) and 32 bits (the rest) of their hashes.
 
 Defined results: null, empty and shorter texts have no repeats; rows with the same doc_id and text are one document, so
-they don't repeat each other; a repeat within one document alone isn't reported; a text of any length is read whole.
+they don't repeat each other; a repeat within one document alone is reported if `within` is set; a text of any length is read
+whole. Rows without doc_id are left out, other columns don't matter.
 """
 
 from __future__ import annotations
@@ -24,7 +28,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from spanframe.llm.common import U64, mix, scratch, text_bytes, text_chunks, trim, words
 
@@ -85,8 +88,8 @@ def contexts(text: str, at: np.ndarray, min_words: int = MIN_WORDS) -> tuple[np.
     return right, left, np.minimum(n - at, min_words), np.minimum(at, far)
 
 
-def repeats(prefix: np.ndarray, doc: np.ndarray, right: np.ndarray, left: np.ndarray, rights: np.ndarray, lefts: np.ndarray, min_words: int = MIN_WORDS) -> tuple[np.ndarray, np.ndarray]:
-    """How many words to the left and right of each suffix are in a repeat of min_words words with another document; 0 and 0: none."""
+def repeats(prefix: np.ndarray, doc: np.ndarray, right: np.ndarray, left: np.ndarray, rights: np.ndarray, lefts: np.ndarray, min_words: int = MIN_WORDS, within: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(suffix, words to its left, words to its right, id) of the maximal repeats of min_words words or more that each suffix is in."""
     n = len(prefix)
     # The suffix tree of each prefix: suffixes in order, and how many words each shares with the one before.
     rows = np.ascontiguousarray(np.concatenate([prefix.astype(">u8").view(np.uint8).reshape(n, 8), right.astype(">u4").view(np.uint8).reshape(n, -1)], 1))
@@ -97,35 +100,52 @@ def repeats(prefix: np.ndarray, doc: np.ndarray, right: np.ndarray, left: np.nda
         same = r[1:] == r[:-1]
         depth = np.where(same.all(1), r.shape[1], same.argmin(1))
         shared[1:] = np.where(p[1:] == p[:-1], np.minimum(depth, np.minimum(size[1:], size[:-1])), 0)
-    lo, hi = np.zeros(n, np.int64), np.zeros(n, np.int64)
     # hash of the nearest k words to the left, for each k
     near = np.zeros((n, left.shape[1] + 1), U64)
     for k in range(left.shape[1]):
         near[:, k + 1] = mix(near[:, k] * U64(3) + left[order, k] + U64(1))
-    d = doc[order]
-    has = lefts[order]
+    d, has, far = doc[order], lefts[order], p.copy()
+    own = mix(np.arange(n, dtype=U64) + U64(1))
+    # The repeat that each suffix is in at the depth so far: who is in it (0: none), its id, and its first and last depth.
+    who, name, first, last = np.zeros(n, U64), np.zeros(n, U64), np.zeros(n, np.int64), np.zeros(n, np.int64)
+    out = []
+
+    def close(k: np.ndarray) -> None:
+        k = k[who[k] != 0]
+        out.append((order[k], min_words - first[k], last[k], name[k]))
+
     for depth in range(PREFIX, min_words + 1):
+        if depth > PREFIX:
+            far = mix(far * U64(3) + r[:, depth - 1] + U64(1))
         node = np.cumsum(shared < depth)
         need = min_words - depth
         live = np.flatnonzero((size >= depth) & (has >= need))
-        if len(live) < 2:
-            continue
-        key = mix(near[live, need] ^ (node[live].astype(U64) * U64(0x9E3779B97F4A7C15)))
-        by = np.lexsort((d[live], key))
-        k, dd = key[by], d[live][by]
-        edge = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1], [True]]))
-        # Sorted by document within a key: several documents if the last isn't the first.
-        many = dd[edge[1:] - 1] != dd[edge[:-1]]
-        hit = live[by[np.repeat(many, np.diff(edge))]]
-        lo[hit] = np.maximum(lo[hit], need)
-        hi[hit] = depth
-    a, b = np.empty(n, np.int64), np.empty(n, np.int64)
-    a[order], b[order] = lo, hi
-    return a, b
-
-
-def shared_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS, group: int = GROUP) -> DataFrame:
-    """(doc_id, start_char, end_char, start_word, n_words) of each document's passages that other documents share."""
+        now, key = np.zeros(n, U64), np.zeros(n, U64)
+        if len(live) > 1:
+            by = np.lexsort((d[live], near[live, need], node[live]))
+            at = live[by]
+            split = (node[at[1:]] != node[at[:-1]]) | (near[at[1:], need] != near[at[:-1], need])
+            edge = np.flatnonzero(np.concatenate([[True], split, [True]]))
+            count = np.diff(edge)
+            # Sorted by document within a node: several documents if the last isn't the first.
+            many = count > 1 if within else d[at[edge[1:] - 1]] != d[at[edge[:-1]]]
+            whose = np.repeat(np.add.reduceat(own[at], edge[:-1]) | U64(1), count)
+            hit = np.repeat(many, count)
+            now[at[hit]] = whose[hit]
+            key[at[hit]] = mix(far[at[hit]] ^ (near[at[hit], need] * U64(0x9E3779B97F4A7C15) + U64(depth)))
+        new = np.flatnonzero(now != who)
+        close(new)
+        who[new], name[new], first[new] = now[new], key[new], depth
+        last[now != 0] = depth
+    close(np.arange(n))
+    return tuple(np.concatenate(x) for x in zip(*out))
+
+
+def shared_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS, group: int = GROUP, within: bool = False) -> DataFrame:
+    """(doc_id, start_char, end_char, start_word, n_words, n_docs, repeats) of each document's passages that other documents share.
+
+    n_docs: documents that the passage's most frequent stretch of min_words words is in; repeats: the ids of its maximal repeats.
+    """
     spark = docs.sparkSession
     base = docs.select(F.col(f"`{doc_id}`").cast("bigint").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text")).where("doc_id is not null and text is not null")
     base = base.withColumn("key", F.xxhash64("doc_id", "text"))
@@ -137,14 +157,17 @@ def shared_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
             del batch
             trim()
 
-    found = base.select("key", "text").mapInArrow(find, "key bigint, at int, prefix bigint")
-    w = Window.partitionBy("prefix")
-    again = found.select("*", F.count("*").over(w).alias("n"), (F.min("key").over(w) < F.max("key").over(w)).alias("several")).where("several")
-    again = again.groupBy("key").agg(F.collect_set(F.struct("at", "prefix", F.least("n", F.lit(1 << 30)).cast("int").alias("n"))).alias("found"))
-    # The few texts that share a prefix are written once and read for their contexts, and again for the places of the results.
+    # Written, as it is read twice: once counted by prefix, which combines before it moves, and once joined with the counts.
     at = scratch(spark, "shared-passages")
-    base.dropDuplicates(["key"]).join(again, "key").write.parquet(at)
-    hits = spark.read.parquet(at)
+    base.select("key", "text").mapInArrow(find, "key bigint, at int, prefix bigint").write.parquet(f"{at}/anchors")
+    found = spark.read.parquet(f"{at}/anchors")
+    counts = found.groupBy("prefix").agg(F.count("*").alias("n"), F.min("key").alias("low"), F.max("key").alias("high"))
+    counts = counts.where("n > 1" if within else "low < high").select("prefix", F.least("n", F.lit(1 << 30)).cast("int").alias("n"))
+    again = found.join(counts, "prefix").groupBy("key").agg(F.collect_set(F.struct("at", "prefix", "n")).alias("found"))
+    # The texts that share a prefix are written once and read for their contexts, and again for the places of the results. Texts
+    # cross the network once and aren't sorted; rows that repeat are one after the join, which has brought them together.
+    base.join(again.hint("shuffle_hash"), "key").dropDuplicates(["key"]).write.parquet(f"{at}/texts")
+    hits = spark.read.parquet(f"{at}/texts")
 
     def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -177,13 +200,19 @@ def shared_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         n = len(t)
         right = np.frombuffer(b"".join(t["right"].to_pylist()), np.uint32).reshape(n, -1)
         left = np.frombuffer(b"".join(t["left"].to_pylist()), np.uint32).reshape(n, -1)
-        lo, hi = repeats(t["prefix"].to_numpy().view(U64), t["key"].to_numpy(), right, left, t["rights"].to_numpy(), t["lefts"].to_numpy(), min_words)
-        k = np.flatnonzero(hi)
+        k, lo, hi, name = repeats(t["prefix"].to_numpy().view(U64), t["key"].to_numpy(), right, left, t["rights"].to_numpy(), t["lefts"].to_numpy(), min_words, within)
         at = t["at"].to_numpy()[k]
-        return pa.table({"key": t["key"].take(pa.array(k)), "a": pa.array((at - lo[k]).astype(np.int32)), "b": pa.array((at + hi[k]).astype(np.int32))})
-
-    spans = wide.withColumn("g", F.pmod(F.xxhash64("prefix"), F.lit(groups))).groupBy("g").applyInArrow(tree, "key bigint, a int, b int")
-    spans = spans.groupBy("key").agg(F.array_sort(F.collect_set(F.struct("a", "b"))).alias("spans"))
+        out = pa.table({"key": t["key"].take(pa.array(k)), "a": pa.array((at - lo).astype(np.int32)), "b": pa.array((at + hi).astype(np.int32)), "name": pa.array(name.view(np.int64))})
+        del t, right, left
+        trim()
+        return out
+
+    # As many partitions as groups: none grows with the input.
+    laid = wide.withColumn("g", F.pmod(F.xxhash64("prefix"), F.lit(groups))).repartition(min(groups, 1 << 17), "g")
+    laid.groupBy("g").applyInArrow(tree, "key bigint, a int, b int, name bigint").write.parquet(f"{at}/repeats")
+    spans = spark.read.parquet(f"{at}/repeats")
+    shared = spans.select("name", "key").distinct().groupBy("name").agg(F.count("*").alias("docs"))
+    spans = spans.join(shared, "name").groupBy("key").agg(F.array_sort(F.collect_set(F.struct("a", "b", "name", "docs"))).alias("spans"))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -191,18 +220,19 @@ def shared_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
             for i in range(len(batch)):
                 t = batch.column(1)[i].as_py()
                 s = batch.column(2)[i].values
-                a, b = s.field(0).to_numpy(), np.maximum.accumulate(s.field(1).to_numpy())
+                a, b, name, shared = s.field(0).to_numpy(), np.maximum.accumulate(s.field(1).to_numpy()), s.field(2).to_numpy(), s.field(3).to_numpy()
                 head = np.flatnonzero(np.concatenate([[True], a[1:] > b[:-1]]))
-                a, b = a[head], b[np.append(head[1:], len(b)) - 1]
+                tail = np.append(head[1:], len(b))
+                a, b = a[head], b[tail - 1]
                 data, offs = text_bytes(pa.array([t]))
                 start, end, _, _ = words(data, offs)
                 chars = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
                 d = batch.column(0)[i].as_py()
-                rows += [(d, int(x), int(y), int(p), int(q - p)) for x, y, p, q in zip(chars[start[a]], chars[end[b - 1]], a, b)]
-            cols = list(zip(*rows)) if rows else [()] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), *[pa.int32()] * 4))], ["doc_id", "start_char", "end_char", "start_word", "n_words"])
+                rows += [(d, int(x), int(y), int(p), int(q - p), int(shared[u:v].max()), np.unique(name[u:v]).tolist()) for x, y, p, q, u, v in zip(chars[start[a]], chars[end[b - 1]], a, b, head, tail)]
+            cols = list(zip(*rows)) if rows else [()] * 7
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), *[pa.int32()] * 4, pa.int64(), pa.list_(pa.int64())))], ["doc_id", "start_char", "end_char", "start_word", "n_words", "n_docs", "repeats"])
 
-    return hits.select("key", "doc_id", "text").join(spans, "key").select("doc_id", "text", "spans").mapInArrow(place, "doc_id bigint, start_char int, end_char int, start_word int, n_words int")
+    return hits.select("key", "doc_id", "text").join(spans, "key").select("doc_id", "text", "spans").mapInArrow(place, "doc_id bigint, start_char int, end_char int, start_word int, n_words int, n_docs bigint, repeats array<bigint>")
 
 
 def _binary(a: np.ndarray) -> pa.Array:

@@ -161,6 +161,29 @@ def test_shared_passages_are_those_of_brute_force(spark, nasty):
     assert B.shared_passages(nasty.limit(0)).count() == 0
 
 
+def check_repeats(out, rows, n=50):
+    """Passages have an id in common just where they share n words, and n_docs counts the documents of the most frequent stretch."""
+    words = {i: t.split() for i, t in rows if i is not None and t is not None}
+    seen = defaultdict(set)
+    for i, w in words.items():
+        for a in range(len(w) - n + 1):
+            seen[tuple(w[a:a + n])].add(i)
+    own = [({tuple(words[r.doc_id][a:a + n]) for a in range(r.start_word, r.start_word + r.n_words - n + 1)}, r) for r in out]
+    for x, r in own:
+        assert r.n_docs == max(len(seen[w]) for w in x) > 1
+        for y, q in own:
+            if r.doc_id != q.doc_id:
+                assert bool(x & y) == bool(set(r.repeats) & set(q.repeats))
+
+
+def test_repeats_within_a_document_are_found_if_asked_for(spark):
+    p = prose(1, 60)
+    rows = [(1, f"{p} {prose(2, 30)} {p}"), (2, prose(3, 200)), (3, None)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert B.shared_passages(docs).count() == 0
+    assert merged(B.shared_passages(docs, within=True).collect()) == {(1, 0, 60), (1, 90, 60)}
+
+
 def test_random_overlaps(spark):
     r = random.Random(11)
     parts = [prose(k, r.randrange(20, 120)) for k in range(12)]
@@ -168,4 +191,6 @@ def test_random_overlaps(spark):
     rows += [(100, "la " * 200), (101, "x " + "la " * 120), (102, prose(50, 49)), (103, prose(50, 49)), (104, prose(51, 50)), (105, "é " + prose(51, 50))]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string")
     for group in (B.GROUP, 3):
-        assert merged(B.shared_passages(docs, group=group).collect()) == brute_spans(rows)
+        out = B.shared_passages(docs, group=group).collect()
+        assert merged(out) == brute_spans(rows)
+        check_repeats(out, rows)
