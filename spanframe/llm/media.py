@@ -3,11 +3,13 @@
 An Aho-Corasick automaton finds the magic bytes of all formats in one pass over a value. At each place the format's
 validator follows the structure (chunks and their CRCs, boxes, pages, segments, directories) to its end, which gives the
 length; what doesn't hold up is no finding. The finding at the value's beginning corrects the declared type; those further
-in are carved, outermost first: a finding within a carved one is part of it. Base64 data URIs in text are decoded and sniffed too.
+in are carved, outermost first: a finding within a carved one is part of it. Base64 data URIs in text are decoded and sniffed
+too, as are those in what they decode to; what is found inside one has the place of its base64 in the value.
 
 Defined results: a null value has one row without detected type; so has an empty one, with length 0. A value that no
-signature fits is text/plain if it is UTF-8 without control characters, and else application/octet-stream. Values of any
-length are read whole; repeated rows have their own results; other columns don't matter.
+signature fits is HTML, SVG or XML by its first tag, after any comments, processing instructions and declarations; else
+text/plain if it is UTF-8 without control characters, and else application/octet-stream. FLAC's last frame has no length: it ends
+with the value if its checksum does, and else where its checksum first holds. Values of any length are read whole; repeated rows have their own results; other columns don't matter.
 """
 
 from __future__ import annotations
@@ -151,16 +153,20 @@ def _pdf(d: bytes, a: int) -> int | None:
     return end - a
 
 
-def _zip(d: bytes, a: int) -> int | None:
-    """The end record whose directory begins where it says, counted from a."""
-    at = a
-    while (at := d.find(b"PK\x05\x06", at + 4)) >= 0:
-        if at + 22 > len(d):
-            return None
+def _zip_ends(d: bytes) -> dict[int, int]:
+    """For each place at which an archive begins, its end: that of the first end record whose directory is where it says."""
+    out, at = {}, -1
+    while (at := d.find(b"PK\x05\x06", at + 1)) >= 0 and at + 22 <= len(d):
         total, size, offset, note = struct.unpack_from("<HIIH", d, at + 10)
-        if a + offset + size == at and total and d[a + offset:a + offset + 4] == b"PK\x01\x02" and at + 22 + note <= len(d):
-            return at + 22 + note - a
-    return None
+        a = at - size - offset
+        if a >= 0 and total and d[a + offset:a + offset + 4] == b"PK\x01\x02" and at + 22 + note <= len(d):
+            out.setdefault(a, at + 22 + note)
+    return out
+
+
+def _zip(d: bytes, a: int, ends: dict[int, int] | None = None) -> int | None:
+    end = (_zip_ends(d) if ends is None else ends).get(a)
+    return None if end is None else end - a
 
 
 def _gzip(d: bytes, a: int) -> int | None:
@@ -206,17 +212,80 @@ def _ogg(d: bytes, a: int) -> int | None:
     return at - a if pages else None
 
 
+def _crc_table(poly: int, bits: int) -> list[int]:
+    out = []
+    for k in range(256):
+        k <<= bits - 8
+        for _ in range(8):
+            k = (k << 1 ^ poly if k >> bits - 1 else k << 1) & (1 << bits) - 1
+        out.append(k)
+    return out
+
+
+_CRC8, _CRC16 = _crc_table(0x07, 8), _crc_table(0x8005, 16)
+
+
+def _flac_frame(d: bytes, a: int) -> tuple[int, int, int] | None:
+    """(number, samples, length of the header) of the frame that begins at a, if its header's checksum holds; the number is of the
+    frame, or of its first sample."""
+    if a + 6 > len(d) or d[a] != 0xFF or d[a + 1] & 0xFE != 0xF8 or d[a + 3] & 1:
+        return None
+    block, rate, lead = d[a + 2] >> 4, d[a + 2] & 15, d[a + 4]
+    more = 0 if lead < 0x80 else next((k for k, x in enumerate((0xE0, 0xF0, 0xF8, 0xFC, 0xFE, 0xFF), 1) if lead < x), 6)
+    if not block or rate == 15 or 0x80 <= lead < 0xC0 or lead == 0xFF or (d[a + 3] >> 4) > 10:
+        return None
+    number, at = lead & (0x7F if not more else 0x3F >> more), a + 5
+    for x in d[at:at + more]:
+        number = number << 6 | x & 0x3F
+    at += more
+    size = {1: 192, **{k: 576 << k - 2 for k in range(2, 6)}, **{k: 256 << k - 8 for k in range(8, 16)}}.get(block)
+    if size is None:
+        n = 1 if block == 6 else 2
+        size = int.from_bytes(d[at:at + n], "big") + 1
+        at += n
+    at += {12: 1, 13: 2, 14: 2}.get(rate, 0)
+    if at >= len(d):
+        return None
+    crc = 0
+    for x in d[a:at]:
+        crc = _CRC8[crc ^ x]
+    return (number, size, at + 1 - a) if crc == d[at] else None
+
+
 def _flac(d: bytes, a: int) -> int | None:
-    at, first = a + 4, True
-    while at + 4 <= len(d):
+    at, first, total, least = a + 4, True, 0, 0
+    while True:
+        if at + 4 > len(d):
+            return None
         kind, n = d[at], int.from_bytes(d[at + 1:at + 4], "big")
         if first and (kind & 0x7F or n != 34) or at + 4 + n > len(d):
             return None
+        if first:
+            least, total = int.from_bytes(d[at + 8:at + 11], "big"), int.from_bytes(d[at + 17:at + 22], "big") & (1 << 36) - 1
         at, first = at + 4 + n, False
         if kind & 0x80:
-            # Frames have no total length: it goes on to the end.
-            return len(d) - a if at + 2 <= len(d) and d[at] == 0xFF and d[at + 1] & 0xFC == 0xF8 else None
-    return None
+            break
+    head = _flac_frame(d, at)
+    if head is None:
+        return None
+    seen, by_sample = head[1], d[at + 1] & 1
+    while not total or seen < total:
+        # The next frame is where a header says that it is: by number, or by its first sample.
+        want, k = seen if by_sample else head[0] + 1, at + max(head[2], least)
+        while (k := d.find(d[at:at + 2], k)) >= 0:
+            nxt = _flac_frame(d, k)
+            if nxt and nxt[0] == want:
+                break
+            k += 1
+        if k < 0:
+            break
+        at, head, seen = k, nxt, seen + nxt[1]
+    crc, end = 0, None
+    for k in range(at, len(d)):
+        crc = (crc << 8 & 0xFFFF) ^ _CRC16[crc >> 8 ^ d[k]]
+        if not crc and k + 1 - at >= max(head[2] + 2, least):
+            end = k + 1 if end is None or k + 1 == len(d) else end
+    return None if end is None else end - a
 
 
 def _tiff(d: bytes, a: int) -> int | None:
@@ -274,12 +343,40 @@ def automaton() -> ahocorasick.Automaton:
     return a
 
 
+_BLANK, _TAG, _NAME = re.compile(rb"\s*"), re.compile(rb"<(?:[A-Za-z][\w.-]*:)?([A-Za-z][A-Za-z0-9]*)(?=[\s/>])"), re.compile(rb"<!doctype\s+([A-Za-z]+)", re.I)
+_HTML = set(b"html head body title script style iframe div font table a b p br h1 h2 h3 h4 h5 h6 meta link span ul ol img article section main header footer nav form".split())
+
+
 def text_type(data: bytes) -> str:
     """The type of what no signature fits."""
-    head = data.lstrip(b"\xef\xbb\xbf").lstrip()[:256].lower()
-    for mark, kind in ((b"<!doctype html", "text/html"), (b"<html", "text/html"), (b"<svg", "image/svg+xml"), (b"<?xml", "text/xml")):
-        if head.startswith(mark):
-            return "image/svg+xml" if kind == "text/xml" and b"<svg" in head else kind
+    at, xml = 3 * data.startswith(b"\xef\xbb\xbf"), False
+    while True:
+        at = _BLANK.match(data, at).end()
+        if data.startswith((b"<!--", b"<?"), at):
+            end = data.find(b"-->" if data.startswith(b"<!--", at) else b"?>", at + 2)
+            if end < 0:
+                break
+            xml |= data[at:at + 5].lower() == b"<?xml"
+            at = end + (3 if data.startswith(b"<!--", at) else 2)
+        elif m := _NAME.match(data, at):
+            if m.group(1).lower() in (b"html", b"svg"):
+                return "text/html" if m.group(1).lower() == b"html" else "image/svg+xml"
+            xml, end = True, data.find(b">", m.end())
+            inner = data.find(b"[", m.end(), max(end, m.end()))
+            end = data.find(b"]>", inner) + 1 if inner >= 0 else end
+            if end <= 0:
+                break
+            at = end + 1
+        else:
+            break
+    if m := _TAG.match(data, at):
+        tag = m.group(1).lower()
+        if tag == b"svg":
+            return "image/svg+xml"
+        if tag in _HTML and (not xml or tag == b"html"):
+            return "text/html"
+    if xml:
+        return "text/xml"
     try:
         return "application/octet-stream" if _CONTROL.search(data.decode()) else "text/plain"
     except UnicodeDecodeError:
@@ -288,7 +385,7 @@ def text_type(data: bytes) -> str:
 
 def findings(data: bytes, magic: ahocorasick.Automaton) -> list[tuple[int, int, str, str | None]]:
     """(offset, length, type, declared) of what is in a value: first the value itself, then what is carved, by place."""
-    main, inner, taken, uris = None, [], 0, False
+    main, inner, taken, uris, ends = None, [], 0, False, None
     for end, m in magic.iter(data.decode("latin-1")):
         at = end + 1 - len(m)
         if m == b";base64,":
@@ -297,7 +394,11 @@ def findings(data: bytes, magic: ahocorasick.Automaton) -> list[tuple[int, int,
         if at < taken:
             continue
         kind, check = FORMATS[m]
-        got = check(data, at)
+        if check is _zip:
+            ends = _zip_ends(data) if ends is None else ends
+            got = _zip(data, at, ends)
+        else:
+            got = check(data, at)
         if got is None:
             continue
         n, kind = got if isinstance(got, tuple) else (got, kind)
@@ -315,13 +416,17 @@ def findings(data: bytes, magic: ahocorasick.Automaton) -> list[tuple[int, int,
                 raw = base64.b64decode(body + "=" * (-len(body) % 4))
             except (binascii.Error, ValueError):
                 continue
-            inner.append((u.start(2), u.end(2) - u.start(2), findings(raw, magic)[0][2], u.group(1).lower() or "text/plain"))
-    return [main or (0, len(data), text_type(data), None), *sorted(inner)]
+            # Each level is a quarter shorter, so this ends.
+            for k, (_, _, kind, own) in enumerate(findings(raw, magic)):
+                inner.append((u.start(2), u.end(2) - u.start(2), kind, own if k else u.group(1).lower() or "text/plain"))
+    return [main or (0, len(data), text_type(data), None), *sorted(inner, key=lambda x: x[:2])]
 
 
 def sniff_media(table: DataFrame, id_column: str, content: str, declared: str | None = None) -> DataFrame:
     """(id, offset, length, declared, detected, corrected, embedded): a row for each value and for each medium carved from it.
 
+    Values travel in batches of as many rows as spark.sql.execution.arrow.maxRecordsPerBatch says, and are taken one at a time.
+
     content: a binary or string column; declared: a column of media types, if there is one. corrected: a type was declared, and
     it isn't the detected one, however it is spelt. No shuffle.
     """

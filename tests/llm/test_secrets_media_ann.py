@@ -6,6 +6,7 @@ import io
 import random
 import re
 import struct
+import time
 import urllib.parse
 import wave
 import zipfile
@@ -203,6 +204,75 @@ OGG = b"OggS\0\6" + b"\0" * 20 + b"\1\5hello"
 MEDIA = {"image/png": png(), "audio/wav": wav(), "application/zip": zipped(), "image/gif": GIF, "image/jpeg": JPEG, "application/pdf": PDF, "video/mp4": MP4, "image/bmp": BMP, "image/tiff": TIFF, "audio/ogg": OGG, "application/gzip": gzip.compress(b"hello" * 20)}
 
 
+def flac(frames=3, extra=b""):
+    """A FLAC stream of constant subframes: header, 8 bits of silence and the checksum."""
+    total = 192 * frames
+    info = struct.pack(">HH", 192, 192) + b"\0" * 6 + ((44100 << 44) | (0 << 41) | (15 << 36) | total).to_bytes(8, "big") + b"\0" * 16
+    out = b"fLaC\x80" + (34).to_bytes(3, "big") + info
+    for k in range(frames):
+        head = bytes([0xFF, 0xF8, 0x19, 0x08, k])
+        crc = 0
+        for x in head:
+            crc = M._CRC8[crc ^ x]
+        frame, crc16 = head + bytes([crc]) + b"\0\0" + bytes([k]), 0
+        for x in frame:
+            crc16 = (crc16 << 8 & 0xFFFF) ^ M._CRC16[crc16 >> 8 ^ x]
+        out += frame + crc16.to_bytes(2, "big")
+    return out + extra
+
+
+MEDIA["audio/flac"] = flac()
+
+
+def test_text_types_are_sniffed_whole():
+    long = b"<!-- " + b"x" * 5000 + b" -->"
+    for text, kind in [
+        (b"<?xml version='1.0'?>" + long + b"<svg xmlns='a'/>", "image/svg+xml"), (long + b"<html>", "text/html"), (b" \n<!-- hello --><html>", "text/html"), (b"\xef\xbb\xbf<!DOCTYPE html><p>", "text/html"), (b"<?xml?><!DOCTYPE note [<!ENTITY a 'b>'>]><note/>", "text/xml"),
+        (b"<?xml version='1.0'?><html>", "text/html"), (b"<?xml?><note>", "text/xml"), (b"<div>x</div>", "text/html"), (b"a <svg> later", "text/plain"), (b"<!-- never closed", "text/plain"), (b"<unknown>", "text/plain"), (b"\0\1", "application/octet-stream"),
+    ]:
+        assert M.text_type(text) == kind, text
+
+
+def test_media_within_data_uris_within_data_uris():
+    inner = b"<svg><image href='data:image/jpeg;base64," + base64.b64encode(png()) + b"'/></svg>"
+    value = b"<html><img src='data:text/plain;base64," + base64.b64encode(inner) + b"'></html>"
+    got = M.findings(value, M.automaton())
+    assert [(k, d) for _, _, k, d in got] == [("text/html", None), ("image/svg+xml", "text/plain"), ("image/png", "image/jpeg")]
+    assert got[1][:2] == got[2][:2] and base64.b64decode(value[got[1][0]:got[1][0] + got[1][1]]) == inner
+
+
+def test_many_headers_without_end_take_no_time():
+    began = time.monotonic()
+    assert [f[2] for f in M.findings(b"PK\3\4" * 200_000 + zipped(), M.automaton())][1:] == ["application/zip"]
+    assert time.monotonic() - began < 20
+
+
+def brute_media(data):
+    """Every signature tried at every place, without automaton."""
+    found, taken = [], 0
+    for at in range(len(data)):
+        for m, (kind, check) in M.FORMATS.items():
+            if at >= taken and data.startswith(m, at) and (got := check(data, at)) is not None:
+                n, kind = got if isinstance(got, tuple) else (got, kind)
+                a = at - 4 * (m == b"ftyp")
+                found.append((a, n, kind))
+                taken = a + n if a else taken
+    whole = [f for f in found if f[0] == 0][:1] or [(0, len(data), M.text_type(data))]
+    return whole + [f for f in found if f[0]]
+
+
+def test_registered_query_finds_what_brute_force_finds_in_pages(spark):
+    pages = {r.page_id: r.html for r in spark.read.parquet("/root/testdata/sf0.001/pages.parquet").collect()}
+    got = {}
+    for r in sorted(M.op5_media(spark, "/root/testdata/sf0.001").collect(), key=lambda r: (r.page_id, r.embedded, r.offset)):
+        got.setdefault(r.page_id, []).append((r.offset, r.length, r.detected))
+    assert got == {i: brute_media(t.encode()) for i, t in pages.items()}
+    r = random.Random(4)
+    for _ in range(20):
+        value = b"".join(r.choice([b"text ", b"\0\1", b"PK\3\4", b"BM", *MEDIA.values()]) for _ in range(r.randrange(1, 8)))
+        assert [f[:3] for f in M.findings(value, M.automaton())] == brute_media(value)
+
+
 @pytest.mark.parametrize("kind", MEDIA)
 def test_formats(kind):
     magic, data = M.automaton(), MEDIA[kind]
