@@ -230,6 +230,7 @@ def close_pairs(prints: DataFrame, radius: int = RADIUS, forest: bool = False) -
     if not cells:
         return spark.createDataFrame([], "a bigint, b bigint, distance double, links bigint")
     grid = spark.sparkContext.broadcast(cells)
+    groups = sum(h * (h + 1) // 2 + h * q for h, q in cells.values())
 
     def spread(batches):
         cells = grid.value
@@ -283,6 +284,8 @@ def close_pairs(prints: DataFrame, radius: int = RADIUS, forest: bool = False) -
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "distance": pa.array(d, pa.float64()), "links": pa.array(np.concatenate([np.zeros(len(a) - len(k), np.int64), links[k]]))})
 
     laid = routed.mapInArrow(spread, f"{kinds}, block bigint, i bigint, j bigint")
+    # By their number, not by their bytes: a pair of blocks is few bytes and much work.
+    laid = laid.repartition(min(groups, 1 << 16), "leaf", "i", "j")
     return laid.groupBy("leaf", "i", "j").applyInArrow(compare, "a bigint, b bigint, distance double, links bigint")
 
 
