@@ -1,9 +1,11 @@
 """Personal data by weak supervision.
 
-Wide patterns propose spans, each of a kind. Six labelers (regex, gazetteer and context) vote on a span: 2 for, 1 against,
-0 nothing to say. Expectation-maximisation over the counts of all vote patterns in the corpus estimates each labeler's
-reliability and each kind's share of true spans, without labels. The estimates then are the targets of a logistic span
-classifier over votes, kind and form, which decides. The tables that go to the driver have a row for each pattern of votes and
+Wide patterns propose spans, each of a kind; for names that is any run of capitalised words. Six labelers (regex, gazetteer and
+context) vote on a span: 2 for, 1 against, 0 nothing to say. Expectation-maximisation over the counts of all vote patterns in
+the corpus estimates each labeler's reliability and each kind's share of true spans, without labels. The estimates then are the
+targets of a logistic span classifier, which decides: over votes, kind and form, and over what no labeler sees, the span's shape,
+its ending and the words beside it, hashed. It is fitted on a sample of at most about FIT_SPANS different spans of each kind, drawn by hash
+and weighted by how often they come. The tables that go to the driver are that sample and a row for each pattern of votes and
 form, of which there are at most KINDS x 3^6 x 12, whatever the corpus's size; texts are read once.
 
 Defined results: null and empty texts have no spans; spans of a kind don't overlap, and where accepted spans of different
@@ -13,6 +15,7 @@ kinds do, the likelier one stays, of equal ones the longer, then the first; repe
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,7 +28,13 @@ from spanframe.llm.common import cut, text_bytes, text_chunks, trim
 KINDS = ("EMAIL", "PHONE", "IP", "CARD", "SSN", "IBAN", "NAME")
 LABELERS = ("form", "check", "gazetteer", "context", "against", "border")
 THRESHOLD = 0.5
+#: Pseudo-counts of EM as a share of a kind's spans, and how many more of them say that a true span's checksum holds.
+PRIOR, CHECKED = 0.005, 60
+#: Different spans of a kind that the classifier is fitted on, about; and what its features of the text are hashed to.
+FIT_SPANS, HASHED = 3000, 256
 
+_TITLE = r"(?:Mr|Mrs|Ms|Dr|Prof|Herr|Frau|Señor|Señora|Monsieur|Madame)"
+_CAPITAL = rf"(?!{_TITLE}\b)(?:[OD]['’])?[A-ZÀ-Þ][a-zß-ÿ]+(?:['-][A-ZÀ-Þ][a-zß-ÿ]+)?"
 _WIDE = {
     "EMAIL": re.compile(r"[^\s@<>()\[\]\"',;:]+@[^\s@<>()\[\]\"',;:]+"),
     "PHONE": re.compile(r"(?<![\w.])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)|\d{2,4})[ .-]\d{3,4}[ .-]?\d{3,4}(?!\d)|\+\d{8,15}(?!\d)|(?<![\w.])[+(]{0,2}\d(?:[ ./()-]{0,2}\d){6,14}(?![ .-]?\d)"),
@@ -33,7 +42,7 @@ _WIDE = {
     "CARD": re.compile(r"(?<!\d)\d(?:[ -]?\d){12,18}(?!\d)"),
     "SSN": re.compile(r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])"),
     "IBAN": re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,4})?(?![A-Za-z0-9])"),
-    "NAME": re.compile(r"(?<![\w.])(?:(?:Mr|Mrs|Ms|Dr|Prof|Herr|Frau|Señor|Señora|Monsieur|Madame)\.? )?[A-ZÀ-Þ][a-zß-ÿ]+ (?:[A-Z]\. )?[A-ZÀ-Þ][a-zß-ÿ]+"),
+    "NAME": re.compile(rf"(?<![\w.])(?:{_TITLE}\.? {_CAPITAL}(?: (?:[A-Z]\. )?{_CAPITAL}){{0,3}}|{_CAPITAL}(?: (?:[A-Z]\. )?{_CAPITAL}){{1,3}})(?!\w)"),
 }
 _STRICT = {
     "EMAIL": re.compile(r"[A-Za-z0-9][A-Za-z0-9._%+-]*@(?:[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?\.)+[A-Za-z]{2,24}"),
@@ -42,7 +51,7 @@ _STRICT = {
     "CARD": re.compile(r"\d{4}([ -]?)\d{4}\1\d{4}\1\d{4}|\d{4}([ -]?)\d{6}\2\d{5}"),
     "SSN": re.compile(r"(?!000|666|9\d\d)\d{3}-(?!00)\d{2}-(?!0000)\d{4}"),
     "IBAN": re.compile(r"[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,4})?"),
-    "NAME": re.compile(r"(?:Mr|Mrs|Ms|Dr|Prof|Herr|Frau|Señor|Señora|Monsieur|Madame)\.? .+"),
+    "NAME": re.compile(rf"{_TITLE}\.? .+"),
 }
 _TLDS = set("com net org edu gov mil int info biz io ai co me tv app dev us uk de fr es it nl be ch at eu pt pl se no dk fi ie cz ru ua jp cn kr in br mx ar cl ca au nz za example test".split())
 _COUNTRIES = set("1 7 20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 54 55 56 57 60 61 62 63 64 65 66 81 82 84 86 90 91 351 352 353 358 420 421 971 972".split())
@@ -133,30 +142,51 @@ def propose(text: str) -> list[tuple[str, int, int, tuple[int, ...], int]]:
                 s = _STRICT[kind].search(m.group())
                 if s:
                     a, b = a + s.start(), a + s.end()
-            # Most capitalised pairs are no names; one with a given name, a title or a name's context is put to the vote.
-            if kind == "NAME" and not (set(m.group().replace(".", "").split()) & GIVEN_NAMES or _STRICT["NAME"].fullmatch(m.group()) or _NEAR["NAME"].search(text[max(0, a - 48):a].lower() + " " + text[b:b + 24].lower())):
-                continue
+            if kind == "NAME":
+                # A run that holds a given name begins with it: what stands before is a sentence's first word.
+                words = m.group().split()
+                k = next((k for k, w in enumerate(words) if w in GIVEN_NAMES), 0) if not _STRICT["NAME"].fullmatch(m.group()) else 0
+                a += sum(len(w) + 1 for w in words[:k]) if k < len(words) - 1 else 0
             n = b - a
-            out.append((kind, a, b, votes(text, kind, a, b), 2 * min(5, n // 6) + (" " in m.group())))
+            out.append((kind, a, b, votes(text, kind, a, b), 2 * min(5, n // 6) + (" " in text[a:b])))
     return out
 
 
+def text_features(text: str, kind: str, a: int, b: int) -> list[int]:
+    """Hashed features of a span that the labelers don't look at: the words beside it, its shape and its ending."""
+    v, before, after = text[a:b], _WORD.findall(text[max(0, a - 32):a]), _WORD.findall(text[b:b + 32])
+    shape = _RUNS.sub(r"\1", "".join("d" if c.isdigit() else "X" if c.isupper() else "x" if c.isalpha() else c for c in v))
+    parts = (f"p|{before[-1].lower() if before else ''}", f"n|{after[0].lower() if after else ''}", f"s|{shape}", f"e|{v.rpartition('.')[2][-6:].lower()}")
+    return [zlib.crc32(f"{kind}|{x}".encode()) % HASHED for x in parts]
+
+
+_WORD, _RUNS = re.compile(r"\w+"), re.compile(r"(.)\1+")
+
+
 def reliabilities(kinds: np.ndarray, v: np.ndarray, n: np.ndarray, rounds: int = 200) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """EM over vote patterns: (patterns x labelers) votes with their kinds and counts. Gives each pattern's probability, the
-    labelers' P(vote | true, labeler) as (2 x labelers x 3), and the kinds' shares. Pseudo-counts say that labelers are better than chance."""
+    labelers' P(vote | true, labeler) of each kind as (kinds x 2 x labelers x 3), and the kinds' shares. Pseudo-counts, a share of
+    the kind's spans, say that labelers are better than chance, and that true spans hardly ever fail a checksum. A labeler that has
+    nothing to say of any span of a kind doesn't count there."""
     prior = np.zeros((2, v.shape[1], 3)) + 1.0
     prior[1, :, 2] += 4
     prior[0, :, 1] += 4
-    weight = max(1.0, 0.02 * n.sum()) / 10
+    if v.shape[1] == len(LABELERS):
+        prior[1, LABELERS.index("check"), 2] += CHECKED
     onehot = np.stack([v == k for k in range(3)], 2).astype(float)
     p = 1 / (1 + np.exp(-((v == 2).sum(1) - 1.5 * (v == 1).sum(1) - 0.5)))
+    theta, share = np.zeros((len(KINDS), *prior.shape)), np.zeros(len(KINDS))
     for _ in range(rounds):
-        old = p
-        theta = np.stack([np.einsum("i,ilk->lk", n * (1 - p), onehot), np.einsum("i,ilk->lk", n * p, onehot)]) + prior * weight
-        theta /= theta.sum(2, keepdims=True)
-        share = (np.bincount(kinds, n * p, len(KINDS)) + weight) / (np.bincount(kinds, n, len(KINDS)) + 2 * weight)
-        logit = np.log(share[kinds] / (1 - share[kinds])) + np.einsum("ilk,lk->i", onehot, np.log(theta[1]) - np.log(theta[0]))
-        p = 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
+        old = p.copy()
+        for kind in np.unique(kinds):
+            k = kinds == kind
+            weight = max(1.0, PRIOR * n[k].sum())
+            own = np.stack([np.einsum("i,ilk->lk", n[k] * (1 - p[k]), onehot[k]), np.einsum("i,ilk->lk", n[k] * p[k], onehot[k])]) + prior * weight
+            own[:, (v[k] == 0).all(0)] = 1
+            theta[kind] = own = own / own.sum(2, keepdims=True)
+            share[kind] = (n[k] @ p[k] + weight) / (n[k].sum() + 2 * weight)
+            logit = np.log(share[kind] / (1 - share[kind])) + np.einsum("ilk,lk->i", onehot[k], np.log(own[1]) - np.log(own[0]))
+            p[k] = 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
         if np.abs(p - old).max() < 1e-9:
             break
     return p, theta, share
@@ -181,6 +211,14 @@ def fit_classifier(x: np.ndarray, target: np.ndarray, n: np.ndarray, ridge: floa
     return w
 
 
+def hashed(feats: list[list[int]]) -> np.ndarray:
+    """(spans x HASHED) how often each hashed feature is there."""
+    out = np.zeros((len(feats), HASHED))
+    for i, f in enumerate(feats):
+        np.add.at(out[i], f, 1)
+    return out
+
+
 def _suspects(texts: pa.Array) -> np.ndarray:
     """Texts with a digit, an @, or a capital after a letter and a space."""
     out = []
@@ -195,7 +233,8 @@ def _suspects(texts: pa.Array) -> np.ndarray:
 
 
 def candidates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, row, kind, start_char, end_char, pattern): proposed spans, the votes and form as a number; row tells repeated rows apart."""
+    """(doc_id, row, kind, start_char, end_char, pattern, feats): proposed spans, the votes and form as a number, and the text's
+    features; row tells repeated rows apart."""
     table = docs.select(F.col(f"`{doc_id}`").cast("bigint").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"), F.monotonically_increasing_id().alias("row"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -207,13 +246,13 @@ def candidates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> D
                     code = form
                     for x in v:
                         code = code * 3 + x
-                    rows.append((d, r, KINDS.index(kind), a, b, code))
-            cols = list(zip(*rows)) if rows else [()] * 6
-            yield pa.RecordBatch.from_arrays([pa.array(c, x) for c, x in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32()))], ["doc_id", "row", "kind", "start_char", "end_char", "pattern"])
+                    rows.append((d, r, KINDS.index(kind), a, b, code, text_features(t, kind, a, b)))
+            cols = list(zip(*rows)) if rows else [()] * 7
+            yield pa.RecordBatch.from_arrays([pa.array(c, x) for c, x in zip(cols, (pa.int64(), pa.int64(), *[pa.int32()] * 4, pa.list_(pa.int16())))], ["doc_id", "row", "kind", "start_char", "end_char", "pattern", "feats"])
             del batch
             trim()
 
-    return table.mapInArrow(run, "doc_id bigint, row bigint, kind int, start_char int, end_char int, pattern int")
+    return table.mapInArrow(run, "doc_id bigint, row bigint, kind int, start_char int, end_char int, pattern int, feats array<smallint>")
 
 
 def _unpacked(pattern: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -221,6 +260,17 @@ def _unpacked(pattern: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return v, pattern // 3 ** len(LABELERS)
 
 
+def fit(kind: np.ndarray, pattern: np.ndarray, n: np.ndarray, spans: list[tuple[int, int, list[int], int]]) -> tuple[np.ndarray, np.ndarray]:
+    """(the log odds that each pattern adds, the log odds of each hashed feature). spans: (kind, pattern, features, number), the sample."""
+    v, form = _unpacked(pattern)
+    p, _, _ = reliabilities(kind, v, n.astype(float))
+    x, at = features(kind, v, form), {k: i for i, k in enumerate(zip(kind.tolist(), pattern.tolist()))}
+    spans = sorted(spans)
+    which = np.array([at[k, q] for k, q, _, _ in spans])
+    w = fit_classifier(np.concatenate([x[which], hashed([f for _, _, f, _ in spans])], 1), p[which], np.array([c for *_, c in spans], float))
+    return x @ w[:x.shape[1]], w[x.shape[1]:]
+
+
 def classify(found: DataFrame) -> DataFrame:
     """found with each span's probability: EM over all patterns' counts, then the span classifier."""
     spark = found.sparkSession
@@ -228,13 +278,16 @@ def classify(found: DataFrame) -> DataFrame:
     kind, pattern, n = (counts[c].to_numpy() for c in ("kind", "pattern", "n"))
     if not len(n):
         return found.withColumn("probability", F.lit(None).cast("double"))
-    v, form = _unpacked(pattern)
-    p, _, _ = reliabilities(kind, v, n.astype(float))
-    x = features(kind, v, form)
-    score = 1 / (1 + np.exp(-np.clip(x @ fit_classifier(x, p, n.astype(float)), -30, 30)))
-    table = spark.createDataFrame(pa.table({"kind": kind, "pattern": pattern, "probability": score}))
+    one = F.xxhash64("kind", "pattern", "feats", F.lit(5))
+    many = {r.kind: r.m for r in found.groupBy("kind").agg(F.approx_count_distinct(one).alias("m")).collect()}
+    share = F.create_map(*[F.lit(x) for k, m in many.items() for x in (k, min(1.0, FIT_SPANS / max(m, 1)))])
+    some = found.where(F.pmod(one, F.lit(1 << 30)) / (1 << 30) < share[F.col("kind")]).groupBy("kind", "pattern", "feats").agg(F.count("*").alias("n")).collect()
+    odds, own = fit(kind, pattern, n, [(r.kind, r.pattern, r.feats, r.n) for r in some] or [(int(kind[0]), int(pattern[0]), [], 1)])
+    table = spark.createDataFrame(pa.table({"kind": kind, "pattern": pattern, "odds": odds}))
     # A row for each pattern of votes and form: at most len(KINDS) * 3 ** 6 * 12.
-    return found.join(F.broadcast(table), ["kind", "pattern"])
+    out, weight = found.join(F.broadcast(table), ["kind", "pattern"]), F.array(*map(F.lit, own.tolist()))
+    score = F.col("odds") + F.aggregate("feats", F.lit(0.0), lambda a, f: a + F.get(weight, f.cast("int")))
+    return out.withColumn("probability", 1 / (1 + F.exp(-F.greatest(F.lit(-30.0), F.least(F.lit(30.0), score))))).drop("odds", "feats")
 
 
 def detect(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
