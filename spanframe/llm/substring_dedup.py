@@ -8,10 +8,11 @@ with more than GROUP suffixes is split by longer prefixes. As what a suffix shar
 depth d makes two kinds of groups: suffixes with the same d words, and those with the same words to the left that a
 repeat of fewer than d words to the right would need. In a group the suffixes are sorted, which with the lengths of their
 common prefixes is the suffix tree: its nodes of depth d are the runs of suffixes that share d words. Those that with the words
-shared to the left are deep enough are internal nodes; a node that can't be moved left or right without its suffixes becoming
-others is a maximal repeat, with an id that its words alone decide. No node is followed more than MIN_WORDS words to a side, as
-a longer repeat is a chain of overlapping ones. A document's repeats that touch or overlap are joined to a passage, which
-carries its repeats' ids: two passages share MIN_WORDS words just where they have an id in common.
+shared to the left are deep enough are its deep internal nodes, the repeats; how far a suffix goes in them to both sides is the
+maximal repeat at that place. No node is followed more than MIN_WORDS words to a side, as a longer repeat is a chain of
+overlapping ones. A document's repeats that touch or overlap are joined to a passage. It carries the number of documents that
+its most frequent MIN_WORDS words are in, and for each suffix the id of its node with the most documents, which the node's
+words alone decide: passages of one id share MIN_WORDS words. (All nodes' ids would be some 20 a suffix among near copies.)
 
 Words are runs without ASCII white space and are compared by 64 (prefix) and 32 bits (the rest) of their hashes.
 
@@ -88,8 +89,9 @@ def contexts(text: str, at: np.ndarray, min_words: int = MIN_WORDS) -> tuple[np.
     return right, left, np.minimum(n - at, min_words), np.minimum(at, far)
 
 
-def repeats(prefix: np.ndarray, doc: np.ndarray, right: np.ndarray, left: np.ndarray, rights: np.ndarray, lefts: np.ndarray, min_words: int = MIN_WORDS, within: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(suffix, words to its left, words to its right, id) of the maximal repeats of min_words words or more that each suffix is in."""
+def repeats(prefix: np.ndarray, doc: np.ndarray, right: np.ndarray, left: np.ndarray, rights: np.ndarray, lefts: np.ndarray, min_words: int = MIN_WORDS, within: bool = False) -> tuple[np.ndarray, ...]:
+    """(suffix, words to its left, words to its right, documents, id) of the suffixes in a repeat of min_words words: how far it
+    goes to both sides, and how many documents are in its most frequent node, which one being the id."""
     n = len(prefix)
     # The suffix tree of each prefix: suffixes in order, and how many words each shares with the one before.
     rows = np.ascontiguousarray(np.concatenate([prefix.astype(">u8").view(np.uint8).reshape(n, 8), right.astype(">u4").view(np.uint8).reshape(n, -1)], 1))
@@ -105,46 +107,37 @@ def repeats(prefix: np.ndarray, doc: np.ndarray, right: np.ndarray, left: np.nda
     for k in range(left.shape[1]):
         near[:, k + 1] = mix(near[:, k] * U64(3) + left[order, k] + U64(1))
     d, has, far = doc[order], lefts[order], p.copy()
-    own = mix(np.arange(n, dtype=U64) + U64(1))
-    # The repeat that each suffix is in at the depth so far: who is in it (0: none), its id, and its first and last depth.
-    who, name, first, last = np.zeros(n, U64), np.zeros(n, U64), np.zeros(n, np.int64), np.zeros(n, np.int64)
-    out = []
-
-    def close(k: np.ndarray) -> None:
-        k = k[who[k] != 0]
-        out.append((order[k], min_words - first[k], last[k], name[k]))
-
+    lo, hi, docs, name = np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n, U64)
     for depth in range(PREFIX, min_words + 1):
         if depth > PREFIX:
             far = mix(far * U64(3) + r[:, depth - 1] + U64(1))
         node = np.cumsum(shared < depth)
         need = min_words - depth
         live = np.flatnonzero((size >= depth) & (has >= need))
-        now, key = np.zeros(n, U64), np.zeros(n, U64)
-        if len(live) > 1:
-            by = np.lexsort((d[live], near[live, need], node[live]))
-            at = live[by]
-            split = (node[at[1:]] != node[at[:-1]]) | (near[at[1:], need] != near[at[:-1], need])
-            edge = np.flatnonzero(np.concatenate([[True], split, [True]]))
-            count = np.diff(edge)
-            # Sorted by document within a node: several documents if the last isn't the first.
-            many = count > 1 if within else d[at[edge[1:] - 1]] != d[at[edge[:-1]]]
-            whose = np.repeat(np.add.reduceat(own[at], edge[:-1]) | U64(1), count)
-            hit = np.repeat(many, count)
-            now[at[hit]] = whose[hit]
-            key[at[hit]] = mix(far[at[hit]] ^ (near[at[hit], need] * U64(0x9E3779B97F4A7C15) + U64(depth)))
-        new = np.flatnonzero(now != who)
-        close(new)
-        who[new], name[new], first[new] = now[new], key[new], depth
-        last[now != 0] = depth
-    close(np.arange(n))
-    return tuple(np.concatenate(x) for x in zip(*out))
+        if len(live) < 2:
+            continue
+        key = mix(near[live, need] ^ (node[live].astype(U64) * U64(0x9E3779B97F4A7C15)))
+        by = np.lexsort((d[live], key))
+        k, dd = key[by], d[live][by]
+        split = np.concatenate([[True], k[1:] != k[:-1]])
+        edge = np.append(np.flatnonzero(split), len(k))
+        count = np.add.reduceat(split | np.concatenate([[True], dd[1:] != dd[:-1]]), edge[:-1], dtype=np.int64)
+        many = (np.diff(edge) if within else count) > 1
+        hit, count = live[by[np.repeat(many, np.diff(edge))]], np.repeat(count[many], np.diff(edge)[many])
+        lo[hit] = np.maximum(lo[hit], need)
+        hi[hit] = depth
+        more = count > docs[hit]
+        best = hit[more]
+        docs[best] = count[more]
+        name[best] = mix(far[best] ^ (near[best, need] * U64(0x9E3779B97F4A7C15) + U64(depth)))
+    k = np.flatnonzero(hi)
+    return order[k], lo[k], hi[k], docs[k], name[k]
 
 
 def shared_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS, group: int = GROUP, within: bool = False) -> DataFrame:
     """(doc_id, start_char, end_char, start_word, n_words, n_docs, repeats) of each document's passages that other documents share.
 
-    n_docs: documents that the passage's most frequent stretch of min_words words is in; repeats: the ids of its maximal repeats.
+    n_docs: documents that the passage's most frequent stretch of min_words words is in; repeats: the ids of its most frequent repeats.
     """
     spark = docs.sparkSession
     base = docs.select(F.col(f"`{doc_id}`").cast("bigint").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text")).where("doc_id is not null and text is not null")
@@ -200,19 +193,17 @@ def shared_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         n = len(t)
         right = np.frombuffer(b"".join(t["right"].to_pylist()), np.uint32).reshape(n, -1)
         left = np.frombuffer(b"".join(t["left"].to_pylist()), np.uint32).reshape(n, -1)
-        k, lo, hi, name = repeats(t["prefix"].to_numpy().view(U64), t["key"].to_numpy(), right, left, t["rights"].to_numpy(), t["lefts"].to_numpy(), min_words, within)
+        k, lo, hi, many, name = repeats(t["prefix"].to_numpy().view(U64), t["key"].to_numpy(), right, left, t["rights"].to_numpy(), t["lefts"].to_numpy(), min_words, within)
         at = t["at"].to_numpy()[k]
-        out = pa.table({"key": t["key"].take(pa.array(k)), "a": pa.array((at - lo).astype(np.int32)), "b": pa.array((at + hi).astype(np.int32)), "name": pa.array(name.view(np.int64))})
+        out = pa.table({"key": t["key"].take(pa.array(k)), "a": pa.array((at - lo).astype(np.int32)), "b": pa.array((at + hi).astype(np.int32)), "name": pa.array(name.view(np.int64)), "docs": pa.array(many)})
         del t, right, left
         trim()
         return out
 
     # As many partitions as groups: none grows with the input.
     laid = wide.withColumn("g", F.pmod(F.xxhash64("prefix"), F.lit(groups))).repartition(min(groups, 1 << 17), "g")
-    laid.groupBy("g").applyInArrow(tree, "key bigint, a int, b int, name bigint").write.parquet(f"{at}/repeats")
-    spans = spark.read.parquet(f"{at}/repeats")
-    shared = spans.select("name", "key").distinct().groupBy("name").agg(F.count("*").alias("docs"))
-    spans = spans.join(shared, "name").groupBy("key").agg(F.array_sort(F.collect_set(F.struct("a", "b", "name", "docs"))).alias("spans"))
+    spans = laid.groupBy("g").applyInArrow(tree, "key bigint, a int, b int, name bigint, docs bigint")
+    spans = spans.groupBy("key").agg(F.array_sort(F.collect_set(F.struct("a", "b", "name", "docs"))).alias("spans"))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
