@@ -7,7 +7,9 @@ again, to their blocks in a second shuffle, where they are joined with the posit
 one number a pre-token, and a word, however frequent, as one entry a block: no key is hot.
 
 Defined results: a null text has null ids and decodes to null; an empty one has no ids and decodes to ""; repeated rows
-are each encoded; other columns, whatever their names, are carried along if asked for.
+are each encoded; other columns, whatever their names, are carried along if asked for. The input must give the same rows in the
+same order when a task runs again, as files and checkpoints do: an executor's loss can make a block's two shuffles come from two
+runs. Where they differ the job ends with an error and no wrong rows; write such an input first, as the pipeline's stages are.
 """
 
 from __future__ import annotations

@@ -20,9 +20,12 @@ CHUNK_BYTES = 1 << 19
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share, from spark.checkpoint.dir; a local one where that is unset (tests)."""
+    """The folder that all executors share, from spark.checkpoint.dir; a local one where that is unset and all runs in one process."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir isn't set: it must name a folder that all executors share")
         at = "file://" + os.path.join(tempfile.gettempdir(), "spanframe-shared")
     return at
 
@@ -40,6 +43,12 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def discard(spark: SparkSession, path: str) -> None:
+    """Delete what was written there, if anything."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def trim() -> None:
     """Give freed memory back to the system: a Python worker lives on after its task, and would keep it from the next stage's."""
     pa.default_memory_pool().release_unused()

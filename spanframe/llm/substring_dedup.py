@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanframe.llm.common import U64, mix, scratch, text_bytes, text_chunks, trim, words
+from spanframe.llm.common import U64, discard, mix, scratch, text_bytes, text_chunks, trim, words
 
 MIN_WORDS = 50
 PREFIX = 8
@@ -161,6 +161,7 @@ def shared_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     # cross the network once and aren't sorted; rows that repeat are one after the join, which has brought them together.
     base.join(again.hint("shuffle_hash"), "key").dropDuplicates(["key"]).write.parquet(f"{at}/texts")
     hits = spark.read.parquet(f"{at}/texts")
+    discard(spark, f"{at}/anchors")
 
     def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
