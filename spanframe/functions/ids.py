@@ -94,6 +94,18 @@ def string_id(t: Column) -> Column:
     return F.when(t == "", F.lit(0).cast("bigint")).otherwise(F.coalesce(known, flag, old, string_hash(t)))
 
 
+def string_ids(texts: Column) -> Column:
+    """The id of each string of an array."""
+
+    def run(a: pa.Array) -> pa.Array:
+        lists = a.to_pylist()
+        known = {t: np.uint64(string_id_of(t)).astype(np.int64) for t in {t for x in lists for t in x or () if t is not None}}
+        return pa.array([None if x is None else [known.get(t) for t in x] for x in lists], pa.list_(pa.int64()))
+
+    run.__annotations__ = {"a": pa.Array, "return": pa.Array}
+    return F.arrow_udf(run, "array<bigint>")(texts)
+
+
 def unsigned(id_: Column) -> Column:
     """The BIGINT's bits as an unsigned decimal."""
     return F.conv(F.hex(id_), 16, 10).cast("decimal(20,0)")

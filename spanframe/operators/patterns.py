@@ -13,7 +13,7 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from spanframe.functions import lexical
+from spanframe.functions import ids, lexical
 
 ALIASES = {"TEXT": "ORTH", "IS_SENT_START": "SENT_START"}
 STRINGS = ("ORTH", "LOWER", "NORM", "PREFIX", "SUFFIX", "SHAPE", "LEMMA", "POS", "TAG", "DEP", "ENT_TYPE", "ENT_ID", "ENT_KB_ID", "MORPH")
@@ -38,6 +38,8 @@ class Pattern:
     label: str
     ent_id: str = ""
     phrase: tuple[str, ...] | None = None
+    #: The phrase's words are ids, as bundles have them.
+    by_id: bool = False
     steps: tuple[Step, ...] = field(default=())
 
 
@@ -56,8 +58,10 @@ def quantifier(op: str | None) -> tuple[int, int, bool]:
     return least, most, False
 
 
-def normalize(raw: dict) -> Pattern:
-    """A user's pattern, checked."""
+def normalize(raw: dict | Pattern) -> Pattern:
+    """A user's pattern, checked; one from a bundle is made already."""
+    if isinstance(raw, Pattern):
+        return raw
     label, ident, body = raw.get("label"), raw.get("id", ""), raw.get("pattern")
     if not isinstance(label, str) or not label:
         raise ValueError("a pattern needs a label")
@@ -199,7 +203,9 @@ def compile_test(test: dict) -> Column:
     """All of a token's constraints; no constraint is a wildcard."""
     out = []
     for name, value in test.items():
-        if name in BOOLEANS:
+        if name == "CONSTRAINTS":
+            out += [compile_constraint(c) for c in value]
+        elif name in BOOLEANS:
             if not isinstance(value, bool):
                 raise ValueError(f"{name} is true or false")
             out.append(flag(name) if value else ~flag(name))
@@ -212,3 +218,67 @@ def compile_test(test: dict) -> Column:
         else:
             raise ValueError(f"no such attribute: {name}")
     return F.coalesce(reduce(lambda a, b: a & b, out), F.lit(False)) if out else F.lit(True)
+
+
+def attribute_id(name: str) -> Column:
+    """An attribute's value as bundles compare it: a string's id, a number or a truth value."""
+    if name in BOOLEANS:
+        return flag(name).cast("bigint")
+    return (F.length("text") if name == "LENGTH" else F.col("ent_iob")).cast("bigint") if name in ("LENGTH", "ENT_IOB") else ids.string_id(attribute(name))
+
+
+def signed(value: int) -> int:
+    """An unsigned id as the BIGINT with the same bits."""
+    if isinstance(value, bool) or not isinstance(value, int) or not 0 <= value < 1 << 64:
+        raise ValueError(f"{value!r} is no id")
+    return value - (1 << 64) if value >> 63 else value
+
+
+def check_constraint(c: dict) -> None:
+    """Whether compile_constraint() takes it: an error if not."""
+    kind, name = c["kind"], ALIASES.get(c["attribute"], c["attribute"])
+    kinds = {"boolean": ("value",), "iob": ("values", "negate"), "regex": ("pattern",), "regex_set": ("patterns", "negate"), "fuzzy": ("pattern",), "fuzzy_set": ("patterns", "negate"), "numeric": ("comparison", "value"), "numeric_set": ("values", "negate"), "morph_set": ("comparison", "features"), "id_set_relation": ("comparison", "values"), "equal": ("values",), "in": ("values",), "not_in": ("values",)}
+    if kind not in kinds or any(k not in c for k in kinds[kind]):
+        raise ValueError(f"the constraint {kind} lacks something, or isn't known")
+    if name not in (BOOLEANS if kind == "boolean" else ("ENT_IOB",) if kind == "iob" else ("LENGTH",) if kind.startswith("numeric") else ("MORPH",) if kind == "morph_set" else (*STRINGS, "LENGTH", *BOOLEANS) if kind in ("id_set_relation", "equal", "in", "not_in") else REGEX_ATTRIBUTES):
+        raise ValueError(f"{name} has no constraint {kind}")
+    for k in ("pattern", *(["patterns"] if "patterns" in c else [])):
+        for p in (c.get(k) or []) if k == "patterns" else [c[k]] if k in c else []:
+            if not isinstance(p, str):
+                raise ValueError(f"{p!r} is no string")
+            if kind.startswith("regex"):
+                re.compile(p)
+    for v in c.get("values", []) if kind in ("id_set_relation", "equal", "in", "not_in") else c.get("features", []):
+        signed(v)
+
+
+def compile_constraint(c: dict) -> Column:
+    """A constraint as bundles have it: attribute, kind, and what the kind needs; strings are ids where they are compared for equality."""
+    check_constraint(c)
+    kind, name = c["kind"], ALIASES.get(c["attribute"], c["attribute"])
+    if kind == "boolean":
+        return flag(name) if c["value"] else ~flag(name)
+    if kind == "iob":
+        return compare_iob({"NOT_IN" if c["negate"] else "IN": c["values"]})
+    if kind in ("regex", "regex_set"):
+        return compare_string(name, {"REGEX": c["pattern"] if kind == "regex" else {"NOT_IN" if c["negate"] else "IN": c["patterns"]}})
+    if kind in ("fuzzy", "fuzzy_set"):
+        most = c.get("max_edits")
+        return compare_string(name, {f"FUZZY{most or ''}": c["pattern"] if kind == "fuzzy" else {"NOT_IN" if c["negate"] else "IN": c["patterns"]}})
+    if kind == "numeric":
+        return compare_length({c["comparison"]: c["value"]})
+    if kind == "numeric_set":
+        return compare_length({"NOT_IN" if c["negate"] else "IN": c["values"]})
+    if kind == "morph_set":
+        have, want = ids.string_ids(F.col("morph_features")), F.array(*[F.lit(signed(x)) for x in c["features"]]).cast("array<bigint>")
+        relation = c["comparison"].upper()
+        if relation in ("IS_SUBSET", "SUBSET"):
+            return F.size(F.array_except(have, want)) == 0
+        if relation in ("IS_SUPERSET", "SUPERSET"):
+            return F.size(F.array_except(want, have)) == 0
+        return F.coalesce(F.arrays_overlap(have, want), F.lit(False))
+    a, values = attribute_id(name), [signed(x) for x in c["values"]]
+    if kind == "id_set_relation" and c["comparison"].upper() in ("IS_SUPERSET", "SUPERSET"):
+        return F.lit(True) if not values else a == values[0] if len(set(values)) == 1 else F.lit(False)
+    hit = a.isin(*values) if values else F.lit(False)
+    return ~hit if kind == "not_in" else hit

@@ -8,16 +8,20 @@ from __future__ import annotations
 
 import json
 import re
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import cached_property
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from spanframe.functions.ids import string_id_of
+
 FORMAT = 1
 TOKEN = "struct<text:string,has_space:boolean,idx:int,norm:string>"
 _SPACE = regex.compile(r"\p{White_Space}")
@@ -28,7 +32,7 @@ REMEMBERED = 200_000
 
 @dataclass(frozen=True)
 class Config:
-    """exceptions: a surface's (text, norm) tokens; norms: a text's norm; the patterns are optional."""
+    """exceptions: a surface's (text, norm) tokens; norms: a text's norm, norm_ids: by its string id; the patterns are optional."""
 
     exceptions: dict[str, list[tuple[str, str | None]]] = field(default_factory=dict)
     norms: dict[str, str] = field(default_factory=dict)
@@ -37,6 +41,8 @@ class Config:
     infix: str | None = None
     token_match: str | None = None
     url_match: str | None = None
+    norm_ids: dict[int, str] = field(default_factory=dict)
+    language: str = ""
     format: int = FORMAT
 
     def __post_init__(self):
@@ -58,11 +64,25 @@ class Config:
     def longest(self) -> int:
         return max(map(len, self.exceptions), default=0)
 
+    def norm(self, text: str) -> str:
+        own = self.norms.get(text) or (self.norm_ids.get(string_id_of(text)) if self.norm_ids else None)
+        return own or text.lower()
+
     @staticmethod
-    def load(text: str) -> Config:
+    def load(text: str | bytes) -> Config:
+        """A tokenizer file: format_version, language, the patterns, exceptions of {orth, norm}, and norm_overrides by id."""
         raw = json.loads(text)
-        raw["exceptions"] = {k: [tuple(p) for p in v] for k, v in raw.get("exceptions", {}).items()}
-        return Config(**raw)
+        if not isinstance(raw, dict) or not isinstance(raw.get("exceptions"), dict):
+            raise ValueError("a tokenizer file has exceptions")
+        made = {k: [(p["orth"], p.get("norm")) for p in v] for k, v in raw["exceptions"].items()}
+        names = ("prefix", "suffix", "infix", "token_match", "url_match")
+        return Config(made, {}, *(raw.get(k) for k in names), {int(k): v for k, v in raw.get("norm_overrides", {}).items()}, raw.get("language", ""), raw.get("format_version"))
+
+    def dump(self) -> dict:
+        """load()'s inverse."""
+        by_id = {str(string_id_of(k)): v for k, v in self.norms.items()} | {str(k): v for k, v in self.norm_ids.items()}
+        own = {k: getattr(self, k) for k in ("prefix", "suffix", "infix", "token_match", "url_match")}
+        return {"format_version": self.format, "language": self.language, **own, "exceptions": {k: [{"orth": t, "norm": n} for t, n in v] for k, v in self.exceptions.items()}, "norm_overrides": by_id}
 
 
 def pieces(text: str) -> list[tuple[str, bool]]:
@@ -141,55 +161,98 @@ def split_piece(piece: str, c: Config) -> list[str]:
     return before + middle + after[::-1]
 
 
-def tokenize(text: str, c: Config, known: dict | None = None) -> list[tuple[str, bool, int, str]]:
-    """(text, has_space, idx, norm) of each token."""
-    flat: list[tuple[str, bool]] = []
-    known = {} if known is None else known
-    if len(known) > REMEMBERED:
-        known.clear()
-    for piece, spaced in pieces(text):
-        parts = known.get(piece)
-        if parts is None:
-            parts = known[piece] = [piece] if _SPACE.match(piece) else split_piece(piece, c)
-        flat += [(t, spaced and k == len(parts) - 1) for k, t in enumerate(parts)]
-    out, k, at = [], 0, 0
+def _phrases(flat: list[tuple[str, bool]], c: Config) -> list[tuple[str, bool, str]]:
+    """(text, has_space, norm) with phrase exceptions: from each token on, the longest run whose surface is an exception."""
+    out, k = [], 0
     while k < len(flat):
         surface, best, end = "", None, k
         while c.longest and end < len(flat) and len(surface) < c.longest:
             surface += flat[end][0]
             end += 1
-            if surface in c.exceptions and end > k:
+            if surface in c.exceptions:
                 best = surface, end
             if flat[end - 1][1]:
                 surface += " "
         if best:
             surface, end = best
             parts, last = c.exceptions[surface], flat[end - 1][1]
-            for j, (t, norm) in enumerate(parts):
-                spaced = last if j == len(parts) - 1 else False
-                out.append((t, spaced, at, norm or c.norms.get(t) or t.lower()))
-                at += len(t) + spaced
+            out += [(t, last and j == len(parts) - 1, norm or c.norm(t)) for j, (t, norm) in enumerate(parts)]
             k = end
         else:
             t, spaced = flat[k]
-            out.append((t, spaced, at, c.norms.get(t) or t.lower()))
-            at += len(t) + spaced
+            out.append((t, spaced, c.norm(t)))
             k += 1
     return out
 
 
+def _parts(piece: str, spaced: bool, c: Config) -> list[tuple[str, bool]]:
+    parts = [piece] if _SPACE.match(piece) else split_piece(piece, c)
+    return [(t, spaced and k == len(parts) - 1) for k, t in enumerate(parts)]
+
+
+def tokenize(text: str, c: Config) -> list[tuple[str, bool, int, str]]:
+    """(text, has_space, idx, norm) of each token."""
+    out, at = [], 0
+    for t, spaced, norm in _phrases([x for piece, spaced in pieces(text) for x in _parts(piece, spaced, c)], c):
+        out.append((t, spaced, at, norm))
+        at += len(t) + spaced
+    return out
+
+
+class _Pieces(dict):
+    """The number of a piece (with its space); the tokens of each are made when it comes first."""
+
+    def __init__(self, c: Config):
+        self.c, self.many, self.texts, self.norms, self.spaces = c, [], [], [], []
+
+    def __missing__(self, piece: str) -> int:
+        spaced = len(piece) > 1 and piece[-1] == " " and not _SPACE.match(piece)
+        tokens = _phrases(_parts(piece[:-1] if spaced else piece, spaced, self.c), self.c)
+        self.add(tokens)
+        n = self[piece] = len(self.many) - 1
+        return n
+
+    def add(self, tokens: list[tuple[str, bool, str]]) -> int:
+        """The number of tokens that stand for themselves."""
+        self.many.append(len(tokens))
+        for t, s, norm in tokens:
+            self.texts.append(t), self.spaces.append(s), self.norms.append(norm)
+        return len(self.many) - 1
+
+
 def token_array(text: Column, config: Config) -> Column:
-    """ARRAY of tokens; null stays null."""
+    """ARRAY of tokens; null stays null.
+
+    A document is the numbers of its pieces, each of which is cut once; the tokens' columns are gathered from the pieces' by
+    arrays. Only where an exception with white space in it may be in a text are its tokens looked through together.
+    """
+    wide = [k for k in config.exceptions if _SPACE.search(k)]
+    across = regex.compile("|".join(map(regex.escape, sorted(wide, key=len, reverse=True)))) if wide else None
 
     def run(it: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        known: dict = {}
+        known = _Pieces(config)
         for batch in it:
-            offsets, texts, spaces, at, norms = [0], [], [], [], []
+            if len(known.texts) > REMEMBERED:
+                known = _Pieces(config)
+            number, flow, ends = known.__getitem__, array("q"), []
             for t in batch.to_pylist():
-                for x, spaced, idx, norm in tokenize(t or "", config, known):
-                    texts.append(x), spaces.append(spaced), at.append(idx), norms.append(norm)
-                offsets.append(len(texts))
-            rows = pa.StructArray.from_arrays([pa.array(texts, pa.string()), pa.array(spaces, pa.bool_()), pa.array(at, pa.int32()), pa.array(norms, pa.string())], ["text", "has_space", "idx", "norm"])
+                if t and across and across.search(t):
+                    flow.append(known.add(_phrases([x for piece, spaced in pieces(t) for x in _parts(piece, spaced, config)], config)))
+                elif t:
+                    flow.extend(map(number, _PIECES.findall(t)))
+                ends.append(len(flow))
+            flow, many = np.frombuffer(flow, np.int64) if flow else np.zeros(0, np.int64), np.array(known.many, np.int64)
+            size = many[flow]
+            first = (np.cumsum(many) - many)[flow]
+            before = np.cumsum(size) - size
+            at = np.arange(size.sum()) + np.repeat(first - before, size)
+            spaces = np.array(known.spaces, bool)
+            length = np.fromiter(map(len, known.texts), np.int64, len(known.texts)) + spaces
+            steps = np.concatenate([[0], np.cumsum(length[at])])
+            offsets = np.concatenate([[0], np.cumsum(size)])[np.concatenate([[0], ends]).astype(np.int64)]
+            idx = steps[:-1] - np.repeat(steps[offsets[:-1]], np.diff(offsets))
+            take = pa.array(at)
+            rows = pa.StructArray.from_arrays([pa.array(known.texts, pa.string()).take(take), pa.array(spaces).take(take), pa.array(idx.astype(np.int32)), pa.array(known.norms, pa.string()).take(take)], ["text", "has_space", "idx", "norm"])
             yield pc.if_else(batch.is_null(), None, pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), rows))
 
     return F.arrow_udf(run, f"array<{TOKEN}>")(text)

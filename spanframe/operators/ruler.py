@@ -6,16 +6,43 @@ them stay is decided within a document: longest first, then the first, then the
 
 from __future__ import annotations
 
+from bisect import bisect_right
+from collections.abc import Iterator
+from dataclasses import dataclass
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from spanframe.functions.ids import string_id
 from spanframe.operators.patterns import BOOLEANS as _BOOLEANS
-from spanframe.operators.patterns import Pattern, attribute, compile_test, flag, normalize
+from spanframe.operators.patterns import Pattern, attribute, attribute_id, compile_test, flag, normalize, signed
 from spanframe.operators.tokens import by_doc
 
 #: Attributes that phrases can be compared by.
 PHRASE_ATTRIBUTES = ("ORTH", "LOWER", "NORM", "SHAPE", "LENGTH", "LEMMA", "POS", "TAG", "DEP", "ENT_IOB", "ENT_TYPE", "ENT_ID", "ENT_KB_ID", "MORPH", *_BOOLEANS)
 
+#: Phrases with no more characters than this in all are broadcast.
+BROADCAST_CHARACTERS = 1 << 20
+
+
+@dataclass
+class Ruler:
+    """Patterns with how they are written: those of a bundle's component."""
+
+    patterns: list
+    overwrite: bool = False
+    attr: str = "ORTH"
+    stop_ids: tuple[int, ...] = ()
+
+    def annotate(self, tokens: DataFrame) -> DataFrame:
+        t = tokens
+        if self.stop_ids:
+            t = t.withColumn("is_stop", string_id(F.lower("text")).isin(*map(signed, self.stop_ids)))
+        elif "is_stop" not in t.columns:
+            t = t.withColumn("is_stop", F.lit(False))
+        return annotate(t, self.patterns, self.overwrite, self.attr)
+
 
 def labels(patterns: list[dict]) -> list[str]:
     """Distinct labels in the order of declaration."""
@@ -32,14 +59,15 @@ def _phrase_value(attr: str) -> Column:
     return (flag(attr) if attr in _BOOLEANS else attribute(attr)).cast("string")
 
 
-def phrase_matches(tokens: DataFrame, phrases: DataFrame, attr: str = "ORTH") -> DataFrame:
+def phrase_matches(tokens: DataFrame, phrases: DataFrame, attr: str = "ORTH", sizes: list[int] | None = None, value: Column | None = None) -> DataFrame:
     """(doc_id, start, end, label, ent_id, priority): a hash join of n-grams with a table (words array, label, ent_id, priority).
 
     There is one join for each length of phrases, and lengths are few. An n-gram is the n values from a token on; windows
     over doc_id make it. Phrases are compared by the same attribute of their words. The table's size decides how it is joined.
+    sizes: the lengths that there are, where they are known; else a job finds them. value: what words are compared by, if not attr.
     """
-    keyed = tokens.withColumn("value", _phrase_value(attr))
-    sizes = [r.n for r in phrases.select(F.size("words").alias("n")).distinct().orderBy("n").collect()]
+    keyed = tokens.withColumn("value", _phrase_value(attr) if value is None else value)
+    sizes = sizes or [r.n for r in phrases.select(F.size("words").alias("n")).distinct().orderBy("n").collect()]
     out = None
     for n in sizes:
         w = by_doc().rowsBetween(0, n - 1)
@@ -102,17 +130,23 @@ def fixed_matches(tokens: DataFrame, patterns: list[tuple[int, Pattern]]) -> Dat
 def candidates(tokens: DataFrame, patterns: list[dict], attr: str = "ORTH") -> DataFrame:
     """All matches of all patterns; phrases come before token patterns in priority."""
     made = [normalize(p) for p in patterns]
-    phrases = [p for p in made if p.phrase is not None]
+    coded = [p for p in made if p.by_id]
+    phrases = [*coded, *(p for p in made if p.phrase is not None and not p.by_id)]
     out = []
-    if phrases:
+    if coded:
+        rows = tokens.sparkSession.createDataFrame([([str(signed(int(x))) for x in p.phrase], p.label, p.ent_id, k) for k, p in enumerate(coded)], "words array<string>, label string, ent_id string, priority int")
+        small = sum(20 * len(p.phrase) for p in coded) <= BROADCAST_CHARACTERS
+        out.append(phrase_matches(tokens, F.broadcast(rows) if small else rows, attr, sorted({len(p.phrase) for p in coded}), attribute_id(attr).cast("string")))
+    if len(phrases) > len(coded):
         spark = tokens.sparkSession
-        rows = spark.createDataFrame([(list(p.phrase), p.label, p.ent_id, k) for k, p in enumerate(phrases)], "w array<string>, label string, ent_id string, priority int")
+        rows = spark.createDataFrame([(list(p.phrase), p.label, p.ent_id, k) for k, p in enumerate(phrases) if not p.by_id], "w array<string>, label string, ent_id string, priority int")
         if attr not in ("ORTH", "LOWER", "SHAPE", "LENGTH", *[b for b in _BOOLEANS if b not in ("SPACY", "SENT_START", "IS_STOP")]):
             raise ValueError(f"phrases of words can't be written by {attr}; give phrase_matches() a table of its values")
         words = rows.select("label", "ent_id", "priority", F.posexplode("w").alias("k", "text"))
         words = words.withColumn("value", _phrase_value(attr)).groupBy("label", "ent_id", "priority").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "value"))), lambda x: x["value"]).alias("words"))
-        # A list of patterns that the driver wrote out: small enough to send.
-        out.append(phrase_matches(tokens, F.broadcast(words), attr))
+        # Small lists are sent, larger ones are joined by shuffle.
+        small = sum(len(x) for p in phrases if not p.by_id for x in p.phrase) <= BROADCAST_CHARACTERS
+        out.append(phrase_matches(tokens, F.broadcast(words) if small else words, attr, sorted({len(p.phrase) for p in phrases if not p.by_id})))
     rest = [(len(phrases) + k, p) for k, p in enumerate(p for p in made if p.phrase is None)]
     fixed = [(k, p) for k, p in rest if all(s.negated or s.least == s.most == 1 for s in p.steps)]
     if fixed:
@@ -127,13 +161,53 @@ def candidates(tokens: DataFrame, patterns: list[dict], attr: str = "ORTH") -> D
 
 
 def resolve(found: DataFrame) -> DataFrame:
-    """The candidates that stay: longest first, then by start, then by priority; what overlaps one that stays goes."""
-    kind = "array<struct<start:int,end:int,label:string,ent_id:string,priority:int>>"
-    one = F.struct("start", "end", "label", "ent_id", "priority")
-    rank = F.struct((F.col("start") - F.col("end")).alias("size"), "start", "priority", "label", one.alias("x"))
-    grouped = found.groupBy("doc_id").agg(F.array_sort(F.collect_set(rank)).alias("all"))
-    taken = F.aggregate(F.transform("all", lambda r: r["x"]), F.array().cast(kind), lambda acc, x: F.when(F.exists(acc, lambda y: (y["start"] < x["end"]) & (x["start"] < y["end"])), acc).otherwise(F.array_append(acc, x)))
-    return grouped.select("doc_id", F.inline(taken))
+    """The candidates that stay: longest first, then by start, then by priority and label; what overlaps one that stays goes.
+
+    A partition's candidates stream by in that order, and a document's taken ranges are kept sorted: each candidate is one
+    binary search, and only one document's ranges are held.
+    """
+    names = ["doc_id", "start", "end", "label", "ent_id", "priority"]
+    kind = "doc_id bigint, start int, end int, label string, ent_id string, priority int"
+    x = found.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("start").cast("int").alias("start"), F.col("end").cast("int").alias("end"), "label", "ent_id", F.col("priority").cast("int").alias("priority"))
+    x = x.repartition("doc_id").sortWithinPartitions("doc_id", F.col("start") - F.col("end"), "start", "priority", "label")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        doc, starts, ends = None, [], []
+        for batch in batches:
+            keep = []
+            for n, (d, a, b) in enumerate(zip(*(batch.column(k).to_pylist() for k in range(3)))):
+                if d != doc:
+                    doc, starts, ends = d, [], []
+                k = bisect_right(starts, a)
+                # Taken ranges don't overlap: only the one before and the one after can touch this one.
+                if (not k or ends[k - 1] <= a) and (k == len(starts) or starts[k] >= b):
+                    starts.insert(k, a), ends.insert(k, b)
+                    keep.append(n)
+            yield batch.take(pa.array(keep, pa.int64()))
+
+    return x.select(*names).mapInArrow(run, kind)
+
+
+def extract(tokens: DataFrame, patterns: list[dict], attr: str = "ORTH", labels: list[str] | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
+    """collect(annotate(tokens, patterns)) for tokens without entities, and the columns `keep` of an entity's first token.
+
+    Matches are few, so they are joined to their tokens, and the token table isn't written anew.
+    """
+    from spanframe.operators.entities import compile_labels
+
+    if "ent_type" in tokens.columns:
+        raise ValueError("these tokens have entities; annotate() writes beside them")
+    stay = resolve(candidates(with_entities(tokens), patterns, attr))
+    if labels is not None:
+        own = compile_labels(labels)
+        stay = stay.where(F.col("label").isin(*own)) if own else stay.where(F.lit(False))
+    places = stay.select("doc_id", F.explode(F.sequence("start", F.col("end") - 1)).alias("i"), F.col("start").alias("start_token"), F.col("end").alias("end_token"), "label", F.nullif(F.col("ent_id"), F.lit("")).alias("ent_id"))
+    x = tokens.select("doc_id", "i", "text", "has_space", "idx", *keep).join(places, ["doc_id", "i"])
+    part = F.struct("i", "idx", "text", "has_space", *keep)
+    g = x.groupBy("doc_id", "start_token", "end_token", "label", "ent_id").agg(F.array_sort(F.collect_list(part)).alias("p"))
+    first, last = F.element_at("p", 1), F.element_at("p", -1)
+    body = F.array_join(F.transform(F.slice("p", 1, F.size("p") - 1), lambda t: F.concat(t["text"], F.when(t["has_space"], " ").otherwise(""))), "")
+    return g.select("doc_id", F.concat(body, last["text"]).alias("text"), "label", "ent_id", "start_token", "end_token", first["idx"].alias("start_char"), (last["idx"] + F.length(last["text"])).alias("end_char"), *[first[c].alias(c) for c in keep])
 
 
 def existing(tokens: DataFrame) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -46,19 +48,28 @@ def sentences(tokens: DataFrame) -> DataFrame:
     return x.groupBy("doc_id", "sentence").agg(F.min("i").alias("start"), (F.max("i") + 1).alias("end"), F.min("idx").alias("start_char"), F.max(F.col("idx") + F.length("text")).alias("end_char"))
 
 
-def starts_from_heads(tokens: DataFrame, rounds: int = 24) -> DataFrame:
-    """sent_start from heads (relative, 0 a root): the left edge of each root's tokens. Pointer jumping halves the way to the
-    root in each round, so rounds of joins within doc_id's partitions grow with the logarithm of the depth, not with it."""
-    x = tokens.select("doc_id", "i", (F.col("i") + F.col("head")).alias("up"))
-    for _ in range(rounds):
-        y = x.select("doc_id", F.col("i").alias("up"), F.col("up").alias("top"))
-        new = x.join(y, ["doc_id", "up"]).select("doc_id", "i", "up", "top")
-        done = new.where("up <> top").isEmpty()
-        x = new.select("doc_id", "i", F.col("top").alias("up"))
-        if done:
-            break
-    edge = x.groupBy("doc_id", F.col("up").alias("root")).agg(F.min("i").alias("i")).select("doc_id", "i", F.lit(1).alias("starts"))
-    return tokens.join(edge, ["doc_id", "i"], "left").withColumn("sent_start", F.when(F.col("starts") == 1, 1).otherwise(-1)).drop("starts")
+def starts_from_heads(tokens: DataFrame) -> DataFrame:
+    """sent_start from heads (relative, 0 a root): the left edge of each root's tokens. Documents are groups, in which
+    pointer jumping halves the way to the roots in each round; a head that leaves the document or turns in a circle is an error."""
+    names = [c for c in tokens.columns if c != "sent_start"]
+    schema = tokens.select(*names).withColumn("sent_start", F.lit(0)).schema
+
+    def run(t: pa.Table) -> pa.Table:
+        t = t.sort_by("i")
+        i = t["i"].to_numpy()
+        head = t["head"].to_numpy()
+        up = np.searchsorted(i, i + head)
+        if len(i) and ((up >= len(i)).any() or (i[np.minimum(up, len(i) - 1)] != i + head).any()):
+            raise ValueError("a head is outside of its document")
+        for _ in range(max(1, len(i)).bit_length() + 1):
+            up = up[up]
+        if head[up].any():
+            raise ValueError("heads turn in a circle")
+        starts = np.full(len(i), -1, np.int32)
+        starts[np.unique(up, return_index=True)[1]] = 1
+        return t.append_column("sent_start", pa.array(starts))
+
+    return tokens.select(*names).groupBy("doc_id").applyInArrow(run, schema)
 
 
 def choose(has_parser: bool, has_classifier: bool, has_rules: bool) -> str:

@@ -142,14 +142,18 @@ def ruled(spark, sf_dir, *keep) -> DataFrame:
 
 @query(f"""{RULED_SQL} SELECT doc_id, text, label, CASE WHEN label = 'EMAIL' THEN 'mail' END AS ent_id, start_token, end_token, start_char, (start_char + length(text))::INT AS end_char FROM ents WHERE label IS NOT NULL""")
 def pipeline_entities_end_to_end(spark, sf_dir):
+    return R.extract(tokens(spark, sf_dir), RULES)
+
+
+@query(f"""{RULED_SQL} SELECT doc_id, text, label, CASE WHEN label = 'EMAIL' THEN 'mail' END AS ent_id, start_token, end_token, start_char, (start_char + length(text))::INT AS end_char FROM ents WHERE label IS NOT NULL""")
+def entities_collect(spark, sf_dir):
+    """The same from the annotated token table."""
     return E.collect(ruled(spark, sf_dir))
 
 
 @query(f"{RULED_SQL} SELECT lang, label, count(*) AS n FROM ents WHERE label IS NOT NULL GROUP BY lang, label")
 def entity_counts(spark, sf_dir):
-    docs = documents(spark, sf_dir)
-    e = E.collect(ruled(spark, sf_dir)).select("doc_id", "label")
-    return e.join(docs.select("doc_id", "lang"), "doc_id").groupBy("lang", "label").agg(F.count("*").alias("n"))
+    return R.extract(T.flat(documents(spark, sf_dir), "lang"), RULES, keep=("lang",)).groupBy("lang", "label").agg(F.count("*").alias("n"))
 
 
 PRESET_SQL = f"""{GREEDY_SQL}, preset AS (SELECT doc_id, i AS start, i + 2 AS stop FROM tok WHERE lower(text) = 'and' AND i + 1 < (SELECT max(i) FROM tok t WHERE t.doc_id = tok.doc_id)),

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
 import json
 import struct
 from collections import Counter
@@ -56,49 +55,107 @@ def read_limited(path: Path, most: int) -> bytes:
     return data
 
 
+_TENSOR = {"key": str, "dtype": str, "shape": list}
+_NODE = {"index": int, "name": str, "dims": dict, "refs": dict, "params": dict}
+_COMPONENT = {"name": str, "factory": str, "kind": str}
+KINDS, TOKENIZERS = ("trainable", "rule_based"), ("regex", "delarocha", "sudachi")
+
+
+def _shaped(x, fields: dict, what: str) -> dict:
+    """x, an object that has these fields with these types."""
+    if not isinstance(x, dict):
+        raise BundleError("invalid_manifest_json", "manifest", f"{what} isn't an object")
+    for name, kind in fields.items():
+        if not isinstance(x.get(name), kind) or kind is int and isinstance(x[name], bool):
+            raise BundleError("invalid_manifest_json", "manifest", f"{what} has no {name}", item=name)
+    return x
+
+
+def _list(x: dict, name: str, what: str) -> list:
+    if not isinstance(x.get(name, []), list):
+        raise BundleError("invalid_manifest_json", "manifest", f"{name} of {what} isn't a list", item=name)
+    return x.get(name, [])
+
+
 def parse_manifest(text: str | bytes, limits: Limits = Limits()) -> dict:
+    """The manifest, with its optional fields filled in. Components are under pipeline, in the order in which they run."""
     try:
         m = json.loads(text)
     except ValueError as e:
         raise BundleError("invalid_manifest_json", "manifest", str(e)) from e
-    if not isinstance(m, dict) or m.get("format") != FORMAT:
-        raise BundleError("unsupported_bundle_format", "manifest", f"format {m.get('format') if isinstance(m, dict) else None} isn't {FORMAT}")
-    if m.get("runtime", {}).get("requires_python", False):
+    _shaped(m, {"format_version": int}, "the manifest")
+    if m["format_version"] != FORMAT:
+        raise BundleError("unsupported_bundle_format", "manifest", f"format {m['format_version']} isn't {FORMAT}")
+    _shaped(m, {"source": dict, "runtime": dict, "tokenizer": dict, "pipeline": list}, "the manifest")
+    _shaped(m["source"], dict.fromkeys(("spacy_version", "model_name", "model_version", "lang"), str), "source")
+    _shaped(m["runtime"], {"min_runtime_version": str, "requires_python": bool}, "runtime")
+    _shaped(m["tokenizer"], {"kind": str, "path": str}, "tokenizer")
+    if m["tokenizer"]["kind"] not in TOKENIZERS:
+        raise BundleError("invalid_manifest_json", "tokenizer", f"no tokenizer is called {m['tokenizer']['kind']}", item=m["tokenizer"]["kind"])
+    if m["runtime"]["requires_python"]:
         raise BundleError("python_required", "manifest", "the bundle needs a foreign runtime")
-    components = m.get("components", [])
-    _limit(len(components), limits.components, "components")
-    names = Counter(c.get("name", "") for c in components)
-    for name, n in names.items():
-        if not name or n > 1:
-            raise BundleError("invalid_component", "component", "a component has no name" if not name else f"{name} comes {n} times", component=name or None)
-    for path in [m.get("tokenizer", {}).get("file"), *(f for c in components for f in c.get("state_files", []))]:
-        if path is not None and not is_safe_path(path):
-            raise BundleError("unsafe_bundle_path", "file", f"{path!r} leaves the bundle", item=path)
-    total_nodes = total_tensors = 0
-    for c in components:
-        nodes = c.get("nodes", [])
-        index = Counter(x["index"] for x in nodes)
-        total_nodes += len(nodes)
+    _safe(m["tokenizer"]["path"])
+    _limit(len(m["pipeline"]), limits.components, "components")
+    seen, tensors = set(), 0
+    for c in m["pipeline"]:
+        _shaped(c, _COMPONENT, "a component")
+        name = c["name"]
+        if not name or not c["factory"]:
+            raise BundleError("invalid_component", "component", "a component has no name or no factory", component=name or None)
+        if c["kind"] not in KINDS:
+            raise BundleError("invalid_manifest_json", "component", f"no component is {c['kind']}", component=name)
+        if name in seen:
+            raise BundleError("invalid_component", "component", f"{name} comes twice", component=name)
+        seen.add(name)
+        for field in ("nodes", "labels", "moves"):
+            c[field] = _list(c, field, name)
+        c.setdefault("settings", {}), c.setdefault("state_path", None), c.setdefault("root_node", None)
+        _limit(len(c["nodes"]), limits.nodes, "nodes")
+        index = Counter(_shaped(x, _NODE, f"a node of {name}")["index"] for x in c["nodes"])
         if twice := [k for k, n in index.items() if n > 1]:
-            raise BundleError("duplicate_graph_node", "graph_node", f"node {twice[0]} comes twice", c["name"], twice[0])
-        if c.get("trainable") and c.get("root") not in index:
-            raise BundleError("missing_graph_node", "graph_node", "the root is missing", c["name"], c.get("root"))
-        for x in nodes:
-            for child in x.get("children", []):
+            raise BundleError("duplicate_graph_node", "graph_node", f"node {twice[0]} comes twice", name, twice[0])
+        if c["kind"] == "trainable" and c["root_node"] not in index:
+            raise BundleError("missing_graph_node", "graph_node", "the root is missing", name, c["root_node"])
+        for x in c["nodes"]:
+            x["children"] = _list(x, "children", f"node {x['index']}")
+            x.setdefault("attrs", {}), x.setdefault("omitted_attrs", [])
+            for child in x["children"]:
                 if child not in index:
-                    raise BundleError("missing_graph_node", "graph_node", f"child {child} is missing", c["name"], child)
-            for t in x.get("params", {}).values():
-                total_tensors += 1
-                _limit(len(t["shape"]), limits.rank, "rank")
-    _limit(total_nodes, limits.nodes, "nodes"), _limit(total_tensors, limits.tensors, "tensors")
+                    raise BundleError("missing_graph_node", "graph_node", f"child {child} is missing", name, child)
+            tensors += len(x["params"])
+            for t in x["params"].values():
+                _limit(len(_shaped(t, _TENSOR, f"a tensor of {name}")["shape"]), limits.rank, "rank")
+        _limit(tensors, limits.tensors, "tensors")
+        if c["state_path"] is not None:
+            _safe(c["state_path"], name)
+    if m.get("vectors") is not None:
+        for t in _shaped(m["vectors"], {"data": dict, "keys": dict, "rows": dict}, "vectors").values():
+            tensors += 1
+            _limit(len(_shaped(t, _TENSOR, "vectors")["shape"]), limits.rank, "rank")
+        _limit(tensors, limits.tensors, "tensors")
     return m
 
 
+def _safe(path: str, component: str | None = None) -> None:
+    if not is_safe_path(path):
+        raise BundleError("unsafe_bundle_path", "file", f"{path!r} leaves the bundle", component, item=path)
+
+
 def _limit(n: int, most: int, what: str) -> None:
     if n > most:
         raise BundleError("bundle_limit_exceeded", "manifest", f"{n} {what} are over {most}", item=what)
 
 
+def tensors_of(m: dict):
+    """(component, node, parameter, tensor) of all that a manifest names; the vectors' component is 'vectors'."""
+    for c in m["pipeline"]:
+        for x in c["nodes"]:
+            for name, t in x["params"].items():
+                yield c["name"], x["index"], name, t
+    for name, t in (m.get("vectors") or {}).items():
+        yield "vectors", None, name, t
+
+
 def read_tensors(data: bytes) -> dict[str, np.ndarray]:
     """The F32 and U64 tensors of a safetensors file."""
     try:
@@ -133,19 +190,17 @@ def write_tensors(tensors: dict[str, np.ndarray]) -> bytes:
 def cross_check(manifest: dict, tensors: dict[str, np.ndarray]) -> None:
     """Each tensor of the manifest is there once, with its shape and type."""
     seen: set[str] = set()
-    for c in manifest.get("components", []):
-        for x in c.get("nodes", []):
-            for t in x.get("params", {}).values():
-                key, where = t["key"], (c["name"], x["index"])
-                if key in seen:
-                    raise BundleError("duplicate_tensor", "tensor", f"{key} is used twice", *where, key)
-                seen.add(key)
-                if key not in tensors:
-                    raise BundleError("missing_tensor", "tensor", f"{key} is missing", *where, key)
-                if list(tensors[key].shape) != list(t["shape"]):
-                    raise BundleError("tensor_shape", "tensor", f"{key} is {list(tensors[key].shape)}, not {t['shape']}", *where, key)
-                if t.get("dtype", "F32") != ("F32" if tensors[key].dtype == np.float32 else "U64"):
-                    raise BundleError("tensor_dtype", "tensor", f"{key} isn't {t['dtype']}", *where, key)
+    for component, node, _, t in tensors_of(manifest):
+        key, where = t["key"], (component, node)
+        if key in seen:
+            raise BundleError("duplicate_tensor", "tensor", f"{key} is used twice", *where, key)
+        seen.add(key)
+        if key not in tensors:
+            raise BundleError("missing_tensor", "tensor", f"{key} is missing", *where, key)
+        if list(tensors[key].shape) != list(t["shape"]):
+            raise BundleError("tensor_shape", "tensor", f"{key} is {list(tensors[key].shape)}, not {t['shape']}", *where, key)
+        if t["dtype"] != ("F32" if tensors[key].dtype == np.float32 else "U64"):
+            raise BundleError("tensor_dtype", "tensor", f"{key} isn't {t['dtype']}", *where, key)
 
 
 @dataclass
@@ -167,34 +222,35 @@ def load(root: str | Path, limits: Limits = Limits()) -> Bundle:
     root = Path(root)
     m = parse_manifest(read_limited(root / "manifest.json", limits.manifest), limits)
     tensors = read_tensors(read_limited(root / "weights.safetensors", limits.weights))
+    tokenizer = read_limited(root / m["tokenizer"]["path"], limits.tokenizer)
     cross_check(m, tensors)
-    file = m.get("tokenizer", {}).get("file")
-    tokenizer = read_limited(root / file, limits.tokenizer) if file else None
-    if tokenizer is not None and (want := m["tokenizer"].get("sha256")) and hashlib.sha256(tokenizer).hexdigest() != want.lower():
-        raise BundleError("invalid_tokenizer_configuration", "tokenizer", f"{file} has another checksum", item=file)
-    for c in m.get("components", []):
-        for f in c.get("state_files", []):
-            read_limited(root / f, limits.state)
+    for c in m["pipeline"]:
+        if c["state_path"] is not None:
+            read_limited(root / c["state_path"], limits.state)
     return Bundle(m, tensors, tokenizer)
 
 
+def save(root: str | Path, manifest: dict, tensors: dict[str, np.ndarray], tokenizer: dict) -> None:
+    """Write a bundle that load() takes."""
+    root = Path(root)
+    root.mkdir(parents=True, exist_ok=True)
+    (root / "manifest.json").write_text(json.dumps(manifest))
+    (root / "weights.safetensors").write_bytes(write_tensors(tensors))
+    (root / manifest["tokenizer"]["path"]).write_text(json.dumps(tokenizer))
+
+
 DIAGNOSTICS = "array<struct<code:string,area:string,component:string,node:int,item:string,message:string>>"
 
 
-def inspect(spark, root: str | Path, limits: Limits = Limits(), components: dict | None = None) -> DataFrame:
-    """One row: report_version, compatible, language, diagnostics. It never fails; what is wrong is a diagnostic."""
-    from spanframe.plans.pipeline import select_components
+def inspect(spark, root: str | Path, limits: Limits = Limits()) -> DataFrame:
+    """One row: report_version, compatible, language, diagnostics. It never fails; what is wrong is a diagnostic: a pipeline is built, but not run."""
+    from spanframe.plans.pipeline import Pipeline
 
     language, wrong = None, []
     try:
         b = load(root, limits)
-        language = b.manifest.get("language")
-        if language not in ("en", "ja"):
-            raise BundleError("unsupported_language", "language", f"no pipeline for {language!r}", item=language)
-        kind = b.manifest.get("tokenizer", {}).get("kind", "regex")
-        if kind != "regex":
-            raise BundleError("tokenizer_backend_disabled", "tokenizer", f"{kind} isn't part of this", item=kind)
-        select_components(b.manifest.get("components", []))
+        language = b.manifest["source"]["lang"]
+        Pipeline.load(b)
     except BundleError as e:
         wrong = [e.row()]
     except OSError as e:
@@ -203,5 +259,5 @@ def inspect(spark, root: str | Path, limits: Limits = Limits(), components: dict
 
 
 def tensors_per_component(spark, manifest: dict) -> DataFrame:
-    rows = [(c["name"], x["index"], k) for c in manifest.get("components", []) for x in c.get("nodes", []) for k in x.get("params", {})]
+    rows = [(c, node, k) for c, node, k, _ in tensors_of(manifest)]
     return spark.createDataFrame(rows, "component string, node int, param string").groupBy("component").agg(F.count("*").alias("tensors"))

@@ -13,10 +13,14 @@ from spanframe.functions import ids, kernels, lexical
 from spanframe.operators import decoders as D
 from spanframe.operators import encoder as N
 from spanframe.operators import morphemes as M
+from spanframe.operators import patterns
+from spanframe.operators import ruler as R
 from spanframe.operators import regex_tokenizer as X
 from spanframe.operators import sentences as S
 from spanframe.operators import tokens as T
 from spanframe.operators import wordpiece as P
+from spanframe.plans import load as L
+from spanframe.plans.pipeline import Pipeline
 from spanframe.sources import bundle, docbin
 
 
@@ -173,30 +177,100 @@ def test_messagepack():
         assert docbin.unpack(docbin.pack(x)) == x
 
 
-def make_bundle(at, change=lambda m, t: None):
-    t = {"w": np.ones((2, 3), np.float32), "k": np.array([2**63], np.uint64)}
-    m = {"format": 1, "language": "en", "runtime": {"requires_python": False}, "tokenizer": {"kind": "regex", "file": "tokenizer.json"}, "components": [{"name": "ner", "factory": "ner", "trainable": True, "root": 0, "nodes": [{"index": 0, "children": [1], "params": {"W": {"key": "w", "shape": [2, 3], "dtype": "F32"}}}, {"index": 1, "params": {"K": {"key": "k", "shape": [1], "dtype": "U64"}}}]}]}
+def make_bundle(at, change=lambda m, t: None, limits=False):
+    """A bundle of seeded weights, one encoder for a tagger, a parser and a recognizer, changed in one place."""
+    L.save_model(at, N.synthetic(), ("tag", "parse", "ner"))
+    m, t = json.loads((at / "manifest.json").read_text()), bundle.read_tensors((at / "weights.safetensors").read_bytes())
+    t = {k: v.copy() for k, v in t.items()}
     change(m, t)
-    (at / "manifest.json").write_text(json.dumps(m)), (at / "weights.safetensors").write_bytes(bundle.write_tensors(t)), (at / "tokenizer.json").write_text("{}")
+    (at / "manifest.json").write_text(json.dumps(m)), (at / "weights.safetensors").write_bytes(bundle.write_tensors(t))
+
+
+def named(m, factory):
+    return next(c for c in m["pipeline"] if c["factory"] == factory)
 
 
 def test_bundle(spark, tmp_path):
     make_bundle(tmp_path)
     b = bundle.load(tmp_path)
-    assert b.tensor("w").shape == (2, 3) and b.tensor("k", "U64")[0] == 2**63
+    assert b.tensor(named(b.manifest, "tagger")["nodes"][1]["params"]["W"]["key"]).shape == (3, 16)
     assert bundle.inspect(spark, tmp_path).first().compatible
+    assert {r.component: r.tensors for r in bundle.tensors_per_component(spark, b.manifest).collect()} == {"tok2vec": 18, "tagger": 2, "parser": 7, "ner": 7}
     wrong = {
-        "unsupported_bundle_format": lambda m, t: m.update(format=2), "python_required": lambda m, t: m["runtime"].update(requires_python=True), "unsafe_bundle_path": lambda m, t: m["tokenizer"].update(file="../x"), "missing_tensor": lambda m, t: t.pop("k"),
-        "tensor_shape": lambda m, t: t.update(w=np.ones((3, 2), np.float32)), "missing_graph_node": lambda m, t: m["components"][0].update(root=9), "unsupported_language": lambda m, t: m.update(language="xx"), "tokenizer_backend_disabled": lambda m, t: m["tokenizer"].update(kind="sudachi"),
-        "missing_component": lambda m, t: m["components"][0].update(factory="tagger"), "invalid_component": lambda m, t: m["components"].append({"name": "ner"}), "duplicate_graph_node": lambda m, t: m["components"][0]["nodes"].append({"index": 0}),
+        "unsupported_bundle_format": [lambda m, t: m.update(format_version=2)], "python_required": [lambda m, t: m["runtime"].update(requires_python=True)],
+        "invalid_manifest_json": [lambda m, t: m.pop("source"), lambda m, t: m["tokenizer"].pop("path"), lambda m, t: m["tokenizer"].update(kind="other"), lambda m, t: named(m, "ner").pop("kind"), lambda m, t: m.update(pipeline={})],
+        "unsafe_bundle_path": [lambda m, t: m["tokenizer"].update(path="../x"), lambda m, t: named(m, "ner").update(state_path="/etc/x")], "missing_tensor": [lambda m, t: t.pop("0")], "duplicate_tensor": [lambda m, t: named(m, "tagger")["nodes"][1]["params"]["b"].update(key="0")],
+        "tensor_shape": [lambda m, t: t.update({"0": np.ones((3, 2), np.float32)})], "tensor_dtype": [lambda m, t: t.update({"0": t["0"].astype(np.uint64)})], "missing_graph_node": [lambda m, t: named(m, "ner").update(root_node=99), lambda m, t: named(m, "ner")["nodes"][1].update(children=[77])],
+        "unsupported_language": [lambda m, t: m["source"].update(lang="xx")], "tokenizer_backend_disabled": [lambda m, t: m["tokenizer"].update(kind="sudachi")], "missing_component": [lambda m, t: m["pipeline"].pop()],
+        "invalid_component": [lambda m, t: m["pipeline"].append(dict(named(m, "ner"), name="again", nodes=[], kind="rule_based")), lambda m, t: named(m, "ner").update(moves=["O"]), lambda m, t: named(m, "tagger").update(labels=["A"]), lambda m, t: m["pipeline"].append(dict(named(m, "ner")))],
+        "duplicate_graph_node": [lambda m, t: named(m, "ner")["nodes"].append(dict(named(m, "ner")["nodes"][0]))], "missing_upstream_tok2vec": [lambda m, t: m["pipeline"].pop(0)], "conflicting_upstream_tok2vec": [lambda m, t: named(m, "ner")["settings"].update(tok2vec_upstream="other")],
+        "missing_file": [lambda m, t: m["tokenizer"].update(path="none.json")], "invalid_graph_node": [lambda m, t: named(m, "tok2vec")["nodes"][1]["attrs"].pop("seed"), lambda m, t: named(m, "tok2vec")["nodes"][-1]["attrs"].update(pad=0)],
     }
-    for code, change in wrong.items():
-        make_bundle(tmp_path, change)
-        r = bundle.inspect(spark, tmp_path).first()
-        assert not r.compatible and r.diagnostics[0].code == code, (code, r.diagnostics)
+    for code, changes in wrong.items():
+        for change in changes:
+            make_bundle(tmp_path, change)
+            r = bundle.inspect(spark, tmp_path).first()
+            assert not r.compatible and r.diagnostics[0].code == code, (code, r.diagnostics)
     with pytest.raises(bundle.BundleError):
         make_bundle(tmp_path)
         bundle.load(tmp_path, bundle.Limits(manifest=10))
+    # Limits of nodes are those of one component, of tensors those of all.
+    assert bundle.load(tmp_path, bundle.Limits(nodes=17)).manifest and bundle.load(tmp_path, bundle.Limits(tensors=34))
+    for limits in (bundle.Limits(nodes=16), bundle.Limits(tensors=33), bundle.Limits(components=3), bundle.Limits(rank=2)):
+        with pytest.raises(bundle.BundleError):
+            bundle.load(tmp_path, limits)
+
+
+def test_a_loaded_pipeline_does_what_its_model_does(spark, tmp_path):
+    """A bundle of a model with word vectors, an exception, rulers before and after, against the same stages by hand."""
+    # What a ruler presets must be among the recognizer's moves.
+    moves = ["O", "B-X", "I-X", "L-X", "U-X", "U-", "B-EARLY", "I-EARLY", "L-EARLY", "U-EARLY"]
+    m = N.synthetic(3, entities=moves)
+    r = np.random.default_rng(1)
+    words = ["alpha", "beta", "gamma"]
+    keys = np.array(sorted(ids.string_id_of(w) for w in words), np.uint64)
+    w = dict(m.w)
+    w["mix.W"] = np.concatenate([w["mix.W"], r.standard_normal((16, 3, 5)).astype(np.float32)], 2)
+    m = N.Model(w, m.seeds, 1, m.tags, ["S", "D", "L-dep", "R-dep"], moves, static=(keys, np.array([2, 0, 1]), r.standard_normal((3, 4)).astype(np.float32), r.standard_normal((5, 4)).astype(np.float32)))
+    code = ids.string_id_of
+    early = {"overwrite_ents": False, "phrase_matcher_attr": "LOWER", "patterns": [{"label": "EARLY", "id": "e", "token_ids": [code("beta"), code("gamma")]}]}
+    late = {"overwrite_ents": True, "phrase_matcher_attr": "ORTH", "patterns": [], "token_patterns": [{"label": "LATE", "tokens": [{"op": "1", "constraints": [{"attribute": "LOWER", "kind": "in", "values": [code("delta")]}]}, {"op": "?", "constraints": [{"attribute": "LENGTH", "kind": "numeric", "comparison": ">=", "value": 5}]}]}]}
+    rules = [{"name": "one", "factory": "entity_ruler", "settings": early, "before": "ner"}, {"name": "two", "factory": "entity_ruler", "settings": late}]
+    c = X.Config(exceptions={"don't": [("do", None), ("n't", "not")]}, norms={"alpha": "ALPHA"}, suffix=r"\.$", language="en")
+    L.save_model(tmp_path, m, ("tag", "parse", "ner"), tokenizer=c, rules=rules)
+    p = Pipeline.load(bundle.load(tmp_path))
+    docs = spark.createDataFrame([(k, " ".join(r.choice(["alpha", "Beta", "gamma", "delta", "don't", "omega."], 12))) for k in range(8)], "doc_id bigint, text string")
+    assert p.stages() == ["tokenize", "encode", "rules before", "constraints", "recognize", "rules after", "collect"] and p.labels() == ["EARLY", "X", "LATE"] and p.supports("LATE")
+    t = X.flat(docs, c)
+    x = N.annotate(t, m, ("tag", "parse"))
+    x = R.annotate(x, [{"label": "EARLY", "id": "e", "pattern": ["beta", "gamma"]}], attr="LOWER")
+    x = R.annotate(N.annotate(x, m, ("ner",)), [{"label": "LATE", "pattern": [{"LOWER": "delta"}, {"LENGTH": {">=": 5}, "OP": "?"}]}], True)
+    key = ["doc_id", "i", "text", "norm", "tag", "head", "dep", "sent_start", "ent_iob", "ent_type", "ent_id"]
+    got = sorted(map(tuple, p.process(docs).select(*key).collect()))
+    assert got == sorted(map(tuple, x.select(*key).collect())) and {g[9] for g in got} >= {"EARLY", "LATE"}
+    assert len({(g[0], g[1]) for g in got}) == len(got) and len({g[4] for g in got}) > 1
+    own = Pipeline.load(bundle.load(tmp_path), tokenize=T.flat)
+    assert own.process(docs).count() == T.flat(docs).count()
+
+
+def test_static_vectors_and_hash_embedding_by_hand():
+    m = N.Model({"embed.0": np.arange(12, dtype=np.float32).reshape(6, 2), "mix.W": np.zeros((2, 1, 4), np.float32), "mix.b": np.zeros((2, 1), np.float32), "mix.gain": np.ones(2, np.float32), "mix.shift": np.zeros(2, np.float32)}, [9], columns=["NORM"], static=(np.array([5, 2**63 + 1], np.uint64), np.array([1, 0]), np.array([[1, 0], [0, 2]], np.float32), np.array([[1, 1], [3, -1]], np.float32)))
+    assert m.static_vectors(np.array([2**63 + 1, 5, 6], np.uint64)).tolist() == [[1, 3], [2, -2], [0, 0]]
+    assert m.all_columns == ("NORM", "ORTH") and m.encode(np.zeros((3, 2), np.int64)).shape == (3, 2)
+    with pytest.raises(ValueError):
+        N.Model({"conv.0.W": np.zeros(1)}, [], pad=0)
+
+
+@pytest.mark.parametrize("constraint,hits", [
+    ({"attribute": "ORTH", "kind": "equal", "values": [ids.string_id_of("Ab")]}, {"Ab"}), ({"attribute": "LOWER", "kind": "not_in", "values": [ids.string_id_of("ab")]}, {"12", "x"}), ({"attribute": "IS_DIGIT", "kind": "boolean", "value": True}, {"12"}), ({"attribute": "LENGTH", "kind": "numeric_set", "values": [2], "negate": True}, {"x"}),
+    ({"attribute": "ORTH", "kind": "regex_set", "patterns": ["^A", "^x$"], "negate": False}, {"Ab", "x"}), ({"attribute": "LOWER", "kind": "fuzzy", "pattern": "abc", "max_edits": 1}, {"Ab"}), ({"attribute": "LOWER", "kind": "id_set_relation", "comparison": "is_superset", "values": [ids.string_id_of("x")]}, {"x"}), ({"attribute": "MORPH", "kind": "morph_set", "comparison": "is_superset", "features": [ids.string_id_of("A=b")]}, {"Ab"}),
+])
+def test_constraints_of_bundles(spark, constraint, hits):
+    t = spark.createDataFrame([("Ab", ["A=b", "C=d"]), ("12", []), ("x", ["C=d"])], "text string, morph_features array<string>")
+    assert {r.text for r in t.where(patterns.compile_constraint(constraint)).collect()} == hits
+    for bad in ({**constraint, "kind": "none"}, {k: v for k, v in constraint.items() if k in ("attribute", "kind")}, {**constraint, "attribute": "NOPE"}):
+        with pytest.raises(ValueError):
+            patterns.check_constraint(bad)
 
 
 def test_wordpieces():

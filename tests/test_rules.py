@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from spanframe.operators import constraints as C
 from spanframe.operators import entities as E
 from spanframe.operators import patterns as P
+from spanframe.operators import regex_tokenizer as X
 from spanframe.operators import ruler as R
+from spanframe.operators import sentences as S
 from spanframe.operators import tokens as T
 from spanframe.plans import parity
 from spanframe.plans.pipeline import Pipeline, select_components
@@ -134,9 +136,12 @@ def test_labels(spark):
 
 
 def test_components():
-    full = [{"name": "t", "factory": "tok2vec"}, {"name": "p", "factory": "parser", "upstream": "*"}, {"name": "s", "factory": "senter"}, {"name": "r", "factory": "entity_ruler"}, {"name": "n", "factory": "ner", "upstream": "t"}, {"name": "x", "factory": "lemmatizer"}]
-    assert [c["name"] for c in select_components(full)] == ["t", "p", "r", "n"]
-    for bad in ([], [full[4]], [full[0], full[4], full[4]]):
+    full = [{"name": n, "factory": f} for n, f in (("t", "tok2vec"), ("p", "parser"), ("s", "senter"), ("r", "entity_ruler"), ("n", "ner"), ("q", "entity_ruler"), ("x", "lemmatizer"))]
+    heads, rules, early, late = select_components(full)
+    assert set(heads) == {"parse", "ner"} and rules is None and [c["name"] for c in early] == ["r"] and [c["name"] for c in late] == ["q"]
+    marks = {"name": "m", "factory": "sentencizer"}
+    assert select_components([full[4], marks])[1] == marks and select_components([full[2]], recognizer=False)[0] == {"senter": full[2]}
+    for bad in ([], [full[0]], [full[0], full[4], full[4]], [full[2], marks, full[4]], [full[1], full[1], full[4]]):
         with pytest.raises(BundleError):
             select_components(bad)
     assert Pipeline(before=[{"label": "A", "pattern": "a"}]).stages() == ["tokenize", "sentences", "rules before", "constraints", "collect"]
@@ -210,3 +215,42 @@ def test_whole_queries_take_all_tokens_and_passages(spark, tmp_path):
     want = {(d, a, a + n, label[g]) for d, t in enumerate(map(cut, docs)) for a in range(len(t)) for n in range(1, 5) if a + n <= len(t) and (g := tuple(t[a:a + n])) in label}
     got = [tuple(r) for r in run("phrase_match_candidates_whole")]
     assert len(got) == len(set(got)) and set(got) == want and (2, 0, 2, "item1") in want
+
+
+def test_tokens_by_pieces_are_those_of_each_text(spark):
+    r = random.Random(3)
+    c = X.Config(exceptions={"don't": [("do", None), ("n't", "not")], "New York": [("New", None), (" York", "york")], "a\nb": [("a\nb", None)], "U.S.": [("U.S.", "us")]}, norms={"x": "y"}, prefix=r"[(]+", suffix=r"[).,]$", infix=r"-", token_match=r"\d+\.\d+$")
+    parts = ["don't", "New York", "New", "York", "a\nb", "a", "b", "(x)", "x-y,", "U.S.", "1.5", "1.5.", " ", "  ", "\n", "é", "(don't)."]
+    texts = ["", None] + ["".join(r.choice(parts) + r.choice(["", " "]) for _ in range(r.randrange(1, 12))) for _ in range(300)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string").repartition(2)
+    got = {x.doc_id: None if x.t is None else [tuple(t) for t in x.t] for x in docs.select("doc_id", X.token_array(F.col("text"), c).alias("t")).collect()}
+    assert got == {k: None if t is None else X.tokenize(t, c) for k, t in enumerate(texts)}
+
+
+def test_resolution_is_that_of_the_definition(spark):
+    r = random.Random(4)
+    rows = []
+    for d in range(12):
+        for _ in range(r.choice([1, 5, 60])):
+            a = r.randrange(40)
+            rows.append((d, a, a + r.randrange(1, 7), r.choice("XY"), "", r.randrange(3)))
+    rows += rows[:20]
+    want = set()
+    for d in range(12):
+        taken = []
+        for x in sorted((x for x in rows if x[0] == d), key=lambda x: (x[1] - x[2], x[1], x[5], x[3])):
+            if all(x[2] <= y[1] or y[2] <= x[1] for y in taken):
+                taken.append(x)
+        want |= set(taken)
+    found = spark.createDataFrame(rows, "doc_id int, start int, end int, label string, ent_id string, priority int")
+    got = [tuple(x) for x in R.resolve(found).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_heads_of_a_long_chain_and_bad_heads(spark):
+    n = 3000
+    chain = spark.createDataFrame([(1, i, -1 if i else 0) for i in range(n)] + [(2, 0, 0)], "doc_id int, i int, head int")
+    assert [(x.doc_id, x.i) for x in S.starts_from_heads(chain).where("sent_start = 1").collect()] in ([(1, 0), (2, 0)], [(2, 0), (1, 0)])
+    for bad in ([(1, 0, 1)], [(1, 0, 1), (1, 1, -1)]):
+        with pytest.raises(Exception, match="head"):
+            S.starts_from_heads(spark.createDataFrame(bad, "doc_id int, i int, head int")).collect()
