@@ -5,6 +5,7 @@ from __future__ import annotations
 from functools import reduce
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -93,6 +94,17 @@ def np_hash_embed(ids: np.ndarray, seed: int, table: np.ndarray) -> np.ndarray:
     return table[feature_hash(ids, seed) % np.uint32(len(table))].sum(1, dtype=np.float32)
 
 
+def hash_embed(id_: Column, seed: int, table: np.ndarray) -> Column:
+    """np_hash_embed() of a column of ids; the table is sent with the plan, so it is a small one."""
+
+    def run(a: pa.Array) -> pa.Array:
+        x = np_hash_embed(a.fill_null(0).to_numpy(zero_copy_only=False).view(np.uint64), seed, table.astype(np.float32))
+        return pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), table.shape[1]).cast(pa.list_(pa.float32()))
+
+    run.__annotations__ = {"a": pa.Array, "return": pa.Array}
+    return F.arrow_udf(run, "array<float>")(id_)
+
+
 def np_linear(x: np.ndarray, w: np.ndarray, b: np.ndarray) -> np.ndarray:
     return x @ w.T + b
 

@@ -27,6 +27,15 @@ def parse(text: str, doc_id: int = 0) -> tuple:
     return doc_id, kind, int(m[1]), int(m[2]), m[3] if kind == "entity" else None, None
 
 
+def parse_table(rows: DataFrame, column: str = "constraint") -> DataFrame:
+    """The constraints of (doc_id, column) of strings as parse() reads them; one that isn't START:END:LABEL is an error."""
+    part = lambda k: F.regexp_extract(column, r"(?s)\A([0-9]+):([0-9]+):(.+)\z", k)
+    label = F.when(part(3) == "", F.raise_error(F.concat(F.lit("not START:END:LABEL: "), F.col(column))).cast("string")).otherwise(part(3))
+    x = rows.select(F.col("doc_id").cast("bigint").alias("doc_id"), part(1).try_cast("int").alias("start"), part(2).try_cast("int").alias("end"), label.alias("l"))
+    kind = F.when(F.col("l") == "-", "blocked").when(F.col("l") == "?", "missing").when(F.col("l") == "O", "outside").otherwise("entity")
+    return x.select("doc_id", kind.alias("kind"), "start", "end", F.when(kind == "entity", F.col("l")).alias("label"), F.lit(None).cast("string").alias("alignment"))
+
+
 def resolved(tokens: DataFrame, wanted: DataFrame) -> DataFrame:
     """Constraints with token ranges, each with the error that it makes, if any."""
     plain = wanted.where(~F.col("kind").startswith("char_") & (F.col("kind") != "default"))

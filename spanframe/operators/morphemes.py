@@ -5,8 +5,10 @@ The lattice analysers are external; their rows come in as (doc_id, k, surface, s
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -194,3 +196,46 @@ def align(text: str, surfaces: list[str]) -> list[tuple[str, int, bool]]:
     if at < len(text) and not (out and text[at:] == " "):
         out.append((text[at:], at, False))
     return out
+
+
+def _by_doc(rows: DataFrame, schema: str, run) -> DataFrame:
+    """run(doc_id, the document's rows in the order of k) gives rows of the schema; documents stream by, one held at a time."""
+    names = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string(), "boolean": pa.bool_()}
+    kind = pa.schema([(n, names[k]) for n, k in (f.split() for f in schema.split(", "))])
+
+    def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[dict] = []
+
+        def made(out: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], f.type) for k, f in enumerate(kind)], schema=kind)
+
+        for batch in batches:
+            out = []
+            for r in batch.to_pylist():
+                if held and held[0]["doc_id"] != r["doc_id"]:
+                    out += run(held[0]["doc_id"], held)
+                    held = []
+                held.append(r)
+            yield made(out)
+        if held:
+            yield made(run(held[0]["doc_id"], held))
+
+    return rows.repartition("doc_id").sortWithinPartitions("doc_id", "k").mapInArrow(stream, schema)
+
+
+def apply_rules_table(rows: DataFrame, rules: list[dict]) -> DataFrame:
+    """apply_rules() on (doc_id, k, surface, start, tag), each document by itself; k is numbered anew."""
+    apply_rules([], rules)
+    return _by_doc(rows.select("doc_id", "k", "surface", "start", "tag"), "doc_id bigint, k int, surface string, start int, tag string", lambda d, x: [(d, k, t["surface"], t["start"], t["tag"]) for k, t in enumerate(apply_rules(x, rules))])
+
+
+def resolve_pos_table(rows: DataFrame, by_orth: dict, bigrams: dict, unigrams: dict) -> DataFrame:
+    """(doc_id, k, surface, tag, pos) by resolve_pos()."""
+    own = rows.select("doc_id", "k", "surface", "tag")
+    return _by_doc(own, "doc_id bigint, k int, surface string, tag string, pos string", lambda d, x: [(d, t["k"], t["surface"], t["tag"], p) for t, p in zip(x, resolve_pos([(t["tag"], t["surface"]) for t in x], by_orth, bigrams, unigrams))])
+
+
+def align_table(rows: DataFrame, texts: DataFrame) -> DataFrame:
+    """Tokens (doc_id, i, text, has_space, idx) of align(): rows (doc_id, k, surface) of texts (doc_id, text)."""
+    x = rows.select("doc_id", "k", "surface").join(texts.select("doc_id", F.col("text").alias("whole")), "doc_id")
+    return _by_doc(x, "doc_id bigint, i int, text string, has_space boolean, idx int", lambda d, x: [(d, i, t, s, at) for i, (t, at, s) in enumerate(align(x[0]["whole"], [t["surface"] for t in x]))])

@@ -80,7 +80,7 @@ def span(tokens: Column, start: Column, end: Column) -> Column:
     """STRUCT(start, end, start_char, end_char, text) of a half-open token range; one out of bounds or reversed is an error."""
     bad = (start < 0) | (start > end) | (end > F.size(tokens))
     part = F.slice(tokens, start + 1, end - start)
-    first, last = F.try_element_at(tokens, start + 1), F.try_element_at(tokens, end)
+    first, last = F.get(tokens, start), F.get(tokens, end - 1)
     at = F.coalesce(first["idx"], char_len(tokens))
     stop = F.when(start == end, at).otherwise(last["idx"] + F.length(last["text"]))
     text = F.regexp_replace(text_of(part), r"(?s) \z", "")

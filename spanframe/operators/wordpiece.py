@@ -6,6 +6,9 @@ import unicodedata
 from typing import Protocol
 
 import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column
+from pyspark.sql import functions as F
 
 SPECIALS = ("[PAD]", "[UNK]", "[CLS]", "[SEP]")
 
@@ -51,6 +54,22 @@ def encode_span(tokens: list[str], vocabulary: dict[str, int], lower: bool = Tru
     return np.array([*ids, vocabulary["[SEP]"]]), np.array([*owner, -1])
 
 
+def word_ids(text: Column, vocabulary: dict[str, int], lower: bool = True, nfkc: bool = True) -> Column:
+    """STRUCT(ids, aligned) of a token; white space has no pieces. Each distinct token of a batch is cut once."""
+
+    def run(a: pa.Array) -> pa.Array:
+        a = a.fill_null("").dictionary_encode() if not pa.types.is_dictionary(a.type) else a
+        made = []
+        for t in a.dictionary.to_pylist():
+            word = normalize(t, lower, nfkc)
+            made.append(([], False) if not word or word.isspace() else encode_word(word, vocabulary))
+        table = pa.StructArray.from_arrays([pa.array([x for x, _ in made], pa.list_(pa.int32())), pa.array([y for _, y in made], pa.bool_())], ["ids", "aligned"])
+        return table.take(a.indices)
+
+    run.__annotations__ = {"a": pa.Array, "return": pa.Array}
+    return F.arrow_udf(run, "struct<ids: array<int>, aligned: boolean>")(text)
+
+
 class TransformerEncoder(Protocol):
     """What an application supplies: vectors (rows x width) of each document's tokens."""
 

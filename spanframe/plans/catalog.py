@@ -6,8 +6,8 @@ the queries of the same names with _whole take all tokens and passages, and have
 
 from __future__ import annotations
 
-from spanframe.plans import catalog_labels, catalog_lexical, catalog_models, catalog_rules, catalog_vectors
+from spanframe.plans import catalog_labels, catalog_lexical, catalog_models, catalog_more, catalog_rules, catalog_vectors
 
-_PARTS = (catalog_lexical, catalog_rules, catalog_labels, catalog_vectors, catalog_models)
+_PARTS = (catalog_lexical, catalog_rules, catalog_labels, catalog_vectors, catalog_models, catalog_more)
 QUERIES = {k: f for p in _PARTS for k, f in p.QUERIES.items()}
 ORACLES = {k: s for p in _PARTS for k, s in p.ORACLES.items()}

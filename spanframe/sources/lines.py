@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 TOKEN_FIELDS = ("text", "idx", "head", "dep", "sent_start", "ent_iob", "ent_type")
@@ -50,13 +50,22 @@ def sentence_listing(tokens: DataFrame) -> DataFrame:
     return token_listing(tokens.select("doc_id", "i", "idx", "text")).join(tokens.select("doc_id", F.col("i").alias("index"), "sent_start"), ["doc_id", "index"])
 
 
+def numbered(spark, path: str) -> DataFrame:
+    """(path, n, value): the lines of text files with their numbers, from 1. Files are split as usual; the lines of the splits
+    before are counted first, and the table of splits, a row each, is what the numbers begin from."""
+    x = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"))
+    blocks = x.groupBy("path", "block").agg(F.min("row").alias("first"), F.count("*").alias("lines"))
+    before = F.coalesce(F.sum("lines").over(Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    blocks = blocks.select("path", "block", (before - F.col("first") + 1).alias("add"))
+    return x.join(blocks, ["path", "block"]).select("path", (F.col("row") + F.col("add")).alias("n"), "value")
+
+
 def corpus(spark, path: str) -> DataFrame:
     """(id, text) of JSON lines {"id"?, "text"}; blank lines are skipped, an id is line-N if there is none. An empty text is an
-    error, and so is a file without any: read it with check=first()."""
-    x = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\n")).alias("n", "value")).where("trim(value) <> ''")
-    x = x.select("n", F.from_json("value", "id string, text string").alias("j"))
-    text = F.when(F.coalesce(F.col("j.text"), F.lit("")) == "", F.raise_error(F.concat(F.lit("line "), (F.col("n") + 1).cast("string"), F.lit(" has no text"))).cast("string")).otherwise(F.col("j.text"))
-    out = x.select(F.coalesce("j.id", F.concat(F.lit("line-"), (F.col("n") + 1).cast("string"))).alias("id"), text.alias("text"))
+    error, and so is a path without any line."""
+    x = numbered(spark, path).where("trim(value) <> ''").select("n", F.from_json("value", "id string, text string").alias("j"))
+    text = F.when(F.coalesce(F.col("j.text"), F.lit("")) == "", F.raise_error(F.concat(F.lit("line "), F.col("n").cast("string"), F.lit(" has no text"))).cast("string")).otherwise(F.col("j.text"))
+    out = x.select(F.coalesce("j.id", F.concat(F.lit("line-"), F.col("n").cast("string"))).alias("id"), text.alias("text"))
     if out.isEmpty():
         raise ValueError(f"{path} has no cases")
     return out
