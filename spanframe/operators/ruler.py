@@ -191,7 +191,7 @@ def resolve(found: DataFrame) -> DataFrame:
 def extract(tokens: DataFrame, patterns: list[dict], attr: str = "ORTH", labels: list[str] | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
     """collect(annotate(tokens, patterns)) for tokens without entities, and the columns `keep` of an entity's first token.
 
-    Matches are few, so they are joined to their tokens, and the token table isn't written anew.
+    Matches are few, so they are joined to their tokens, and the token table isn't written anew. keep: columns of the documents.
     """
     from spanframe.operators.entities import compile_labels
 
@@ -202,7 +202,8 @@ def extract(tokens: DataFrame, patterns: list[dict], attr: str = "ORTH", labels:
         own = compile_labels(labels)
         stay = stay.where(F.col("label").isin(*own)) if own else stay.where(F.lit(False))
     places = stay.select("doc_id", F.explode(F.sequence("start", F.col("end") - 1)).alias("i"), F.col("start").alias("start_token"), F.col("end").alias("end_token"), "label", F.nullif(F.col("ent_id"), F.lit("")).alias("ent_id"))
-    x = tokens.select("doc_id", "i", "text", "has_space", "idx", *keep).join(places, ["doc_id", "i"])
+    # Only documents with matches are tokenized again: the semi-join goes below the tokens' windows, to the texts.
+    x = tokens.select("doc_id", "i", "text", "has_space", "idx", *keep).join(stay.select("doc_id").distinct(), "doc_id", "left_semi").join(places, ["doc_id", "i"])
     part = F.struct("i", "idx", "text", "has_space", *keep)
     g = x.groupBy("doc_id", "start_token", "end_token", "label", "ent_id").agg(F.array_sort(F.collect_list(part)).alias("p"))
     first, last = F.element_at("p", 1), F.element_at("p", -1)
