@@ -402,7 +402,10 @@ def corpus_lines(spark, sf_dir):
     """Conversations written as lines of JSON with blank ones between them, some without id, and read back by their line numbers."""
     c = spark.read.parquet(f"{sf_dir}/conversations.parquet").where("text <> ''")
     value = F.to_json(F.struct(F.when(F.col("conv_id") % 3 != 0, F.concat(F.lit("c"), "conv_id", F.lit("-"), "turn")).alias("id"), "text"))
-    shared = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}"
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir isn't set: it must name a folder that all executors share")
+    shared = shared or f"file://{tempfile.gettempdir()}"
     at = f"{shared}/corpus-lines-{abs(hash(sf_dir))}"
     c.orderBy("conv_id", "turn").select(F.concat(F.lit("\n"), value)).coalesce(1).write.mode("overwrite").text(at)
     return lines.corpus(spark, at)

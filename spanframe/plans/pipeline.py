@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import DataFrame
 
@@ -14,6 +14,7 @@ from spanframe.operators import ruler as R
 from spanframe.operators import sentences as S
 from spanframe.operators.regex_tokenizer import Config, tokenizer
 from spanframe.sources.bundle import Bundle, BundleError
+from spanframe.sources.families import check_family, exported_labels
 
 
 HEADS = {"tagger": "tag", "parser": "parse", "senter": "senter", "ner": "ner"}
@@ -60,6 +61,8 @@ class Pipeline:
     late: list[R.Ruler] = field(default_factory=list)
     overwrites: bool = False
     language: str = ""
+    #: The bundle's own coarse labels.
+    exported: dict[str, str] = field(default_factory=dict)
 
     @classmethod
     def load(cls, b: Bundle, tokenize: Callable | None = None, recognizer: bool = True) -> Pipeline:
@@ -83,7 +86,24 @@ class Pipeline:
         marks = load.setting(rules, "punct_chars", list) if rules else None
         # The order in which heads write is theirs; the recognizer comes after the rules.
         order = [h for h in ("tag", "senter", "parse", "ner") if h in heads]
-        return cls(tokenize, config, load.model(b, {h: heads[h] for h in order}), tuple(order), tuple(marks) if marks is not None else None, early=[load.ruler(c) for c in early], late=[load.ruler(c) for c in late], overwrites=load.setting(said, "overwrite", bool) if said else False, language=language)
+        return cls(tokenize, config, load.model(b, {h: heads[h] for h in order}), tuple(order), tuple(marks) if marks is not None else None, early=[load.ruler(c) for c in early], late=[load.ruler(c) for c in late], overwrites=load.setting(said, "overwrite", bool) if said else False, language=language, exported=exported_labels(b.manifest))
+
+    @classmethod
+    def english(cls, b: Bundle, heads: tuple[str, ...] = ("tag", "parse", "ner"), tokenize: Callable | None = None) -> Pipeline:
+        """These heads of an English bundle, all of which it must have, and no rules; ("tag",) is the tagger alone."""
+        if b.manifest["source"]["lang"] != "en":
+            raise BundleError("unsupported_language", "language", f"the pipeline's language is en, not {b.manifest['source']['lang']!r}", item=b.manifest["source"]["lang"])
+        p = cls.load(b, tokenize, "ner" in heads)
+        for h in heads:
+            if h not in p.heads:
+                raise BundleError("missing_component", "component", f"there is no component for {h}", item=h)
+        return replace(p, heads=tuple(h for h in p.heads if h in heads), terminals=None, early=[], late=[])
+
+    @classmethod
+    def japanese(cls, b: Bundle, tokenize: Callable) -> Pipeline:
+        """A standard bundle of the Japanese family, with the coarse labels it exports. tokenize: its dictionary analyser."""
+        check_family(b.manifest)
+        return cls.load(b, tokenize)
 
     def __post_init__(self):
         if ("parse" in self.heads or "ner" in self.heads or "tag" in self.heads) and self.model is None:
@@ -141,7 +161,7 @@ class Pipeline:
         return self.extract(docs, ["PERSON"])
 
     def coarse(self, docs: DataFrame, exported: dict[str, str] | None = None) -> DataFrame:
-        return E.fine_to_coarse(self.extract(docs), exported)
+        return E.fine_to_coarse(self.extract(docs), self.exported if exported is None else exported)
 
     def token_labels(self, docs: DataFrame, mapping: dict[str, str] | None = None, fallback: str | None = None) -> DataFrame:
         return E.token_labels(self.process(docs), mapping, fallback)

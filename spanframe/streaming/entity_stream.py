@@ -23,5 +23,7 @@ def start(spark: SparkSession, source: str, sink: str, checkpoint: str, pipeline
         docs = spark.read.parquet(kept)
         out = lines.entity_lines(docs, E.collect(pipeline.process(docs))).select("value")
         out.write.mode("overwrite").text(f"{sink}/batch={number}")
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(kept)
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", f"{checkpoint}/state").trigger(availableNow=True).start()
