@@ -3,7 +3,7 @@
 A document's fingerprint has 192 bits over its pairs of neighbouring words (case and ASCII punctuation don't count; a
 single word is its own feature). The distance of two fingerprints is their Hamming distance, whatever the texts' lengths; it
 is a metric, so the triangle bounds of the tree hold for it, though they cut off little at this radius: mostly the tree has
-one leaf, and all pairs of its blocks are compared. Pairs at most RADIUS apart are near-duplicates; a group is what pairs connect.
+one leaf. Within a pair of blocks near() finds the pairs by chunks of bits of which one must be close: exact, for a share of all pairs. Pairs at most RADIUS apart are near-duplicates; a group is what pairs connect.
 Equal fingerprints are one until the end, so copies are never expanded into pairs; a document's links count them all the same.
 
 Defined results: a null, empty or wordless text has no fingerprint and is in no group; documents with the same words are
@@ -15,6 +15,8 @@ stay whose texts are in no common group. Ties of a group go to the smallest doc_
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import islice
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -31,9 +33,15 @@ RADIUS = 40
 #: Fingerprints that the tree is fitted on. It decides how well the shards are balanced, never which pairs are found.
 TREE_SAMPLE = 8192
 #: Rows of a shard that one task compares at once; larger shards are cut into pairs of blocks, all of which are compared.
-BLOCK = 1 << 18
-#: Blocks of a shard at least, for its tasks to be many, as long as they have FEW rows.
-SPREAD, FEW = 8, 4096
+BLOCK = 1 << 19
+#: Tasks at least, where there are so few pairs of blocks that each is shared by up to PARTS.
+SPREAD, PARTS = 36, 12
+#: Partitions of the comparing stage, at most.
+MANY = 1 << 13
+#: What a bucket's tile and a gathered row cost, in compared pairs.
+CALL, GATHER = 25_000, 6
+#: Pairs that are compared at once, and columns at most; what that takes fits a core's cache.
+TILE, COLUMNS = 1 << 15, 2048
 FINGER = [f"f{w}" for w in range(WORDS)]
 _BITS = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.float32)
 
@@ -129,24 +137,92 @@ class VpTree:
         return np.concatenate(rows), np.concatenate(leaves), np.concatenate(home)
 
 
-def near(a: np.ndarray, b: np.ndarray, radius: int, same: bool = False) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+def near(a: np.ndarray, b: np.ndarray, radius: int, same: bool = False, part: int = 0, parts: int = 1) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """Index pairs (in a, in b) at most radius apart, and their distances. same: a is b, and each pair of two rows comes once.
-    All but the last word decide for nearly all pairs, as those of unrelated texts alone are further apart."""
+    part, of parts: only a share of them; together the parts give each pair once.
+
+    The bits are cut into chunks, each with a limit; if a pair is over the limit of every chunk, its distance is over the sum of
+    (limit + 1), which is more than radius (Qin et al., 2018, "GPH"). So for each chunk only rows whose bits there are within its
+    limit are compared, in tiles of buckets, and a pair is given by the first chunk that finds it. Where the buckets hold so much of
+    the rows that this saves nothing, all pairs are compared.
+    """
     a, b = np.ascontiguousarray(a.T), np.ascontiguousarray(b.T)
-    rows, cols = 16, 2048
-    xor, count, more = np.empty((rows, cols), U64), np.empty((rows, cols), np.uint8), np.empty((rows, cols), np.uint8)
-    for at in range(0, a.shape[1], rows):
+    pairs = a.shape[1] * b.shape[1] / (1 + same)
+    chunks = _chunks(a.shape[1], b.shape[1], radius, pairs)
+    if len(chunks) < 2:
+        yield from _dense(a, b, radius, same, part, parts)
+        return
+    plan, work = [], 0
+    for at, bits, most in chunks:
+        masks = _masks(bits, most)
+        ka, kb = _bits_at(a, at, bits), _bits_at(b, at, bits)
+        na, nb = np.bincount(ka, minlength=1 << bits), np.bincount(kb, minlength=1 << bits)
+        every = np.arange(1 << bits)
+        work += sum(int(na @ nb[every ^ m]) for m in masks) / (1 + same) + np.count_nonzero(na) * CALL
+        plan.append((masks, na, nb))
+    if work > pairs:
+        yield from _dense(a, b, radius, same, part, parts)
+        return
+    room = _room()
+    for k, (masks, na, nb) in islice(enumerate(plan), part, None, parts):
+        ka, kb = (_bits_at(z, *chunks[k][:2]) for z in (a, b))
+        ra, rb = np.argsort(ka, kind="stable"), np.argsort(kb, kind="stable")
+        sa, sb = np.ascontiguousarray(a[:, ra]), np.ascontiguousarray(b[:, rb])
+        ends_a, ends_b = np.cumsum(na), np.cumsum(nb)
+        for v in np.flatnonzero(na):
+            other = v ^ masks
+            other = other[nb[other] > 0]
+            if same:
+                other = other[other >= v]
+            size = nb[other]
+            total = int(size.sum())
+            if not total:
+                continue
+            # The rows of b's buckets one after another.
+            rows = np.arange(total) + np.repeat(ends_b[other] - np.cumsum(size), size)
+            x0, x1 = ends_a[v] - na[v], ends_a[v]
+            for x, y, d in _dense(sa[:, x0:x1], np.take(sb, rows, 1), radius, room=room):
+                x, y = x0 + x, rows[y]
+                ok = np.ones(len(x), bool)
+                if same:
+                    ok = (ka[ra[x]] != kb[rb[y]]) | (x < y)
+                x, y = ra[x], rb[y]
+                for at, bits, most in chunks[:k]:
+                    ok &= np.bitwise_count(_bits_at(a[:, x], at, bits) ^ _bits_at(b[:, y], at, bits)) > most
+                if ok.any():
+                    yield x[ok], y[ok], d[ok]
+
+
+def _room() -> tuple[np.ndarray, ...]:
+    """What _dense() works in."""
+    return tuple(np.empty(TILE, kind) for kind in (U64, np.uint8, np.uint8, bool))
+
+
+def _dense(a: np.ndarray, b: np.ndarray, radius: int, same: bool = False, part: int = 0, parts: int = 1, room: tuple[np.ndarray, ...] | None = None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """near() by comparing all columns of a with all of b. All but the last word decide for nearly all pairs, as those of
+    unrelated texts alone are further apart."""
+    if not b.shape[1]:
+        return
+    # Tiles as wide as a whole number of eight bytes: where eight pairs at once are too far, none of them is looked at.
+    cols = min(COLUMNS, -(-b.shape[1] // 8) * 8)
+    rows = TILE // cols
+    xor, count, more, close = (z[:rows * cols].reshape(rows, cols) for z in room or _room())
+    for at in range(part * rows, a.shape[1], parts * rows):
         to = min(a.shape[1], at + rows)
         for x in range(at if same else 0, b.shape[1], cols):
             y = min(b.shape[1], x + cols)
-            v, d, e = (z[:to - at, :y - x] for z in (xor, count, more))
+            v, d, e, c = (z[:to - at, :y - x] for z in (xor, count, more, close))
+            close[:to - at, y - x:] = False
             for w in range(WORDS - 1):
                 np.bitwise_xor(a[w, at:to, None], b[w, None, x:y], out=v)
                 np.bitwise_count(v, out=e if w else d)
                 if w:
                     d += e
-            i, j = np.nonzero(d <= radius)
-            if len(i):
+            np.less_equal(d, radius, out=c)
+            some = np.flatnonzero(close[:to - at].reshape(-1).view(U64))
+            if len(some):
+                i, j = np.divmod((some[:, None] * 8 + np.arange(8)).ravel(), cols)
+                i, j = (z[close[i, j]] for z in (i, j))
                 far = d[i, j] + np.bitwise_count(a[-1, at + i] ^ b[-1, x + j])
                 ok = far <= radius
                 if same:
@@ -155,6 +231,40 @@ def near(a: np.ndarray, b: np.ndarray, radius: int, same: bool = False) -> Itera
                     yield at + i[ok], x + j[ok], far[ok]
 
 
+def _chunks(n_a: int, n_b: int, radius: int, pairs: float) -> list[tuple[int, int, int]]:
+    """(first bit, bits, limit) of the chunks by which so many rows of random bits are compared soonest; limits of chunks: their
+    sum is radius + 1 less the number of chunks. A single one if comparing all the pairs costs less."""
+    best, cost = [(0, BITS, radius)], pairs
+    for m in range(max(2, -(-BITS // 16)), min(radius + 1, 48) + 1):
+        out, at = [], 0
+        low, more = divmod(radius + 1 - m, m)
+        for k in range(m):
+            # The wider chunks have the larger limits.
+            bits = BITS // m + (k < BITS % m)
+            out.append((at, bits, low + (k < more)))
+            at += bits
+        hits = [(bits, sum(comb(bits, x) for x in range(most + 1))) for _, bits, most in out]
+        c = sum(pairs * h / 2**bits + min(n_a, 2**bits) * CALL + n_b * h * GATHER * min(1, n_a / 2**bits) for bits, h in hits)
+        if c < cost:
+            best, cost = out, c
+    return best
+
+
+def _masks(bits: int, most: int) -> np.ndarray:
+    """All numbers of so many bits with at most so many ones."""
+    every = np.arange(1 << bits)
+    return every[np.bitwise_count(every) <= most]
+
+
+def _bits_at(f: np.ndarray, at: int, bits: int) -> np.ndarray:
+    """So many bits of each column, from bit at on."""
+    w, k = divmod(at, 64)
+    v = f[w] >> U64(k)
+    if k + bits > 64:
+        v = v | f[w + 1] << U64(64 - k)
+    return (v & U64((1 << bits) - 1)).astype(np.int64)
+
+
 def _columns(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     return t["rep"].to_numpy(), np.stack([t[c].to_numpy().view(U64) for c in FINGER], 1)
 
@@ -226,14 +336,18 @@ def close_pairs(prints: DataFrame, radius: int = RADIUS, forest: bool = False) -
 
     routed = cut(prints.select("rep", *FINGER, "copies").mapInArrow(route, kinds))
     size = {r.leaf: (r.h, r.q) for r in routed.groupBy("leaf").agg(F.sum(F.col("home").cast("int")).alias("h"), F.sum((~F.col("home")).cast("int")).alias("q")).collect()}
-    cells = {k: (max(-(-h // BLOCK), min(SPREAD, -(-h // FEW))), -(-q // (2 * BLOCK))) for k, (h, q) in size.items() if h}
+    cells = {k: (-(-h // BLOCK), -(-q // (2 * BLOCK))) for k, (h, q) in size.items() if h}
     if not cells:
         return spark.createDataFrame([], "a bigint, b bigint, distance double, links bigint")
-    grid = spark.sparkContext.broadcast(cells)
-    groups = sum(h * (h + 1) // 2 + h * q for h, q in cells.values())
+    groups, first = 0, {}
+    for k, (h, q) in cells.items():
+        first[k] = groups
+        groups += h * (h + 1) // 2 + h * q
+    parts = min(PARTS, -(-SPREAD // groups))
+    grid = spark.sparkContext.broadcast((cells, first, _apart(spark, groups * parts)))
 
     def spread(batches):
-        cells = grid.value
+        cells, first, labels = grid.value
         for batch in batches:
             t = pa.Table.from_batches([batch])
             leaf, home = t["leaf"].to_numpy(), t["home"].to_numpy(zero_copy_only=False)
@@ -251,19 +365,26 @@ def close_pairs(prints: DataFrame, radius: int = RADIUS, forest: bool = False) -
                 k = np.flatnonzero(home & (q < qs))
                 rows.append(k), gi.append(own[k]), gj.append(np.full(len(k), -1 - q))
             row = np.concatenate(rows) if rows else np.zeros(0, int)
-            out = t.take(pa.array(row))
-            out = out.append_column("block", pa.array(own[row])).append_column("i", pa.array(np.concatenate(gi) if rows else row)).append_column("j", pa.array(np.concatenate(gj) if rows else row))
-            yield from out.to_batches()
+            i, j = (np.concatenate(z) if rows else row for z in (gi, gj))
+            # The cells of a leaf are numbered: pairs of its blocks, then blocks with blocks of queries.
+            h, q, start = hs[row], qs[row], np.array([first.get(x, 0) for x in leaf], np.int64)[row]
+            cell = start + np.where(j >= 0, i * (i + 1) // 2 + j, h * (h + 1) // 2 + i * q - 1 - j)
+            for p in range(parts):
+                out = t.take(pa.array(row))
+                for name, x in (("block", own[row]), ("i", i), ("j", j), ("part", np.full(len(row), p))):
+                    out = out.append_column(name, pa.array(x.astype(np.int32)))
+                out = out.append_column("cell", pa.array(labels[cell * parts + p], pa.int64()))
+                yield from out.to_batches()
 
     def compare(t: pa.Table) -> pa.Table:
         trim()
         rep, f = _columns(t)
         home, block, copies = t["home"].to_numpy(zero_copy_only=False), t["block"].to_numpy(), t["copies"].to_numpy()
-        i, j = t["i"][0].as_py(), t["j"][0].as_py()
+        i, j, part = (t[x][0].as_py() for x in ("i", "j", "part"))
         A = np.flatnonzero(home & (block == i))
         B = np.flatnonzero(~home) if j < 0 else A if i == j else np.flatnonzero(home & (block == j))
         got, size, links = [], 0, np.zeros(len(rep), np.int64)
-        for x, y, d in near(f[A], f[B], radius, same=i == j):
+        for x, y, d in near(f[A], f[B], radius, i == j, part, parts):
             x, y = A[x], B[y]
             k = rep[x] != rep[y]
             x, y, d = x[k], y[k], d[k]
@@ -283,10 +404,22 @@ def close_pairs(prints: DataFrame, radius: int = RADIUS, forest: bool = False) -
         a, b, d = (np.concatenate(z) for z in zip(*got))
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "distance": pa.array(d, pa.float64()), "links": pa.array(np.concatenate([np.zeros(len(a) - len(k), np.int64), links[k]]))})
 
-    laid = routed.mapInArrow(spread, f"{kinds}, block bigint, i bigint, j bigint")
+    laid = routed.mapInArrow(spread, f"{kinds}, block int, i int, j int, part int, cell bigint")
     # By their number, not by their bytes: a pair of blocks is few bytes and much work.
-    laid = laid.repartition(min(groups, 1 << 16), "leaf", "i", "j")
-    return laid.groupBy("leaf", "i", "j").applyInArrow(compare, "a bigint, b bigint, distance double, links bigint")
+    laid = laid.repartition(min(groups * parts, MANY), "cell")
+    return laid.groupBy("cell").applyInArrow(compare, "a bigint, b bigint, distance double, links bigint")
+
+
+def _apart(spark: SparkSession, n: int) -> np.ndarray:
+    """n labels that a shuffle to n partitions puts in one each; beyond MANY just numbers, as chance spreads these well enough."""
+    if n > MANY:
+        return np.arange(n)
+    found, most = {}, 8 * n + 64
+    while len(found) < n:
+        most *= 2
+        x = spark.range(most).groupBy(F.pmod(F.hash("id"), F.lit(n)).alias("at")).agg(F.min("id").alias("id"))
+        found = {r["at"]: r["id"] for r in x.collect()}
+    return np.array([found[k] for k in range(n)], np.int64)
 
 
 def _nodes(docs: DataFrame, doc_id: str, text: str, radius: int) -> tuple[DataFrame, DataFrame, bool, DataFrame]:

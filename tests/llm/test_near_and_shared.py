@@ -113,6 +113,29 @@ def test_many_copies_are_connected_with_few_edges():
     assert apart == {(i, j) for i in range(50) for j in range(70) if i // 40 == (j + 50) // 40}
 
 
+def test_near_is_exact_and_compares_few_pairs(monkeypatch):
+    """Random rows with copies at every distance about the radius, and rows that crowd in one bucket; blocks apart and one block."""
+    r = np.random.default_rng(1)
+    f = r.integers(0, 1 << 64, (4000, S.WORDS), dtype=np.uint64)
+    f[1:200:2, 0] = f[0, 0]
+    for k in range(2000, 2600):
+        f[k] = f[k - 600]
+        for b in r.choice(S.BITS, 30 + k % 15, replace=False):
+            f[k, b // 64] ^= np.uint64(1) << np.uint64(b % 64)
+    compared, dense = [], S._dense
+    monkeypatch.setattr(S, "CALL", 0)
+    monkeypatch.setattr(S, "_dense", lambda a, b, *more, **kw: compared.append(a.shape[1] * b.shape[1]) or dense(a, b, *more, **kw))
+    d = S.distances(f, f)
+    for same, x, y, want in ((True, f, f, np.triu(d <= S.RADIUS, 1)), (False, f[:2300], f[2300:], d[:2300, 2300:] <= S.RADIUS)):
+        shared = [z for k in range(3) for z in S.near(x, y, S.RADIUS, same, k, 3)]
+        assert sorted((i, j) for p, q, _ in shared for i, j in zip(p, q)) == sorted((i, j) for p, q, _ in S.near(x, y, S.RADIUS, same) for i, j in zip(p, q))
+        compared.clear()
+        got = [(min(i, j), max(i, j), k) if same else (i, j, k) for p, q, e in S.near(x, y, S.RADIUS, same=same) for i, j, k in zip(p.tolist(), q.tolist(), e.tolist())]
+        far = d if same else d[:2300, 2300:]
+        assert sorted(got) == sorted((i, j, int(far[i, j])) for i, j in zip(*(z.tolist() for z in np.nonzero(want)))) and len(got) > 200
+        assert sum(compared) < 0.35 * len(x) * len(y)
+
+
 def test_dropping_keeps_one_of_each_group_and_repeated_rows_once(nasty):
     out = S.drop_near_duplicates(nasty)
     assert out.columns == nasty.columns
