@@ -1,4 +1,5 @@
 import random
+from collections import Counter
 
 import duckdb
 import numpy as np
@@ -56,6 +57,37 @@ def test_language_edges(nasty):
     assert not any(r.keep for r in L.language_id(nasty.withColumn("lang", L.F.lit(None).cast("string"))).collect())
 
 
+def test_all_labelled_texts_are_learnt_from(spark):
+    """Letters, weights and least scores are those of all texts, each once, however they are spread over rows and partitions."""
+    r = random.Random(5)
+    rows = [(i, sentence(g, r), g) for i, g in enumerate(r.choice("aa aa bb cc".split()) for _ in range(500))]
+    # What most texts of a language hold, but no landmark need.
+    rows += [(1000 + i, "zu " + sentence("bb", r), "bb") for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id int, text string, lang string")
+    m = L.train(docs, rows=60)
+    again = L.train(docs.union(docs).repartition(5), rows=60)
+    assert (m.grams == again.grams).all() and (m.weights == again.weights).all() and all((a == b).all() for a, b in zip(m.curve, again.curve))
+    # The same fit by hand: kernel values of all texts with the landmarks, one ridge regression.
+    seen = Counter(c for _, t, _ in rows for c in t.lower() if c.isalpha())
+    assert m.letters.letters == [c for c, _ in sorted(seen.items(), key=lambda x: (-x[1], x[0]))[:L.SYMBOLS - 3]]
+    got = docs.select("lang", L.F.col("text"), L.F.xxhash64("text", L.F.lit(29)).alias("h")).collect()
+    some = sorted((x for x in got if x.h % (1 << 30) / (1 << 30) < 1.3 * 60 / sum(y.lang == x.lang for y in got)), key=lambda x: (x.lang, x.h % (1 << 30), x.text))
+    grams, shown, size = L._marks(some, m.letters, False)
+    lut, flags, k = m.letters.table(), np.zeros(L.SPACE_OF, bool), []
+    for x in got:
+        L.spectrum(x.text, lut, flags)
+        k.append(shown @ flags[grams] / np.sqrt(size * flags.sum()))
+    marks = shown / np.sqrt(size)[:, None]
+    values, vectors = np.linalg.eigh((marks @ marks.T).astype(np.float64))
+    white = vectors[:, values > 1e-8 * values.max()] / np.sqrt(values[values > 1e-8 * values.max()])
+    phi, labels = np.array(k) @ white, np.array([x.lang for x in got])
+    y = np.where(labels[:, None] == np.array(m.languages), 1.0, -1.0)
+    weight = np.array([len(got) / 3 / (labels == g).sum() for g in labels])[:, None]
+    w = np.linalg.solve(phi.T @ (phi * weight) + L.RIDGE * np.eye(phi.shape[1]), phi.T @ (y * weight))
+    s, _ = m.score([x.text for x in got], lut, flags)
+    assert np.abs(s - phi @ w).max() < 0.05 and (m.curve[1] > 0).all() and len(m.curve[0]) > 3
+
+
 UNSEEN = {
     "ru": "Все люди рождаются свободными и равными в своём достоинстве и правах, 10 декабря 1948 года. ", "el": "Όλοι οι άνθρωποι γεννιούνται ελεύθεροι και ίσοι στην αξιοπρέπεια και τα δικαιώματα. ",
     "ar": "يولد جميع الناس أحرارا متساوين في الكرامة والحقوق وقد وهبوا عقلا وضميرا. ", "zh": "人人生而自由,在尊严和权利上一律平等。他们赋有理性和良心,并应以兄弟关系的精神相对待。人人生而自由。 ",
