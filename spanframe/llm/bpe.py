@@ -32,6 +32,60 @@ def pretokens(text: str) -> list[str]:
     return (_FAST if _PLAIN.fullmatch(text) else _EXACT).findall(text)
 
 
+# Of the bytes of plain texts: letters (all beyond ASCII are, in _PLAIN), digits, white space, others.
+_LETTER, _DIGIT, _SPACE, _OTHER = range(4)
+_KIND = np.full(256, _OTHER, np.uint8)
+_KIND[[*range(65, 91), *range(97, 123), *range(128, 256)]] = _LETTER
+_KIND[48:58] = _DIGIT
+_KIND[[9, 10, 13, 32]] = _SPACE
+# Bytes that _PLAIN has no code point for.
+_STRANGE = np.ones(256, bool)
+_STRANGE[[9, 10, 13, *range(32, 127), *range(0x80, 0xC0), *range(0xC3, 0xCA)]] = False
+
+
+def pretoken_starts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """The bytes at which the pretokens() of texts begin. data: their UTF-8 bytes one after another; offsets: of the texts, and the end.
+
+    In texts of _PLAIN, runs of a kind are pre-tokens but for this: the last white space of several before something is
+    one of its own, and goes with what follows if it is a space; a contraction ends within its letters.
+    """
+    n = len(data)
+    if not n:
+        return np.zeros(0, np.int64)
+    kind, edge = _KIND[data], np.zeros(n + 1, bool)
+    edge[offsets] = True
+    out = edge[:n].copy()
+    out[1:] |= kind[1:] != kind[:-1]
+    run = np.flatnonzero(out)
+    stop = np.append(run[1:], n)
+    of, inner = kind[run], ~edge[stop]
+    space = stop[(of == _SPACE) & inner]
+    before = run[(of == _SPACE) & inner]
+    out[space[space - before > 1] - 1] = True
+    out[space[data[space - 1] == 32]] = False
+    k = np.flatnonzero((data[run] == 39) & (stop - run == 1) & inner & out[run])
+    k = k[of[k + 1] == _LETTER]
+    at, end = run[k], stop[k + 1]
+    c, d = data[at + 1], data[np.minimum(at + 2, n - 1)]
+    size = 2 * np.isin(c, np.frombuffer(b"stmd", np.uint8))
+    size += 3 * ((at + 2 < end) & (((c == 114) | (c == 118)) & (d == 101) | (c == 108) & (d == 108)))
+    at, end, size = (z[size > 0] for z in (at, end, size))
+    out[at + 1] = False
+    more = at + size < end
+    out[(at + size)[more]] = True
+    strange = _STRANGE[data]
+    lead = (data >= 0xC3) & (data <= 0xC9)
+    tail = (data >= 0x80) & (data < 0xC0)
+    strange[1:] |= tail[1:] != lead[:-1]
+    strange[1:] |= (data[:-1] == 0xC3) & ((data[1:] == 0x97) | (data[1:] == 0xB7)) | (data[:-1] == 0xC9) & (data[1:] > 0x8F)
+    for r in np.unique(np.searchsorted(offsets, np.flatnonzero(strange), "right") - 1).tolist():
+        a, b = int(offsets[r]), int(offsets[r + 1])
+        out[a:b] = False
+        size = np.fromiter((len(w.encode()) for w in pretokens(data[a:b].tobytes().decode())), np.int64)
+        out[a + np.cumsum(size) - size] = True
+    return np.flatnonzero(out)
+
+
 class Vocabulary:
     """Ranks of byte sequences and the table of pairs that merge; small and of a fixed size, so it can be broadcast."""
 

@@ -14,7 +14,6 @@ runs. Where they differ the job ends with an error and no wrong rows; write such
 
 from __future__ import annotations
 
-from array import array
 from collections.abc import Iterator
 from itertools import islice
 
@@ -26,13 +25,15 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanframe.llm.bpe import Vocabulary, default_vocabulary, pretokens
-from spanframe.llm.common import fresh, trim
+from spanframe.llm.bpe import Vocabulary, default_vocabulary, pretoken_starts
+from spanframe.llm.common import U64, fresh, mix, powers, text_bytes, text_chunks, trim
 
 #: Bytes of text a bucket of the word shuffle stands for. More buckets come with more text, so none outgrows a task.
 BUCKET_BYTES = 8 << 20
 #: Bytes of text after which a task begins another block.
 BLOCK_BYTES = 32 << 20
+#: Bytes of text whose words a block numbers at once.
+NUMBER_BYTES = 4 << 20
 
 
 def _pack(*arrays: np.ndarray) -> bytes:
@@ -56,77 +57,101 @@ def _unpack(data: bytes, n: int) -> tuple[list[np.ndarray], bytes]:
     return out, data[at:]
 
 
-class _Numbers(dict):
-    """Numbers its keys in the order they come."""
+def _binary(data: np.ndarray, offsets: np.ndarray) -> pa.Array:
+    return pa.Array.from_buffers(pa.large_binary(), len(offsets) - 1, [None, pa.py_buffer(np.ascontiguousarray(offsets, np.int64)), pa.py_buffer(data)])
 
-    def __missing__(self, key: str) -> int:
-        n = self[key] = len(self)
-        return n
+
+def _distinct(words: list[pa.Array]) -> tuple[np.ndarray, pa.Array]:
+    """For each word its place in the second array: the different words in the order they come."""
+    made = pa.chunked_array(words, pa.large_binary()).combine_chunks().dictionary_encode()
+    return made.indices.to_numpy(), made.dictionary
+
+
+def _hashes(words: pa.Array) -> np.ndarray:
+    """64-bit hashes of the words' bytes, whatever else is in the array."""
+    out = [np.zeros(0, U64)]
+    for _, part in text_chunks(words):
+        data, offs = text_bytes(part)
+        up, down = powers(len(data) + 1)
+        total = np.zeros(len(data) + 1, U64)
+        np.cumsum((data.astype(U64) + U64(1)) * up[:len(data)], out=total[1:])
+        out.append(mix((total[offs[1:]] - total[offs[:-1]]) * down[offs[:-1]]))
+    return np.concatenate(out)
 
 
 class _Block:
     """Documents whose words are numbered together."""
 
     def __init__(self):
-        self.numbers, self.flow, self.sizes, self.rows, self.bytes = _Numbers(), array("I"), [], [], 0
+        self.words, self.flow, self.sizes, self.rows, self.bytes = [], [], [], [], 0
         self.digest = xxhash.xxh64()
 
-    def add(self, rows: pa.RecordBatch, texts: list[str | None]) -> None:
+    def add(self, rows: pa.RecordBatch, texts: pa.Array) -> None:
         self.rows.append(rows)
-        number = self.numbers.__getitem__
-        for t in texts:
-            if t is None:
-                self.sizes.append(0xFFFFFFFF)
-                self.digest.update(b"\xff")
-                continue
-            ws = pretokens(t)
-            self.flow.extend(map(number, ws))
-            self.sizes.append(len(ws))
-            raw = t.encode()
-            self.digest.update(raw)
-            self.bytes += len(raw)
+        words, held = [], 0
+        for _, part in text_chunks(texts):
+            data, offs = text_bytes(part)
+            starts = pretoken_starts(data, offs)
+            none = part.is_null().to_numpy(zero_copy_only=False)
+            size = np.diff(np.searchsorted(starts, offs)).astype(np.uint32)
+            size[none] = 0xFFFFFFFF
+            self.sizes.append(size)
+            for x in (none, np.diff(offs), data):
+                self.digest.update(np.ascontiguousarray(x))
+            self.bytes += len(data)
+            words.append(_binary(data, np.append(starts, len(data))))
+            held += len(data)
+            if held >= NUMBER_BYTES:
+                self._number(words)
+                words, held = [], 0
+        self._number(words)
+
+    def _number(self, words: list[pa.Array]) -> None:
+        """Keep the different words, and the places in them of all."""
+        own, distinct = _distinct(words)
+        self.flow.append(own), self.words.append(distinct)
 
     def pieces(self, task: int, k: int, buckets: int):
         """(key, block, bucket, data): the payload with bucket -1, and the packed words of each bucket."""
         self.digest.update(task.to_bytes(8, "little") + k.to_bytes(8, "little"))
         block = int.from_bytes(self.digest.digest(), "little", signed=True)
-        n, flow = len(self.numbers), np.frombuffer(self.flow, np.uint32) if self.flow else np.zeros(0, np.uint32)
+        number, distinct = _distinct(self.words)
+        number = np.split(number, np.cumsum([len(w) for w in self.words])[:-1])
+        n, flow = len(distinct), np.concatenate([x[own] for x, own in zip(number, self.flow)])
+        self.words, self.flow = [], []
         order = np.argsort(-np.bincount(flow, minlength=n), kind="stable")
         rank = np.empty(n, np.uint32)
         rank[order] = np.arange(n, dtype=np.uint32)
-        words = [w.encode() for w in self.numbers]
-        self.numbers = _Numbers()
-        words = [words[i] for i in order]
-        sizes = np.fromiter(map(len, words), np.int64, n)
-        bucket = np.fromiter((xxhash.xxh64_intdigest(w) % buckets for w in words), np.int64, n)
+        bucket = (_hashes(distinct)[order] % U64(buckets)).astype(np.int64)
         by = np.argsort(bucket, kind="stable")
         cuts = np.flatnonzero(np.diff(bucket[by], prepend=-1))
+        data, offs = text_bytes(distinct.take(pa.array(order[by])))
+        sizes = np.diff(offs)
         sink = pa.BufferOutputStream()
         table = pa.Table.from_batches(self.rows)
         with pa.ipc.new_stream(sink, table.schema) as w:
             w.write_table(table)
         meta = zstandard.compress(sink.getvalue().to_pybytes(), 1)
-        yield block % buckets, block, -1, _pack(rank[flow] if n else flow, np.array(self.sizes, np.uint32), np.array([len(cuts)], np.uint32)) + meta
+        yield block % buckets, block, -1, _pack(rank[flow], np.concatenate([np.zeros(0, np.uint32), *self.sizes]), np.array([len(cuts)], np.uint32)) + meta
         for a, b in zip(cuts, np.append(cuts[1:], n)):
             own = by[a:b]
-            raw = zstandard.compress(b"".join([words[i] for i in own]), 1)
-            yield int(bucket[own[0]]), block, int(bucket[own[0]]), _pack(np.diff(own, prepend=0), sizes[own]) + raw
+            raw = zstandard.compress(data[offs[a]:offs[b]].tobytes(), 1)
+            yield int(bucket[own[0]]), block, int(bucket[own[0]]), _pack(np.diff(own, prepend=0), sizes[a:b]) + raw
 
 
 def _encode_bucket(vocabulary: Vocabulary, rows: list[tuple[int, bytes]]):
     """(block, packed ids) of the blocks' words of one bucket; a word is encoded once however many blocks have it."""
-    seen, own = _Numbers(), []
+    gaps, words = [], []
     for _, data in rows:
-        (gaps, sizes), raw = _unpack(data, 2)
-        raw = zstandard.decompress(raw) if len(raw) else b""
-        ends = np.cumsum(sizes, dtype=np.int64).tolist()
-        own.append((gaps, np.fromiter((seen[raw[a:b]] for a, b in zip([0, *ends], ends)), np.int64, len(ends))))
-    offsets = np.zeros(len(seen) + 1, np.int64)
-    np.cumsum(np.fromiter(map(len, seen), np.int64, len(seen)), out=offsets[1:])
-    ids, at = vocabulary.encode(np.frombuffer(b"".join(seen), np.uint8), offsets)
-    for (block, _), (gaps, k) in zip(rows, own):
+        (g, sizes), raw = _unpack(data, 2)
+        gaps.append(g)
+        words.append(_binary(np.frombuffer(zstandard.decompress(raw), np.uint8), np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])))
+    own, distinct = _distinct(words)
+    own = np.split(own, np.cumsum([len(w) for w in words])[:-1])
+    ids, at = vocabulary.encode(*text_bytes(distinct))
+    for (block, _), g, k in zip(rows, gaps, own):
         size = at[k + 1] - at[k]
-        yield block, _pack(gaps, size, _ragged(ids, at[k], size))
+        yield block, _pack(g, size, _ragged(ids, at[k], size))
 
 
 def _ragged(values: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -169,7 +194,7 @@ def encode_decode(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = (
             # Copied: a column as it comes would hold on to its whole batch, the texts with it.
             texts, rest = batch.column(0), batch.select(names).take(pa.array(np.arange(len(batch))))
             for at in range(0, len(texts), 1024):
-                b.add(rest.slice(at, 1024), texts.slice(at, 1024).to_pylist())
+                b.add(rest.slice(at, 1024), texts.slice(at, 1024))
                 if b.bytes >= BLOCK_BYTES:
                     yield from out(b.pieces(task, k, buckets))
                     k, b = k + 1, _Block()

@@ -4,8 +4,10 @@ import pyarrow as pa
 import pytest
 import tiktoken
 
-from spanframe.llm.bpe import PATTERN, Vocabulary, default_vocabulary, pretokens
-from spanframe.llm.bpe_codec import encode_decode
+from spanframe.llm import bpe
+from spanframe.llm.bpe import PATTERN, Vocabulary, default_vocabulary, pretoken_starts, pretokens
+from spanframe.llm.bpe_codec import _Block, encode_decode
+from spanframe.llm.common import text_bytes
 from spanframe.llm.token_counts import count_texts, token_counts
 
 
@@ -31,6 +33,34 @@ def test_encode_is_the_reference_encoding(vocabulary, reference):
         assert ids.tolist() == reference.encode_ordinary(t)
 
 
+def starts(texts):
+    out, at = [], 0
+    for t in texts:
+        for w in pretokens(t):
+            out.append(at)
+            at += len(w.encode())
+    return out
+
+
+def test_starts_are_those_of_the_pretokens():
+    r = random.Random(7)
+    letters = ["abst're lvm'd \n\t!é0", "' srevlmtd", "ab 1.\n é×÷ɏɐ'", "日本 a's　½\x1c\x85", "ab  \t\r\n'", "aé_'9 s\x7f\x0b\xa0"]
+    some = [["".join(r.choice(r.choice(letters) if r.random() < 0.1 else own) for _ in range(r.randint(0, 12))) for _ in range(r.randint(1, 6))] for own in letters for _ in range(500)]
+    for t in [*some, texts(), ["'r", "e", "x'", "s", " ", " a"], [chr(c) + "a" + chr(c) for c in range(0x2100)], [""], []]:
+        assert pretoken_starts(*text_bytes(pa.array(t, pa.string()))).tolist() == starts(t)
+
+
+def test_plain_words_are_numbered_without_being_objects(monkeypatch):
+    # One object a pre-token was most of what the codec took.
+    monkeypatch.setattr(bpe, "pretokens", None)
+    t = ["it's  a déjà vu\n", None, "", "it's all"] * 300
+    b = _Block()
+    b.add(pa.record_batch({"k": range(len(t))}), pa.array(t))
+    out = list(b.pieces(0, 0, 5))
+    assert b.bytes == sum(len(x.encode()) for x in t if x) and out[0][2] == -1
+    assert sorted(k for _, _, k, _ in out[1:]) == sorted({k for _, _, k, _ in out[1:]})
+
+
 def test_counts(vocabulary, reference):
     n, p = count_texts(pa.array([*texts(), None]), vocabulary, {})
     assert n.tolist() == [len(reference.encode_ordinary(t)) for t in texts()] + [0]
