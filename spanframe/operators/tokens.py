@@ -2,10 +2,16 @@
 
 A token is text, has_space (one space follows and belongs to no token) and idx, its offset. The flat form is made after the
 documents are partitioned by doc_id, once: windows, groups and joins by doc_id that come later need no further exchange.
+The nested form is cut from a document's text within its row, without any exchange.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -49,8 +55,80 @@ def from_words(words: DataFrame) -> DataFrame:
     return x.withColumn("idx", F.coalesce(F.sum(F.length("text") + F.col("has_space").cast("int")).over(before()), F.lit(0)).cast("int"))
 
 
+#: Bytes of text that are cut at a time; it bounds memory only.
+CUT_BYTES = 2 << 20
+TOKEN = "struct<i:int,text:string,has_space:boolean,idx:int>"
+_ASCII_WS = np.zeros(256, bool)
+_ASCII_WS[[*range(9, 14), 32]] = True
+_WIDE_WS = np.array([0xE19A80, *range(0xE28080, 0xE2808B), 0xE280A8, 0xE280A9, 0xE280AF, 0xE2819F, 0xE38080])
+
+
+def parts(texts: pa.Array, most: int = CUT_BYTES) -> Iterator[pa.Array]:
+    """The array in slices of about so many bytes, at least one row each."""
+    if not len(texts):
+        return
+    size = np.cumsum(np.asarray(pa.compute.fill_null(pa.compute.binary_length(texts), 0)), dtype=np.int64)
+    at = 0
+    while at < len(texts):
+        end = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + most, "right")))
+        yield texts.slice(at, end - at)
+        at = end
+
+
+def cut(texts: pa.Array) -> pa.Array:
+    """The tokens of each text as flat() makes them, by whole arrays of bytes; null stays null."""
+    a = texts.cast(pa.large_string()).fill_null("")
+    bounds = np.frombuffer(a.buffers()[1], np.int64, len(a) + a.offset + 1)[a.offset:]
+    b = np.frombuffer(a.buffers()[2], np.uint8)[bounds[0]:bounds[-1]] if bounds[-1] > bounds[0] else np.zeros(0, np.uint8)
+    bounds = bounds - bounds[0]
+    space = _ASCII_WS[b]
+    two = np.flatnonzero(b == 0xC2)
+    two = two[np.isin(b[two + 1], (0x85, 0xA0))]
+    wide = np.flatnonzero((b >= 0xE1) & (b <= 0xE3))
+    wide = wide[np.isin((b[wide].astype(np.int32) << 16) | (b[wide + 1].astype(np.int32) << 8) | b[wide + 2], _WIDE_WS)]
+    for at in (two, two + 1, wide, wide + 1, wide + 2):
+        space[at] = True
+    start = np.zeros(len(b) + 1, bool)
+    start[bounds[:-1]] = True
+    after = np.flatnonzero(space[1:] & ~space[:-1]) + 1
+    after = after[~start[after]]
+    one = b[after] == 32
+    taken = np.zeros(len(b), bool)
+    taken[after[one]] = True
+    start[after[~one]] = start[after[one] + 1] = True
+    start[np.flatnonzero(~space[1:] & space[:-1]) + 1] = True
+    starts = np.flatnonzero(start[:-1])
+    spaced = taken[np.append(starts[1:], len(b)) - 1] if len(starts) else np.zeros(0, bool)
+    offsets = np.concatenate([starts, [len(b)]]) - np.concatenate([[0], np.cumsum(spaced)])
+    first = np.searchsorted(starts, bounds)
+    many = np.diff(first)
+    chars = np.concatenate([[0], np.cumsum((b & 0xC0) != 0x80)])
+    idx = chars[starts] - np.repeat(chars[bounds[:-1]], many)
+    i = np.arange(len(starts)) - np.repeat(first[:-1], many)
+    words = pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer(np.ascontiguousarray(offsets, np.int64)), pa.py_buffer(b[~taken].tobytes())).cast(pa.string())
+    rows = pa.StructArray.from_arrays([pa.array(i.astype(np.int32)), words, pa.array(spaced), pa.array(idx.astype(np.int32))], ["i", "text", "has_space", "idx"])
+    return pa.compute.if_else(texts.is_null(), None, pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), rows))
+
+
+def token_array(text: Column) -> Column:
+    """ARRAY of a text's tokens, a few megabytes of text at a time."""
+
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            yield from map(cut, parts(batch))
+
+    return F.arrow_udf(run, f"array<{TOKEN}>")(text)
+
+
+def nested(docs: DataFrame, *keep: str, empty: bool = False) -> DataFrame:
+    """(doc_id, kept columns, tokens): nest(flat(docs)), made in each document's row. empty: also documents without tokens."""
+    x = docs if empty else docs.where("text <> ''")
+    return x.select("doc_id", *keep, token_array(F.col("text")).alias("tokens"))
+
+
 def nest(tokens: DataFrame) -> DataFrame:
-    """(doc_id, tokens): the flat table's columns as an array in the order of i."""
+    """(doc_id, tokens): the flat table's columns as an array in the order of i. Tokens are sorted for it; nested() makes
+    the same of texts without."""
     names = [c for c in tokens.columns if c not in ("doc_id", "i")]
     return tokens.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("i", *names))).alias("tokens"))
 

@@ -54,7 +54,9 @@ def tokens_basic(spark, sf_dir):
 
 @query("SELECT doc_id, length(text)::BIGINT AS n_chars, md5(text) AS digest FROM documents")
 def doc_text_roundtrip(spark, sf_dir):
-    return T.doc_text(T.flat(documents(spark, sf_dir), offsets=False)).select("doc_id", F.length("text").cast("bigint").alias("n_chars"), F.md5("text").alias("digest"))
+    """The texts put together from their tokens again; a text without tokens is one, too."""
+    d = T.nested(documents(spark, sf_dir), empty=True).select("doc_id", T.text_of(F.col("tokens")).alias("text"))
+    return d.select("doc_id", F.length("text").cast("bigint").alias("n_chars"), F.md5("text").alias("digest"))
 
 
 @query(f"WITH {TOKENS} SELECT lang, count(*) AS n, sum(has_space::INT)::BIGINT AS spaced FROM tok GROUP BY lang")

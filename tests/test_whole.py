@@ -28,3 +28,21 @@ def run(spark, tmp_path):
 def test_constraint_errors_of_documents_with_tokens(run):
     short, both = "invalid constraint range", "overlapping constraint"
     assert run("constraints_errors") == [(1, both), (2, short), (3, short)]
+
+
+def test_texts_without_tokens_come_back(run):
+    got = run("doc_text_roundtrip")
+    assert [r[:2] for r in got] == [(0, 0), (1, 9), (2, 4), (3, 1), (4, None)] and got[0][2] == "d41d8cd98f00b204e9800998ecf8427e"
+
+
+def test_tokens_cut_by_bytes_are_those_of_the_definition(spark):
+    r = random.Random(1)
+    letters = "ab é 日　  \u0085 \n\t \U0001F600.ſ‐"
+    texts = [None, ""] + ["".join(r.choice(letters) for _ in range(r.choice([0, 1, 2, 5, 30]))) for _ in range(300)]
+    want = [None if t is None else [(i, *x[:3]) for i, x in enumerate(X.tokenize(t, X.Config()))] for t in texts]
+    for most in (1, 40, 1 << 20):
+        got = [x for p in T.parts(pa.array(["left out", *texts])[1:], most) for x in T.cut(p).to_pylist()]
+        assert [None if x is None else [tuple(t.values()) for t in x] for x in got] == want
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    a, b = T.nested(docs), T.nest(T.flat(docs))
+    assert a.dtypes == b.dtypes and sorted(a.collect()) == sorted(b.collect()) and T.nested(docs, empty=True).count() == len(texts)
