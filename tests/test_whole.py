@@ -2,13 +2,16 @@
 
 import random
 
+import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from spanframe.functions import ids
 from spanframe.operators import regex_tokenizer as X
 from spanframe.operators import tokens as T
 from spanframe.plans import catalog
+from spanframe.sources import docbin
 
 TEXTS = ["", "a b c d e", "12 x", " ", None]
 
@@ -50,3 +53,23 @@ def test_tokens_cut_by_bytes_are_those_of_the_definition(spark):
 
 def test_entity_lines_of_documents_with_tokens(run):
     assert run("jsonl_entities") == [(1, "en", 0), (2, "en", 1), (3, "en", 0)]
+
+
+def test_containers_stay_within_their_limits(spark):
+    r, limits = random.Random(2), docbin.Limits(tokens=60, documents=4, decompressed=5000)
+    docs = [(k % 2, k, [[r.randrange(1 << 40), k] for _ in range(r.choice([0, 3, 20, 40]))]) for k in range(40)]
+    table = spark.createDataFrame([(p, k, t, [True] * len(t)) for p, k, t in docs], "part bigint, doc_id bigint, tokens array<array<bigint>>, spaces array<boolean>")
+    packed = docbin.pack_documents(docbin.in_order(table), [65, 71], limits=limits).collect()
+    got = {0: [], 1: []}
+    for p, content in packed:
+        got[p] += [d["tokens"].tolist() for d in docbin.decode(bytes(content), limits)[1]]
+    assert len(packed) > 12 and {p: sorted(x) for p, x in got.items()} == {p: sorted(t for q, _, t in docs if q == p) for p in (0, 1)}
+    with pytest.raises(Exception, match="over the limit"):
+        docbin.pack_documents(table.where("doc_id < 0").unionByName(spark.createDataFrame([(0, 1, [[1, 1]] * 61, [True] * 61)], table.schema)), [65, 71], limits=limits).collect()
+
+
+def test_ids_of_arrays(spark):
+    words = ["", "NOUN", "FLAG19", "FLAG7", "DEPRECATED005", "word", "word", "Zoë", "x" * 30]
+    a = spark.createDataFrame([(words,), ([],), (None,), (words[:2],)], "w array<string>").select(ids.string_ids(F.col("w")).alias("k")).collect()
+    want = [int(np.uint64(ids.string_id_of(w)).astype(np.int64)) for w in words]
+    assert [r.k for r in a] == [want, [], None, want[:2]]
