@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spanframe.functions.ids import string_id_of
+from spanframe.operators.tokens import parts
 
 FORMAT = 1
 TOKEN = "struct<text:string,has_space:boolean,idx:int,norm:string>"
@@ -223,6 +224,7 @@ class _Pieces(dict):
 def token_array(text: Column, config: Config) -> Column:
     """ARRAY of tokens; null stays null.
 
+    Texts go by a few megabytes at a time, however large the batches are.
     A document is the numbers of its pieces, each of which is cut once; the tokens' columns are gathered from the pieces' by
     arrays. Only where an exception with white space in it may be in a text are its tokens looked through together.
     """
@@ -231,7 +233,7 @@ def token_array(text: Column, config: Config) -> Column:
 
     def run(it: Iterator[pa.Array]) -> Iterator[pa.Array]:
         known = _Pieces(config)
-        for batch in it:
+        for batch in (p for b in it for p in parts(b)):
             if len(known.texts) > REMEMBERED:
                 known = _Pieces(config)
             number, flow, ends = known.__getitem__, array("q"), []
