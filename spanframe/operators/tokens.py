@@ -15,6 +15,8 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from spanframe.functions.kernels import let
+
 WS = r"\p{IsWhite_Space}"
 PIECES = rf"[^{WS}]+ ?|{WS}+"
 
@@ -138,6 +140,23 @@ def flatten(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.inline("tokens"))
 
 
+def mark(tokens: DataFrame, spans: DataFrame, into: str = "mark") -> DataFrame:
+    """tokens with the span (a struct of its columns) that covers each, or null. spans: (doc_id, start, end, ..) that don't overlap
+    within a document.
+
+    A document's spans are one row, with the number of the span that each token has as an array: a hash join by doc_id, for
+    which a table that is partitioned by it is neither moved nor sorted.
+    """
+    names = [c for c in spans.columns if c not in ("doc_id", "start")]
+    own = spans.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("start", *names))).alias("_spans"))
+    gap = lambda s, k: s["start"] - F.when(k > 0, F.get("_spans", k - 1)["end"]).otherwise(0)
+    runs = F.transform("_spans", lambda s, k: F.concat(F.array_repeat(F.lit(0), gap(s, k)), F.array_repeat(k + 1, s["end"] - s["start"])))
+    own = own.withColumn("_numbers", F.flatten(runs)).hint("shuffle_hash")
+    n = F.coalesce(F.get("_numbers", F.col("i")), F.lit(0))
+    x = tokens.join(own, "doc_id", "left")
+    return x.select(*tokens.columns, F.when(n > 0, F.get("_spans", n - 1)).alias(into))
+
+
 def text_of(tokens: Column) -> Column:
     """The text of nested tokens, the last one's space included."""
     return F.array_join(F.transform(tokens, lambda t: F.concat(t["text"], F.when(t["has_space"], F.lit(" ")).otherwise(F.lit("")))), "")
@@ -184,23 +203,31 @@ def char_span(tokens: Column, a: Column, b: Column, mode: str) -> Column:
         return F.when(x.isNotNull() & y.isNotNull(), F.struct(x.cast("int").alias("start"), y.cast("int").alias("end")))
 
     if mode == "strict":
-        both = where(lambda s, e, i: (s == a) | (e == b))
-        first = number(F.filter(both, lambda t: t["idx"] == a), 1)
-        last = number(F.filter(both, lambda t: (t["idx"] + F.length(t["text"]) == b) & (t["idx"] >= a)), 1)
-        return F.when(sane & (a != b), pair(first, last + 1)).otherwise(F.lit(None).cast(kind))
+        def ends(both: Column) -> Column:
+            first = number(F.filter(both, lambda t: t["idx"] == a), 1)
+            return pair(first, number(F.filter(both, lambda t: (t["idx"] + F.length(t["text"]) == b) & (t["idx"] >= a)), 1) + 1)
+
+        return F.when(sane & (a != b), let(where(lambda s, e, i: (s == a) | (e == b)), ends)).otherwise(F.lit(None).cast(kind))
+    # What a pass over the tokens finds is named by let(), as else each mention of it would be a pass.
     if mode == "contract":
-        hit = where(lambda s, e, i: (s >= a) & (e <= b))
-        return F.when(sane & (a != b), pair(number(hit, 1), number(hit, -1) + 1)).otherwise(F.lit(None).cast(kind))
+        inside = let(where(lambda s, e, i: (s >= a) & (e <= b)), lambda hit: pair(number(hit, 1), number(hit, -1) + 1))
+        return F.when(sane & (a != b), inside).otherwise(F.lit(None).cast(kind))
     if mode != "expand":
         raise ValueError(f"no such alignment: {mode}")
+
+    def empty(after: Column) -> Column:
+        anchor, at = F.coalesce(after["i"], n), F.coalesce(after["idx"], size)
+        prior = F.try_element_at(tokens, F.greatest(anchor, F.lit(1)))
+        ended = F.when(anchor == 0, 0).otherwise(prior["idx"] + F.length(prior["text"]))
+        none = ((anchor == 0) & (b == 0)) | (a < ended) | (b > at) | ((anchor == n) & (a == size))
+        return F.when(~none, pair(anchor, anchor))
+
+    def touched(hit: Column) -> Column:
+        after = F.try_element_at(where(lambda s, e, i: s >= b), F.lit(1))
+        return F.when(F.size(hit) > 0, pair(number(hit, 1), number(hit, -1) + 1)).otherwise(let(after, empty))
+
     hit = where(lambda s, e, i: F.when(a == b, (s < a) & (e > a)).otherwise((e > a) & (s < b)))
-    after = F.try_element_at(where(lambda s, e, i: s >= b), F.lit(1))
-    anchor, at = F.coalesce(after["i"], n), F.coalesce(after["idx"], size)
-    prior = F.try_element_at(tokens, F.greatest(anchor, F.lit(1)))
-    ended = F.when(anchor == 0, 0).otherwise(prior["idx"] + F.length(prior["text"]))
-    none = ((anchor == 0) & (b == 0)) | (a < ended) | (b > at) | ((anchor == n) & (a == size))
-    empty = F.when(~none, pair(anchor, anchor))
-    return F.when(sane, F.when(F.size(hit) > 0, pair(number(hit, 1), number(hit, -1) + 1)).otherwise(empty)).otherwise(F.lit(None).cast(kind))
+    return F.when(sane, let(hit, touched)).otherwise(F.lit(None).cast(kind))
 
 
 def byte_offset(text: Column, n: Column) -> Column:

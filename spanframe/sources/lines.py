@@ -42,6 +42,12 @@ def token_lines(tokens: DataFrame) -> DataFrame:
     return g.select("doc_id", F.to_json(F.struct(F.transform("l", lambda s: s["t"]).alias("tokens"))).alias("value"))
 
 
+def nested_token_lines(docs: DataFrame) -> DataFrame:
+    """token_lines() of tokens that are an array already."""
+    have = [c for c in TOKEN_FIELDS if c in docs.schema["tokens"].dataType.elementType.names]
+    return docs.select("doc_id", F.to_json(F.struct(F.transform("tokens", lambda t: F.struct(*[t[c].alias(c) for c in have])).alias("tokens"))).alias("value"))
+
+
 def token_listing(tokens: DataFrame) -> DataFrame:
     return tokens.select("doc_id", F.col("i").alias("index"), F.col("idx").alias("start"), (F.col("idx") + F.length("text")).alias("end"), "text")
 
