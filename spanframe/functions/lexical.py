@@ -5,6 +5,7 @@ Patterns are Java's: classes are spelt as Unicode properties, and \\z is used fo
 
 from __future__ import annotations
 
+import re
 import unicodedata
 
 from pyspark.sql import Column
@@ -59,6 +60,18 @@ def shape(t: Column) -> Column:
     return _shape(t, DIGIT)
 
 
+def has_shape(t: Column, value: str) -> Column:
+    """shape(t) == value. Each character of a shape stands for one of the text, and all but X, x and d for themselves, so most
+    texts are told apart before any class is looked up."""
+    if value == "LONG":
+        return F.length(t) >= 100
+    runs = re.search(r"(?s)(.)\1{3}", value)
+    test = F.length(t) >= len(value) if runs else F.length(t) == len(value)
+    for c in dict.fromkeys(c for c in value if c not in "Xxd"):
+        test = test & t.contains(c)
+    return test & (shape(t) == value)
+
+
 def encoder_shape(t: Column) -> Column:
     """The encoder's shape: only ASCII digits become d."""
     return _shape(t, "[0-9]")
@@ -130,7 +143,7 @@ def is_stop(t: Column, words) -> Column:
 
 def like_email(t: Column) -> Column:
     """A match at the beginning is enough: what follows the address doesn't matter."""
-    return t.rlike(r"\A[a-zA-Z0-9_.+-]+@[a-zA-Z0-9-]+\.[a-zA-Z0-9-.]+")
+    return t.contains("@") & t.rlike(r"\A[a-zA-Z0-9_.+-]+@[a-zA-Z0-9-]+\.[a-zA-Z0-9-.]+")
 
 
 def has_digit(t: Column) -> Column:
@@ -141,13 +154,16 @@ def has_digit(t: Column) -> Column:
 def like_num(t: Column, english: bool = True) -> Column:
     """One sign in front and any commas and points don't count. Regular expressions are only run on tokens with a digit."""
     signed = F.substring(t, 1, 1).isin("+", "-", "±", "~")
-    compact = F.translate(F.when(signed, F.substring(t, F.lit(2), F.length(t))).otherwise(t), ",.", "")
+    # Most tokens have nothing to take away and nothing to make small, and translate() goes by characters.
+    whole = F.when(signed, F.substring(t, F.lit(2), F.length(t))).otherwise(t)
+    compact = F.when(t.contains(",") | t.contains("."), F.translate(whole, ",.", "")).otherwise(whole)
     plain = compact.rlike(rf"\A{DIGIT}+(?:/{DIGIT}+)?\z")
     if not english:
         return has_digit(t) & plain
     # ASCII lower case only.
-    low = F.translate(compact, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    return F.when(has_digit(t), plain | low.rlike(rf"\A{DIGIT}+(?:st|nd|rd|th)\z")).otherwise(low.isin(*CARDINALS, *ORDINALS))
+    words, low = (*CARDINALS, *ORDINALS), F.translate(compact, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    named = F.when(t.rlike("[A-Z]"), low.isin(*words)).otherwise(compact.isin(*words))
+    return F.when(has_digit(t), plain | compact.rlike(rf"\A{DIGIT}+(?:[sS][tT]|[nNrR][dD]|[tT][hH])\z")).otherwise(named)
 
 
 def is_public_ipv4(t: Column) -> Column:

@@ -129,7 +129,7 @@ def _strings(value, what: str) -> list[str]:
 def compare_string(name: str, value) -> Column:
     a = attribute(name)
     if isinstance(value, str):
-        return a == value
+        return lexical.has_shape(F.col("text"), value) if name == "SHAPE" else a == value
     if not isinstance(value, dict) or len(value) != 1:
         raise ValueError(f"{name} needs one comparison")
     ((op, v),) = value.items()
@@ -220,6 +220,12 @@ def compile_test(test: dict) -> Column:
     return F.coalesce(reduce(lambda a, b: a & b, out), F.lit(False)) if out else F.lit(True)
 
 
+def apart(test: Column) -> Column:
+    """The same, but what computes it isn't fused into one method for the whole stage. The tests of some rules make that larger
+    than the JVM compiles, and it is interpreted then; unfused, expressions are cut into small methods."""
+    return F.transform(F.array(F.lit(0)), lambda _: test)[0]
+
+
 def attribute_id(name: str) -> Column:
     """An attribute's value as bundles compare it: a string's id, a number or a truth value."""
     if name in BOOLEANS:

@@ -9,6 +9,8 @@ from __future__ import annotations
 from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
+from operator import or_
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -16,8 +18,8 @@ from pyspark.sql import functions as F
 
 from spanframe.functions.ids import string_id
 from spanframe.operators.patterns import BOOLEANS as _BOOLEANS
-from spanframe.operators.patterns import Pattern, attribute, attribute_id, compile_test, flag, normalize, signed
-from spanframe.operators.tokens import by_doc
+from spanframe.operators.patterns import Pattern, apart, attribute, attribute_id, compile_test, flag, normalize, signed
+from spanframe.operators.tokens import by_doc, mark
 
 #: Attributes that phrases can be compared by.
 PHRASE_ATTRIBUTES = ("ORTH", "LOWER", "NORM", "SHAPE", "LENGTH", "LEMMA", "POS", "TAG", "DEP", "ENT_IOB", "ENT_TYPE", "ENT_ID", "ENT_KB_ID", "MORPH", *_BOOLEANS)
@@ -89,7 +91,7 @@ def token_matches(tokens: DataFrame, pattern: Pattern, priority: int = 0) -> Dat
     a distinct. Only starts whose first tokens fit enter it.
     """
     names = [f"m{k}" for k in range(len(pattern.steps))]
-    marked = tokens.select("doc_id", "i", *[compile_test(s.test).alias(m) for m, s in zip(names, pattern.steps)])
+    marked = tokens.select("doc_id", "i", *[(compile_test(s.test) if k else apart(compile_test(s.test))).alias(m) for k, (m, s) in enumerate(zip(names, pattern.steps))])
     # From the last token backwards, as a frame that only grows is kept, not computed again for each row.
     ahead = Window.partitionBy("doc_id").orderBy(F.desc("i")).rowsBetween(Window.unboundedPreceding, 0)
     size = Window.partitionBy("doc_id")
@@ -116,8 +118,12 @@ def fixed_matches(tokens: DataFrame, patterns: list[tuple[int, Pattern]]) -> Dat
     for priority, p in patterns:
         for k, step in enumerate(p.steps):
             marks[f"p{priority}_{k}"] = ~compile_test(step.test) if step.negated else compile_test(step.test)
-    t = tokens.select("doc_id", "i", *[c.alias(n) for n, c in marks.items()])
-    t = t.select("doc_id", "i", *[(F.lead(n, int(n.split("_")[1]), False).over(w) if not n.endswith("_0") else F.col(n)).alias(n) for n in marks])
+    marks = {n: c if k else apart(c) for k, (n, c) in enumerate(marks.items())}
+    # A match is a run of tokens that each fulfil some step: only these are ordered, and in a run the k-th row on is the k-th token.
+    t = tokens.select("doc_id", "i", *[c.alias(n) for n, c in marks.items()]).where(reduce(or_, map(F.col, marks)))
+    ahead = sorted({k for _, p in patterns for k in range(1, len(p.steps))})
+    t = t.select("*", *[F.coalesce(F.lead("i", k).over(w) == F.col("i") + k, F.lit(False)).alias(f"next_{k}") for k in ahead])
+    t = t.select("doc_id", "i", *[(F.col(f"next_{n.split('_')[1]}") & F.lead(n, int(n.split("_")[1]), False).over(w) if not n.endswith("_0") else F.col(n)).alias(n) for n in marks])
     for priority, p in patterns:
         test = F.col(f"p{priority}_0")
         for k in range(1, len(p.steps)):
@@ -201,9 +207,10 @@ def extract(tokens: DataFrame, patterns: list[dict], attr: str = "ORTH", labels:
     if labels is not None:
         own = compile_labels(labels)
         stay = stay.where(F.col("label").isin(*own)) if own else stay.where(F.lit(False))
-    places = stay.select("doc_id", F.explode(F.sequence("start", F.col("end") - 1)).alias("i"), F.col("start").alias("start_token"), F.col("end").alias("end_token"), "label", F.nullif(F.col("ent_id"), F.lit("")).alias("ent_id"))
+    places = stay.select("doc_id", "start", "end", F.col("start").alias("start_token"), F.col("end").alias("end_token"), "label", F.nullif(F.col("ent_id"), F.lit("")).alias("ent_id"))
     # Only documents with matches are tokenized again: the semi-join goes below the tokens' windows, to the texts.
-    x = tokens.select("doc_id", "i", "text", "has_space", "idx", *keep).join(stay.select("doc_id").distinct(), "doc_id", "left_semi").join(places, ["doc_id", "i"])
+    x = tokens.select("doc_id", "i", "text", "has_space", "idx", *keep).join(stay.select("doc_id").distinct().hint("shuffle_hash"), "doc_id", "left_semi")
+    x = mark(x, places).where("mark is not null").select("*", "mark.start_token", "mark.end_token", "mark.label", "mark.ent_id")
     part = F.struct("i", "idx", "text", "has_space", *keep)
     g = x.groupBy("doc_id", "start_token", "end_token", "label", "ent_id").agg(F.array_sort(F.collect_list(part)).alias("p"))
     first, last = F.element_at("p", 1), F.element_at("p", -1)
@@ -243,20 +250,19 @@ def write(tokens: DataFrame, found: DataFrame, overwrite: bool = False, typed_be
         touched = found.select(*keys, F.explode(F.sequence("start", F.col("end") - 1)).alias("k")).join(typed, ["doc_id", "k"], "left_semi").select(*keys).distinct()
         found = found.join(touched, keys, "left_anti")
     stay = resolve(found)
-    marks = stay.select("doc_id", F.explode(F.sequence("start", F.col("end") - 1)).alias("i"), F.col("start").alias("new_start"), F.col("label").alias("new_type"), F.col("ent_id").alias("new_id"))
-    t = tokens.join(marks, ["doc_id", "i"], "left")
-    own, new = [c for c in tokens.columns], F.col("new_type").isNotNull()
+    t = mark(tokens, stay.select("doc_id", "start", "end", "label", "ent_id"), "new")
+    own, new = [c for c in tokens.columns], F.col("new").isNotNull()
     clear = F.lit(False)
     if overwrite and typed_before:
-        old = existing(tokens)
-        hit = old.select("doc_id", "start", "end", F.explode(F.sequence("start", F.col("end") - 1)).alias("i")).join(marks.select("doc_id", "i"), ["doc_id", "i"]).select("doc_id", "start", "end").distinct()
-        gone = hit.select("doc_id", F.explode(F.sequence("start", F.col("end") - 1)).alias("i"), F.lit(True).alias("gone"))
-        t = t.join(gone, ["doc_id", "i"], "left")
-        clear = F.coalesce("gone", F.lit(False))
+        # Both are few: entities that there were, and the tokens of the new ones.
+        places = stay.select("doc_id", F.explode(F.sequence("start", F.col("end") - 1)).alias("i"))
+        hit = existing(tokens).select("doc_id", "start", "end", F.explode(F.sequence("start", F.col("end") - 1)).alias("i")).join(places, ["doc_id", "i"]).select("doc_id", "start", "end").distinct()
+        t = mark(t, hit, "gone")
+        clear = F.col("gone").isNotNull()
     values = {
-        "ent_iob": F.when(new, F.when(F.col("i") == F.col("new_start"), 3).otherwise(1)).when(clear, 2).otherwise(F.col("ent_iob")),
-        "ent_type": F.when(new, F.col("new_type")).when(clear, "").otherwise(F.col("ent_type")),
-        "ent_id": F.when(new, F.col("new_id")).when(clear, "").otherwise(F.col("ent_id")),
+        "ent_iob": F.when(new, F.when(F.col("i") == F.col("new.start"), 3).otherwise(1)).when(clear, 2).otherwise(F.col("ent_iob")),
+        "ent_type": F.when(new, F.col("new.label")).when(clear, "").otherwise(F.col("ent_type")),
+        "ent_id": F.when(new, F.col("new.ent_id")).when(clear, "").otherwise(F.col("ent_id")),
         "ent_kb_id": F.when(new | clear, "").otherwise(F.col("ent_kb_id")),
     }
     return t.select(*[values[c].alias(c) if c in values else F.col(c) for c in own])

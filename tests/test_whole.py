@@ -7,7 +7,8 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from spanframe.functions import ids
+from spanframe.functions import ids, lexical
+from spanframe.operators import patterns
 from spanframe.operators import regex_tokenizer as X
 from spanframe.operators import tokens as T
 from spanframe.plans import catalog
@@ -73,3 +74,42 @@ def test_ids_of_arrays(spark):
     a = spark.createDataFrame([(words,), ([],), (None,), (words[:2],)], "w array<string>").select(ids.string_ids(F.col("w")).alias("k")).collect()
     want = [int(np.uint64(ids.string_id_of(w)).astype(np.int64)) for w in words]
     assert [r.k for r in a] == [want, [], None, want[:2]]
+
+
+def test_marks_are_those_of_a_join(spark):
+    texts = ["a b c d e f", "g h", "", "k l m"]
+    t = T.flat(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string"))
+    spans = spark.createDataFrame([(0, 4, 5, "z"), (0, 1, 3, "y"), (1, 0, 2, "x"), (3, 9, 11, "w")], "doc_id bigint, start int, end int, label string")
+    got = {(r.doc_id, r.i): r.mark and r.mark.label for r in T.mark(t, spans).collect()}
+    assert len(got) == 11 and {k: v for k, v in got.items() if v} == {(0, 1): "y", (0, 2): "y", (0, 4): "z", (1, 0): "x", (1, 1): "x"}
+    plan = T.mark(t, spans)._jdf.queryExecution().executedPlan().toString()
+    assert "ShuffledHashJoin" in plan and "SortMergeJoin" not in plan
+
+
+def test_guards_of_shapes_and_numbers_change_nothing(spark):
+    r = random.Random(5)
+    words = ["".join(r.choice("(1a-Z)é²9") for _ in range(r.randrange(1, 10))) for _ in range(400)] + ["x" * 100, "+One", "THIRD", "tw,o.", "3RD", "±1,000.5", "1/2", "Kth"]
+    t = spark.createDataFrame([(w,) for w in words], "text string")
+    shapes = ["(d)", "xXd", "d", "LONG", "XX", "dddd", "x-x"]
+    c = F.col("text")
+    x = t.select("text", lexical.shape(c).alias("s"), *[lexical.has_shape(c, v).alias(f"h{k}") for k, v in enumerate(shapes)], patterns.apart(lexical.like_num(c)).alias("n"), lexical.like_num(c).alias("m")).collect()
+    assert all([r[f"h{k}"] for k in range(len(shapes))] == [r.s == v for v in shapes] and r.n == r.m for r in x)
+    assert {r.text for r in x if r.m} >= {"+One", "THIRD", "tw,o.", "3RD", "±1,000.5", "1/2"} and not {r.text for r in x if r.m} & {"Kth", "x" * 100}
+
+
+def test_rules_over_several_tokens_next_to_others(run):
+    got = run("pipeline_entities_end_to_end", ["12 +1 (555) 123-4567", "+1 x (555) 123-456"])
+    assert {r[:6] for r in got} == {(0, "12", "NUMBER", None, 0, 1), (0, "+1 (555) 123-4567", "PHONE", None, 1, 4), (1, "+1", "NUMBER", None, 0, 1)}
+
+
+def test_a_batch_of_texts_is_cut_in_parts():
+    seen = []
+    texts = pa.array(["abcdef", None, "", "ghi jkl mno pqr", "s"])
+    for p in T.parts(texts, 10):
+        seen += [p.to_pylist()]
+    assert sum(seen, []) == texts.to_pylist() and len(seen) == 3
+
+
+def test_documents_within_their_rows(run):
+    assert run("token_access", ["", "a b ", None, "c"]) == [(1, "a", "b", True, 2), (3, "c", "c", False, 0)]
+    assert [r[0] for r in run("span_slices", ["", "a b ", None, "c"])] == [1, 3] and [r[0] for r in run("token_lines", ["", "a b ", None, "c"])] == [1, 3]
