@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from spanframe.functions import ids, lexical
+from spanframe.operators import constraints as C
 from spanframe.operators import patterns
 from spanframe.operators import regex_tokenizer as X
 from spanframe.operators import tokens as T
@@ -113,3 +114,12 @@ def test_a_batch_of_texts_is_cut_in_parts():
 def test_documents_within_their_rows(run):
     assert run("token_access", ["", "a b ", None, "c"]) == [(1, "a", "b", True, 2), (3, "c", "c", False, 0)]
     assert [r[0] for r in run("span_slices", ["", "a b ", None, "c"])] == [1, 3] and [r[0] for r in run("token_lines", ["", "a b ", None, "c"])] == [1, 3]
+
+
+def test_constraints_leave_tokens_where_they_are(spark):
+    t = T.flat(spark.createDataFrame([(1, "a b c d"), (2, "e f")], "doc_id bigint, text string"))
+    wanted = spark.createDataFrame([(1, "entity", 1, 3, "X", None), (1, "default", 0, 0, "outside", None)], C.SCHEMA)
+    out = C.apply(t, wanted)
+    assert {(r.doc_id, r.i): (r.ent_iob, r.ent_type) for r in out.collect()} == {(1, 0): (2, ""), (1, 1): (3, "X"), (1, 2): (1, "X"), (1, 3): (2, ""), (2, 0): (0, ""), (2, 1): (0, "")}
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert not any("SortMergeJoin" in x and "[doc_id" in x and ", i#" in x for x in plan.splitlines())
